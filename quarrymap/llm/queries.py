@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymap.llm import fingerprints, minhash_dedup
+from quarrymap.llm import curriculum, fingerprints, licenses, line_dedup, minhash_dedup
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,18 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.positions(_documents(spark, sf_dir))
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.deduplicate_lines(_documents(spark, sf_dir))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.matching_pairs(_documents(spark, sf_dir))
 
@@ -28,4 +40,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mixing": curriculum.oracle(), "op6_line_dedup": line_dedup.ORACLE_SQL, "op7_license_scan": licenses.oracle()}

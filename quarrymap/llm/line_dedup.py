@@ -120,9 +120,9 @@ def without(buf: np.ndarray, offsets: np.ndarray, start: np.ndarray, end: np.nda
 
 
 def deduplicated(docs: DataFrame, twice: np.ndarray | None = None) -> DataFrame:
-    """key, h, row, clean, n_removed for every row of ``docs``, whose columns are packed in row."""
+    """row, clean, n_removed for every row of ``docs``, whose columns are packed in row; each text moves once."""
     shared = docs.sparkSession.sparkContext.broadcast(twice_filter(docs) if twice is None else twice)
-    packed = docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("h"), F.col("text").alias("body"), F.struct("*").alias("row"))
+    packed = docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
 
     def suspect_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -134,7 +134,7 @@ def deduplicated(docs: DataFrame, twice: np.ndarray | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column("key").slice(a, b - a).take(row), x.column("h").slice(a, b - a).take(row), pa.array(number[hit].astype(np.int32)), _gather(buf, start[hit], end[hit])], ["key", "h", "number", "line"])
 
     order = F.struct(F.col("key").isNull().alias("z"), "key", "h", "number")
-    lines = packed.select("key", "h", "body").mapInArrow(suspect_lines, "key long, h long, number int, line string")
+    lines = packed.select("key", "h", F.col("row.text").alias("body")).mapInArrow(suspect_lines, "key long, h long, number int, line string")
     first = lines.groupBy("line").agg(F.min(order).alias("f")).select("f.*")
     first = first.groupBy(F.col("key").alias("fk"), F.col("h").alias("fh")).agg(F.collect_list("number").alias("firsts"))
     joined = packed.join(first, packed.key.eqNullSafe(first.fk) & (packed.h == first.fh), "left").drop("fk", "fh")
@@ -142,7 +142,7 @@ def deduplicated(docs: DataFrame, twice: np.ndarray | None = None) -> DataFrame:
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            body, firsts, turn = x.column("body"), x.column("firsts"), x.column("turn").to_numpy()
+            body, firsts, turn = x.column("row").field("text"), x.column("firsts"), x.column("turn").to_numpy()
             texts, removed = [], []
             for a, b, buf, offsets in K.text_blocks(body, lower=False):
                 start, end, row, code, blank = line_table(buf, offsets)
@@ -161,7 +161,7 @@ def deduplicated(docs: DataFrame, twice: np.ndarray | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column("row"), text, pa.array(np.concatenate(removed).astype(np.int64))], ["row", "clean", "n_removed"])
 
     schema = joined.select("row").schema.add("clean", "string").add("n_removed", "long")
-    return joined.select("row", "body", "firsts", "turn").mapInArrow(clean, schema)
+    return joined.select("row", "firsts", "turn").mapInArrow(clean, schema)
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:

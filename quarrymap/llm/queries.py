@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrymap.llm import bpe, curriculum, fingerprints, langid, licenses, line_dedup, minhash_dedup, toxicity
+from quarrymap.llm import bpe, curriculum, fingerprints, gru_lm, ivfpq, langid, licenses, line_dedup, minhash_dedup, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gru_lm.likelihoods(_documents(spark, sf_dir))
+
+
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ivfpq.neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.positions(_documents(spark, sf_dir))
 

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
+from quarrymap.llm.storage import stored
 
 MOST_POSITIVE, MOST_UNLABELLED = 3000, 9000
 BUCKETS = 1 << 20
@@ -33,7 +34,7 @@ LEVELS = ((1, 0), (2, 400), (4, 400))
 LEAST_EVIDENCE, LEAST_RATIO, MOST_FEATURES = 13.0, 4.0, 4096
 #: Share of toxic documents; where None it is the share among the audited rows of labels.
 PRIOR: float | None = None
-STEPS, RATE, DECAY, SEED = 400, 0.05, 1e-4, 7
+STEPS, RATE, DECAY, SEED = 600, 0.01, 1e-4, 7
 THRESHOLD = 0.5
 
 _FIND = np.uint64(64 - 20)
@@ -78,18 +79,29 @@ def levelled(row: np.ndarray, bucket: np.ndarray, words: np.ndarray) -> tuple[np
     return row[order], code[order]
 
 
+_ODD = np.random.default_rng(SEED).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+
+
 def _presence(docs: DataFrame) -> DataFrame:
-    """part, bag: the levelled buckets of each row of (part, text) as uint32."""
+    """id, part, bag (the levelled buckets as uint32), marks (hash pairs that near copies share) of each (id, part, text)."""
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             for a, b, buf, offsets in K.text_blocks(x.column("text")):
                 row, bucket = levelled(*hashed(buf, offsets))
+                starts, some = K.segments(row)
+                low = np.zeros((b - a, 16), np.uint64)
+                code = K.mix64(bucket.astype(np.uint64) + np.uint64(1))
+                for k in range(16 if len(row) else 0):
+                    low[some, k] = np.minimum.reduceat(K.mix64(code * _ODD[k]), starts)
+                marks = np.broadcast_to(np.arange(4, dtype=np.uint64), (b - a, 4))
+                for k in range(4):
+                    marks = K.mix64(marks * np.uint64(31) + low[:, k::4])
                 ends = np.searchsorted(row, np.arange(b - a + 1))
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(bucket.astype(np.uint32).tobytes())])
-                yield pa.RecordBatch.from_arrays([x.column("part").slice(a, b - a), packed], ["part", "bag"])
+                yield pa.RecordBatch.from_arrays([x.column("id").slice(a, b - a), x.column("part").slice(a, b - a), packed, K.list_array(marks.view(np.int64).ravel(), np.full(b - a, 4), pa.int64())], ["id", "part", "bag", "marks"])
 
-    return docs.mapInArrow(bags, "part int, bag binary")
+    return docs.mapInArrow(bags, "id long, part int, bag binary, marks array<long>")
 
 
 def _risk_step(margin: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
@@ -97,74 +109,58 @@ def _risk_step(margin: np.ndarray, positive: np.ndarray, prior: float) -> np.nda
     s = 1 / (1 + np.exp(-np.clip(margin, -40, 40)))
     slope = s * (1 - s)
     n_p, n_u = max(1, positive.sum()), max(1, (~positive).sum())
-    negative = s[~positive].sum() / n_u - prior * s[positive].sum() / n_p
-    grad = np.zeros_like(margin)
-    if negative >= 0:
-        grad[positive] = -2 * prior * slope[positive] / n_p
-        grad[~positive] = slope[~positive] / n_u
-    else:
-        grad[positive] = prior * slope[positive] / n_p
-        grad[~positive] = -slope[~positive] / n_u
-    return grad
-
-
-def _without_copies(bags: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
-    """Rows of the sample that aren't near copies (a shared pair of bag minima) of an earlier row of their part."""
-    rng = np.random.default_rng(SEED)
-    odd = rng.integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
-    seen: set[tuple[bool, int, int, int]] = set()
-    out = []
-    for i, bag in enumerate(bags):
-        code = K.mix64(bag.astype(np.uint64) + np.uint64(1))
-        low = [int((code * a).min()) if len(code) else 0 for a in odd]
-        keys = {(bool(positive[i]), k, low[k], low[k + 1]) for k in range(0, 16, 2)}
+    if s[~positive].sum() / n_u >= prior * s[positive].sum() / n_p:
+        return np.where(positive, -2 * prior * slope / n_p, slope / n_u)
+    return np.where(positive, prior * slope / n_p, -slope / n_u)
+
+
+def _without_copies(marked: list[tuple[int, int, list[int]]]) -> dict[int, int]:
+    """id: part of the sample's (part, id, marks), in order, that share no mark with an earlier row of their part."""
+    seen: set[tuple[int, int]] = set()
+    kept = {}
+    for part, row_id, marks in sorted(marked):
+        keys = {(part, m) for m in marks}
         if not keys & seen:
-            out.append(i)
+            kept[row_id] = part
         seen |= keys
-    return np.array(out, np.int64)
+    return kept
 
 
-def fit(bags: list[np.ndarray], positive: np.ndarray, prior: float) -> Model:
-    """bags: distinct buckets of each sample row; positive: which rows are confirmed."""
-    size = BUCKETS * len(LEVELS)
-    slot = np.full(size, -1, np.int32)
-    alone = _without_copies(bags, positive)
-    bags, positive = [bags[i] for i in alone], positive[alone]
-    if not positive.any() or positive.all():
-        return Model(slot, np.zeros(BUCKETS, bool), np.zeros(0), -10.0)
-    n_p, n_u = positive.sum(), (~positive).sum()
-    in_p, in_u = np.zeros(size), np.zeros(size)
-    for bag, is_p in zip(bags, positive):
-        (in_p if is_p else in_u)[bag] += 1
-    negative = np.maximum(0.5 / n_u, in_u / n_u - prior * in_p / n_p) / (1 - prior)
-    both, base = in_p + in_u, n_p / (n_p + n_u)
-    part = np.clip(in_p / np.maximum(1, both), 1e-9, 1 - 1e-9)
+def select_features(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
+    """The features that count, strongest first: in how many of n_p positive and n_u unlabelled documents each occurs."""
+    some = np.flatnonzero(in_p)
+    p, u = in_p[some].astype(np.float64), in_u[some].astype(np.float64)
+    negative = np.maximum(0.5 / n_u, u / n_u - prior * p / n_p) / (1 - prior)
+    both, base = p + u, n_p / (n_p + n_u)
+    part = np.clip(p / both, 1e-9, 1 - 1e-9)
     evidence = both * (part * np.log(part / base) + (1 - part) * np.log((1 - part) / (1 - base)))
-    kept = np.flatnonzero((evidence >= LEAST_EVIDENCE) & (in_p / n_p >= LEAST_RATIO * negative))
-    kept = kept[np.argsort(-evidence[kept], kind="stable")][:MOST_FEATURES]
-    slot[kept] = np.arange(len(kept))
-    grid = np.zeros((len(bags), len(kept)), np.float32)
-    for i, bag in enumerate(bags):
-        at = slot[bag]
-        grid[i, at[at >= 0]] = 1
-    weight, bias = np.zeros(len(kept), np.float32), np.float32(np.log(prior / (1 - prior)))
+    hit = np.flatnonzero((evidence >= LEAST_EVIDENCE) & (p / n_p >= LEAST_RATIO * negative))
+    return some[hit[np.argsort(-evidence[hit], kind="stable")][:MOST_FEATURES]]
+
+
+def fit(grid: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    """(weights, bias) by Adam on the non-negative risk of mini-batches; grid: rows x features, 0 or 1."""
+    weight, bias = np.zeros(grid.shape[1], np.float32), np.float32(np.log(prior / (1 - prior)))
     rng = np.random.default_rng(SEED)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
-    moments = [np.zeros(len(kept) + 1), np.zeros(len(kept) + 1)]
+    moments = [np.zeros(len(weight) + 1), np.zeros(len(weight) + 1)]
     for step in range(1, STEPS + 1):
         rows = np.concatenate([rng.choice(pos, min(len(pos), 512)), rng.choice(unl, min(len(unl), 1536))])
-        x = grid[rows]
+        x = grid[rows].astype(np.float32)
         g = _risk_step(x @ weight + bias, positive[rows], prior)
         grad = np.append(x.T @ g + DECAY * weight, g.sum())
         moments[0] = 0.9 * moments[0] + 0.1 * grad
         moments[1] = 0.999 * moments[1] + 0.001 * grad**2
         move = RATE * (moments[0] / (1 - 0.9**step)) / (np.sqrt(moments[1] / (1 - 0.999**step)) + 1e-8)
         weight, bias = (weight - move[:-1]).astype(np.float32), np.float32(bias - move[-1])
-    return Model(slot, (slot >= 0).reshape(len(LEVELS), BUCKETS).any(axis=0), weight.astype(np.float64), float(bias))
+    return weight.astype(np.float64), float(bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = PRIOR) -> Model:
-    """Fits on rows of ``docs`` confirmed toxic by ``labels`` and on others, whatever else is known of them."""
+    """Fits on rows of ``docs`` confirmed toxic by ``labels`` and on others, whatever else is known of them.
+
+    The sample's bags stay in the shared folder and pass through the driver one partition at a time.
+    """
     marks = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     audited = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
     if prior is None:
@@ -174,12 +170,30 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = PRIOR) -> Mo
     confirmed = marks.filter("toxic = 1").select("id")
     order = F.xxhash64("id", F.lit(SEED))
     chosen = confirmed.join(slim.select("id"), "id", "left_semi").orderBy(order, "id").limit(MOST_POSITIVE).select("id", F.lit(1).alias("part"))
-    others = slim.select("id").join(confirmed, "id", "left_anti").orderBy(order, "id").limit(MOST_UNLABELLED).select("id", F.lit(0).alias("part"))
+    others = slim.select("id").distinct().join(confirmed, "id", "left_anti").orderBy(order, "id").limit(MOST_UNLABELLED).select("id", F.lit(0).alias("part"))
     wanted = chosen.unionByName(others)
-    rows = _presence(slim.join(F.broadcast(wanted), "id").select("part", "text")).toArrow()
-    bags = [np.frombuffer(b.as_buffer(), np.uint32) for b in rows.column("bag")]
-    order = sorted(range(len(bags)), key=lambda i: (rows.column("part")[i].as_py(), bags[i].tobytes()))
-    return fit([bags[i] for i in order], np.array([rows.column("part")[i].as_py() == 1 for i in order], bool), prior)
+    sample = stored(_presence(slim.join(F.broadcast(wanted), "id").select("id", "part", "text").dropDuplicates(["id"])), "bags")
+    kept = _without_copies([(r["part"], r["id"], r["marks"]) for r in sample.select("part", "id", "marks").toLocalIterator()])
+    n = [sum(part == k for part in kept.values()) for k in (0, 1)]
+    size = BUCKETS * len(LEVELS)
+    slot, none = np.full(size, -1, np.int32), np.zeros(0)
+    if not n[0] or not n[1]:
+        return Model(slot, np.zeros(BUCKETS, bool), none, -10.0)
+    bags = sample.select("id", "bag")
+    seen = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
+    for row_id, bag in bags.toLocalIterator():
+        if row_id in kept:
+            seen[kept[row_id]][np.frombuffer(bag, np.uint32)] += 1
+    features = select_features(seen[1], seen[0], n[1], n[0], prior)
+    slot[features] = np.arange(len(features))
+    place = {row_id: i for i, row_id in enumerate(sorted(kept))}
+    grid = np.zeros((len(kept), len(features)), np.uint8)
+    for row_id, bag in bags.toLocalIterator():
+        if row_id in kept:
+            at = slot[np.frombuffer(bag, np.uint32)]
+            grid[place[row_id], at[at >= 0]] = 1
+    weight, bias = fit(grid, np.array([kept[i] == 1 for i in sorted(kept)], bool), prior)
+    return Model(slot, (slot >= 0).reshape(len(LEVELS), BUCKETS).any(axis=0), weight, bias)
 
 
 def scores(buf: np.ndarray, offsets: np.ndarray, model: Model) -> np.ndarray:

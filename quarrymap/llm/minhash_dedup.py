@@ -49,7 +49,7 @@ def signatures(row: np.ndarray, code: np.ndarray, rows: int) -> np.ndarray:
 
 def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
     """One 64-bit key a band of each row."""
-    parts = sig.reshape(len(sig), bands, -1)
+    parts = sig.reshape(len(sig), bands, sig.shape[1] // bands)
     key = np.broadcast_to(np.arange(bands, dtype=np.uint64), parts.shape[:2]).copy()
     for k in range(parts.shape[2]):
         key = K.mix64(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, k])

@@ -27,7 +27,8 @@ def closure(edges: DataFrame) -> DataFrame:
 
 
 def reachable(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """id of the seeds and all that can be reached from them along src -> dst."""
+    """id of the seeds and all that can be reached from them along src -> dst. The edges are read once a round, so they are stored first."""
+    edges = stored(edges.select("src", "dst"))
     seen = stored(seeds.select("id").distinct())
     frontier = seen
     while not frontier.isEmpty():

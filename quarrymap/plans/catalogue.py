@@ -11,7 +11,8 @@ from quarrymap.functions import scalars as S
 from quarrymap.operators import delta, facts, fingerprint, graph, indexes, insights
 from quarrymap.plans.adapters import all_ok, ranked
 from quarrymap.plans.projection import Projected, oracle
-from quarrymap.sources import golist
+from quarrymap.sources import golist, store
+from quarrymap.sources.storage import new_place
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -184,6 +185,39 @@ def _fingerprints(spark: SparkSession, d: str) -> DataFrame:
     return fingerprint.differences(now, made(nation.filter("n_nationkey >= 5"), F.col("n_regionkey")))
 
 
+@register("scalar_functions", "SELECT id, concat('file:', path) AS of_path, id AS of_id, path AS relative, substr(sha256(path), 1, 8) AS signature, concat(path, '|', unit_id) AS joined, split_part(unit_id, ':', 2) AS lang, CAST(regexp_extract(path, 'f(\\d+)$', 1) AS INT) AS number, 7 AS fallback FROM files")
+def _scalars(spark: SparkSession, d: str) -> DataFrame:
+    path = F.col("path")
+    return Projected(spark, d)["files"].select(
+        "id",
+        S.file_id(path).alias("of_path"),
+        S.file_id(F.col("id")).alias("of_id"),
+        S.relative_path(F.concat(F.lit("/repo/./"), path), "/repo").alias("relative"),
+        S.symbol_signature(path).alias("signature"),
+        S.join_present([path, F.lit(""), F.lit(None).cast("string"), F.col("unit_id")], "|").alias("joined"),
+        S.language_of(F.col("unit_id")).alias("lang"),
+        S.int_or(F.regexp_extract(path, r"f(\d+)$", 1), 0).alias("number"),
+        S.int_or(F.regexp_extract(path, "none(x)?", 1), 7).alias("fallback"),
+    )
+
+
+@register("jsonl_roundtrip", f"SELECT {_SYMBOL} FROM symbols")
+def _jsonl(spark: SparkSession, d: str) -> DataFrame:
+    """All tables written as JSON lines to the shared folder and read again; the symbols of what was read."""
+    root = new_place(spark, "jsonl")
+    store.write_facts_jsonl(spark, root, {"symbols": Projected(spark, d)["symbols"]})
+    return store.read_facts_jsonl(spark, root)["symbols"].select(*_SYMBOL.split(", "))
+
+
+@register("snapshot_roundtrip", "SELECT from_symbol_id, to_symbol_id, site_file_id, line, kind, confidence FROM refs")
+def _snapshots(spark: SparkSession, d: str) -> DataFrame:
+    """Two snapshots, of which the second is the current one; its refs."""
+    root, t = new_place(spark, "snapshots"), Projected(spark, d)
+    store.write_snapshot(spark, root, {"refs": t["refs"].filter("line = 1")})
+    store.write_snapshot(spark, root, {"refs": t["refs"]})
+    return store.load_facts(spark, root)["refs"]
+
+
 @register("concat_json")
 def _concat_json(spark: SparkSession, d: str) -> DataFrame:
     """Concatenated pretty JSON made of the units, with braces in strings, parsed again; a test holds it against them."""

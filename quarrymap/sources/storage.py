@@ -28,17 +28,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame's rows, computed once and kept in the shared folder: a lost executor loses none of them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
+def new_place(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
 
 
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
-    """The frame written as Parquet in the shared folder and read again; the files go when the driver's JVM ends."""
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """The frame written as Parquet in the shared folder and read again."""
+    path = new_place(df.sparkSession, name)
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -28,12 +28,6 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return _own[0]
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame's rows, computed once and kept in the shared folder: a lost executor loses none of them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame written as Parquet in the shared folder and read again; the files go when the driver's JVM ends."""
     spark = df.sparkSession

@@ -23,7 +23,7 @@ SHINGLE = 3
 BINS = 256
 BANDS = 64
 ROWS = BINS // BANDS
-THRESHOLD = 0.5
+THRESHOLD = 0.45
 
 _EMPTY = np.uint64(2**64 - 1)
 _BIN_BITS = BINS.bit_length() - 1

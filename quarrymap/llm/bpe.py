@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
-from quarrymap.llm.storage import checkpoint_dir
+from quarrymap.llm.storage import checkpoint_dir, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -356,7 +356,9 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON_SIZE) -> list[bytes]:
             yield flush()
 
     found = docs.filter("text IS NOT NULL").select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    return [bytes(row[0]) for row in found.orderBy(F.desc("n"), "piece").limit(most).select("piece").collect()]
+    # Stored first: collecting a sorted limit would bring that many rows of every partition to the driver.
+    top = stored(found.orderBy(F.desc("n"), "piece").limit(most), "pieces")
+    return [bytes(row[0]) for row in top.select("piece").collect()]
 
 
 class Coder:

@@ -14,6 +14,7 @@ Scoring: every document is read from its first word to its last, in windows, wit
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -293,6 +294,7 @@ def train(docs: DataFrame, corpus: Corpus) -> Model:
     if not n:
         return model
     trainers = -(-n // (SHARE * TURNS))
+    fan = math.isqrt(trainers) + 1
     dealt = stretches.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(trainers * TURNS)))
     shapes = [w.shape for w in model]
     for turn in range(TURNS):
@@ -303,16 +305,23 @@ def train(docs: DataFrame, corpus: Corpus) -> Model:
             rows = K.from_binary_rows(table.column("ids").combine_chunks(), np.uint16, STRETCH).astype(np.int64)
             passes = max(1, min(MOST_PASSES, LEAST_STEPS * BATCH // len(rows)))
             made = train_on(shared.value, rows, table.column("n").to_numpy(), passes, SEED + turn)
-            return pa.table({"k": pa.array(range(len(made))), "rows": pa.array([len(rows)] * len(made)), "w": pa.array([(w * np.float32(len(rows))).astype(np.float32).tobytes() for w in made], pa.binary())})
+            some = table.column("deal")[0].as_py() % fan
+            return pa.table({"k": pa.array(range(len(made))), "part": pa.array([some] * len(made)), "rows": pa.array([len(rows)] * len(made)), "w": pa.array([(w * np.float32(len(rows))).astype(np.float32).tobytes() for w in made], pa.binary())})
 
         def add(table: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(b.as_buffer(), np.float32).astype(np.float64) for b in table.column("w"))
-            return pa.table({"k": table.column("k").slice(0, 1), "w": pa.array([(total / sum(table.column("rows").to_pylist())).astype(np.float32).tobytes()], pa.binary())})
+            total = np.zeros(0)
+            for b in table.column("w"):
+                w = np.frombuffer(b.as_buffer(), np.float32)
+                total = w.astype(np.float64) if not len(total) else total + w
+            rows = sum(table.column("rows").to_pylist())
+            return pa.table({"k": table.column("k").slice(0, 1), "rows": pa.array([rows]), "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
         mine = dealt.filter(F.col("deal") % TURNS == turn) if n >= 64 * TURNS else dealt
-        made = mine.groupBy("deal").applyInArrow(work, "k long, rows long, w binary").groupBy("k").applyInArrow(add, "k long, w binary").collect()
+        made = mine.groupBy("deal").applyInArrow(work, "k long, part long, rows long, w binary")
+        # Summed in two steps of about the root of the number of trainers, so that no task holds the weights of all.
+        made = made.groupBy("k", "part").applyInArrow(add, "k long, rows long, w binary").groupBy("k").applyInArrow(add, "k long, rows long, w binary").collect()
         if made:
-            arrays = {r["k"]: np.frombuffer(r["w"], np.float32).copy() for r in made}
+            arrays = {r["k"]: np.frombuffer(r["w"], np.float32) / np.float32(r["rows"]) for r in made}
             model = Model(*(arrays[k].reshape(s) for k, s in enumerate(shapes)))
     return model
 

@@ -187,8 +187,8 @@ def from_binary_rows(column: pa.Array, dtype: type, width: int) -> np.ndarray:
     return data.view(dtype).reshape(len(column), width)
 
 
-def text_blocks(texts: pa.Array, lower: bool = True) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) for each block of an Arrow column."""
     buf, offsets = text_buffer(texts, lower)
-    for a, b in row_blocks(np.diff(offsets)):
+    for a, b in row_blocks(np.diff(offsets), limit):
         yield a, b, buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]

@@ -38,6 +38,8 @@ STEPS, RATE, DECAY, SEED = 600, 0.01, 1e-4, 7
 THRESHOLD = 0.5
 
 _FIND = np.uint64(64 - 20)
+#: Bytes of text hashed at a time: three features a byte take some hundred bytes of memory each.
+_BLOCK = 1 << 19
 
 
 class Model(NamedTuple):
@@ -79,7 +81,9 @@ def levelled(row: np.ndarray, bucket: np.ndarray, words: np.ndarray) -> tuple[np
     return row[order], code[order]
 
 
-_ODD = np.random.default_rng(SEED).integers(1, 2**63, 16, dtype=np.uint64) | np.uint64(1)
+#: Near copies in the sample would make features of what only their common text has: marks are MARKS bands of 4 minima.
+MARKS = 16
+_ODD = np.random.default_rng(SEED).integers(1, 2**63, 4 * MARKS, dtype=np.uint64) | np.uint64(1)
 
 
 def _presence(docs: DataFrame) -> DataFrame:
@@ -87,19 +91,19 @@ def _presence(docs: DataFrame) -> DataFrame:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            for a, b, buf, offsets in K.text_blocks(x.column("text")):
+            for a, b, buf, offsets in K.text_blocks(x.column("text"), limit=_BLOCK):
                 row, bucket = levelled(*hashed(buf, offsets))
                 starts, some = K.segments(row)
-                low = np.zeros((b - a, 16), np.uint64)
+                low = np.zeros((b - a, 4 * MARKS), np.uint64)
                 code = K.mix64(bucket.astype(np.uint64) + np.uint64(1))
-                for k in range(16 if len(row) else 0):
+                for k in range(4 * MARKS if len(row) else 0):
                     low[some, k] = np.minimum.reduceat(K.mix64(code * _ODD[k]), starts)
-                marks = np.broadcast_to(np.arange(4, dtype=np.uint64), (b - a, 4))
+                marks = np.broadcast_to(np.arange(MARKS, dtype=np.uint64), (b - a, MARKS))
                 for k in range(4):
                     marks = K.mix64(marks * np.uint64(31) + low[:, k::4])
                 ends = np.searchsorted(row, np.arange(b - a + 1))
                 packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((ends * 4).astype(np.int32).tobytes()), pa.py_buffer(bucket.astype(np.uint32).tobytes())])
-                yield pa.RecordBatch.from_arrays([x.column("id").slice(a, b - a), x.column("part").slice(a, b - a), packed, K.list_array(marks.view(np.int64).ravel(), np.full(b - a, 4), pa.int64())], ["id", "part", "bag", "marks"])
+                yield pa.RecordBatch.from_arrays([x.column("id").slice(a, b - a), x.column("part").slice(a, b - a), packed, K.list_array(marks.view(np.int64).ravel(), np.full(b - a, MARKS), pa.int64())], ["id", "part", "bag", "marks"])
 
     return docs.mapInArrow(bags, "id long, part int, bag binary, marks array<long>")
 
@@ -126,16 +130,47 @@ def _without_copies(marked: list[tuple[int, int, list[int]]]) -> dict[int, int]:
     return kept
 
 
-def select_features(in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float) -> np.ndarray:
-    """The features that count, strongest first: in how many of n_p positive and n_u unlabelled documents each occurs."""
-    some = np.flatnonzero(in_p)
-    p, u = in_p[some].astype(np.float64), in_u[some].astype(np.float64)
-    negative = np.maximum(0.5 / n_u, u / n_u - prior * p / n_p) / (1 - prior)
-    both, base = p + u, n_p / (n_p + n_u)
-    part = np.clip(p / both, 1e-9, 1 - 1e-9)
-    evidence = both * (part * np.log(part / base) + (1 - part) * np.log((1 - part) / (1 - base)))
-    hit = np.flatnonzero((evidence >= LEAST_EVIDENCE) & (p / n_p >= LEAST_RATIO * negative))
-    return some[hit[np.argsort(-evidence[hit], kind="stable")][:MOST_FEATURES]]
+def select_features(sample: DataFrame, kept: dict[int, int], prior: float) -> list[int]:
+    """The features that count, strongest first, of the kept rows (id: part) of the sample; counted on the executors."""
+    shared = sample.sparkSession.sparkContext.broadcast(kept)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[np.ndarray]] = [[], []]
+        for x in batches:
+            for row_id, bag in zip(x.column("id").to_pylist(), x.column("bag")):
+                if row_id in shared.value:
+                    held[shared.value[row_id]].append(np.frombuffer(bag.as_buffer(), np.uint32))
+        for part, bags in enumerate(held):
+            if bags:
+                code, n = np.unique(np.concatenate(bags), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int32)), pa.array((n * part).astype(np.int32)), pa.array((n * (1 - part)).astype(np.int32))], ["code", "p", "u"])
+
+    n_p, n_u = sum(kept.values()), len(kept) - sum(kept.values())
+    seen = sample.select("id", "bag").mapInArrow(count, "code int, p int, u int").groupBy("code").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).filter("p > 0")
+    p, u, base = F.col("p"), F.col("u"), n_p / (n_p + n_u)
+    negative = F.greatest(F.lit(0.5 / n_u), u / n_u - prior * p / n_p) / (1 - prior)
+    share = F.least(F.greatest(p / (p + u), F.lit(1e-9)), F.lit(1 - 1e-9))
+    evidence = (p + u) * (share * F.log(share / base) + (1 - share) * F.log((1 - share) / (1 - base)))
+    strong = seen.withColumn("evidence", evidence).filter((F.col("evidence") >= LEAST_EVIDENCE) & (p / n_p >= LEAST_RATIO * negative))
+    return [r[0] for r in stored(strong.orderBy(F.desc("evidence"), "code").limit(MOST_FEATURES), "features").select("code", "evidence").orderBy(F.desc("evidence"), "code").collect()]
+
+
+def _grid(sample: DataFrame, kept: dict[int, int], slot: np.ndarray, features: int) -> np.ndarray:
+    """rows (kept ids in order) x features, 0 or 1; only the numbers of a row's features come to the driver."""
+    shared = sample.sparkSession.sparkContext.broadcast((slot, set(kept)))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers, wanted = shared.value
+        for x in batches:
+            at = [numbers[np.frombuffer(bag.as_buffer(), np.uint32)] if i in wanted else numbers[:0] for i, bag in zip(x.column("id").to_pylist(), x.column("bag"))]
+            yield pa.RecordBatch.from_arrays([x.column("id"), pa.array([a[a >= 0].astype(np.uint16).tobytes() for a in at], pa.binary())], ["id", "at"])
+
+    place = {row_id: i for i, row_id in enumerate(sorted(kept))}
+    grid = np.zeros((len(kept), features), np.uint8)
+    for row_id, at in sample.select("id", "bag").mapInArrow(look, "id long, at binary").collect():
+        if row_id in place:
+            grid[place[row_id], np.frombuffer(at, np.uint16)] = 1
+    return grid
 
 
 def fit(grid: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
@@ -159,7 +194,7 @@ def fit(grid: np.ndarray, positive: np.ndarray, prior: float) -> tuple[np.ndarra
 def train(docs: DataFrame, labels: DataFrame, prior: float | None = PRIOR) -> Model:
     """Fits on rows of ``docs`` confirmed toxic by ``labels`` and on others, whatever else is known of them.
 
-    The sample's bags stay in the shared folder and pass through the driver one partition at a time.
+    The sample's bags stay in the shared folder; the driver gets hashes, features and which rows have them.
     """
     marks = labels.filter("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     audited = marks.agg(F.count("*").alias("n"), F.sum("toxic").alias("p")).first()
@@ -179,19 +214,9 @@ def train(docs: DataFrame, labels: DataFrame, prior: float | None = PRIOR) -> Mo
     slot, none = np.full(size, -1, np.int32), np.zeros(0)
     if not n[0] or not n[1]:
         return Model(slot, np.zeros(BUCKETS, bool), none, -10.0)
-    bags = sample.select("id", "bag")
-    seen = [np.zeros(size, np.int32), np.zeros(size, np.int32)]
-    for row_id, bag in bags.toLocalIterator():
-        if row_id in kept:
-            seen[kept[row_id]][np.frombuffer(bag, np.uint32)] += 1
-    features = select_features(seen[1], seen[0], n[1], n[0], prior)
+    features = select_features(sample, kept, prior)
     slot[features] = np.arange(len(features))
-    place = {row_id: i for i, row_id in enumerate(sorted(kept))}
-    grid = np.zeros((len(kept), len(features)), np.uint8)
-    for row_id, bag in bags.toLocalIterator():
-        if row_id in kept:
-            at = slot[np.frombuffer(bag, np.uint32)]
-            grid[place[row_id], at[at >= 0]] = 1
+    grid = _grid(sample, kept, slot, len(features))
     weight, bias = fit(grid, np.array([kept[i] == 1 for i in sorted(kept)], bool), prior)
     return Model(slot, (slot >= 0).reshape(len(LEVELS), BUCKETS).any(axis=0), weight, bias)
 
@@ -214,7 +239,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            parts = [scores(buf, offsets, shared.value) for _, _, buf, offsets in K.text_blocks(x.column("body"))]
+            parts = [scores(buf, offsets, shared.value) for _, _, buf, offsets in K.text_blocks(x.column("body"), limit=_BLOCK)]
             if parts:
                 yield pa.RecordBatch.from_arrays([x.column("row"), pa.array(np.concatenate(parts))], ["row", "score"])
 

@@ -102,6 +102,18 @@ def test_fingerprints_against_brute_force(spark, prose):
     assert all(abs(got[p] - true[p]) < 1e-9 for p in set(got) & set(true))
 
 
+def test_fingerprints_name_every_copy(spark, prose, monkeypatch):
+    monkeypatch.setattr(fingerprints, "TILE", 2)  # copies in several chunks
+    table = [*prose, *[(200 + k, prose[0][1]) for k in range(4)], *[(300 + k, prose[61][1]) for k in range(3)]]
+    rows = fingerprints.all_pairs(docs(spark, [*table, table[0], (None, table[0][1]), (400, "")])).collect()
+    got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in rows}
+    sets = {i: shingle_set(t) for i, t in table}
+    true = {(a, b): jaccard(sets[a], sets[b]) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.5}
+    assert len(got) == len(rows) and set(got) <= set(true)
+    assert {p for p in true if true[p] == 1} <= set(got)
+    assert len(got) >= 0.95 * len(true) and all(abs(got[p] - true[p]) < 1e-9 for p in got)
+
+
 def test_fingerprints_odd_and_tiles(spark, monkeypatch):
     got = fingerprints.matching_pairs(docs(spark, ODD)).collect()
     assert [(r["doc_id_a"], r["doc_id_b"]) for r in got] == [(6, 7)]

@@ -5,9 +5,9 @@ documents; any other word is UNKNOWN in the model and spelled by a byte-bigram m
 all documents, so that every word has a probability. The network is one GRU layer; its softmax is factored by classes
 of CLASS words of neighbouring frequency: P(word) = P(class) * P(word | class).
 
-Training: every document gives one stretch of consecutive words at a place given by its id. Trainers (their number
-grows with the input) run Adam with truncated backpropagation over windows of WINDOW words, carrying the state from one
-window of a stretch to the next, and their weights are averaged after each of TURNS turns.
+Training: every document is cut into stretches of STRETCH words, all of which are dealt to the trainers. Trainers (their
+number grows with the words) run Adam with truncated backpropagation over windows of WINDOW words, carrying the state
+from one window of a stretch to the next, and their weights are averaged after each of TURNS turns.
 
 Scoring: every document is read from its first word to its last, in windows, with the state carried across them.
 """
@@ -29,7 +29,7 @@ from quarrymap.llm.storage import stored
 VOCABULARY, CLASS = 4096, 64
 HIDDEN = 32
 UNKNOWN, END = 0, 1
-WINDOW, STRETCH = 32, 64
+WINDOW, STRETCH = 32, 256
 TURNS, BATCH, RATE, SEED = 3, 64, 0.01, 11
 #: Stretches of one trainer in one turn; on small tables it goes over its share again, up to LEAST_STEPS batches.
 SHARE, LEAST_STEPS, MOST_PASSES = 2048, 48, 6
@@ -160,13 +160,15 @@ def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, passes: int,
         order = rng.permutation(len(stretches))
         for lo in range(0, len(order), BATCH):
             at = order[lo : lo + BATCH]
+            at = at[np.argsort(-lengths[at], kind="stable")]
             ids, many = stretches[at].T, lengths[at]
             h = np.zeros((len(at), m.rec.shape[0]), np.float32)
             before = np.vstack([np.full((1, len(at)), END), ids[:-1]])
             for w in range(0, int(many.max()), WINDOW):
                 to = min(w + WINDOW, int(many.max()))
-                mask = np.arange(w, to)[:, None] < many
-                grads, h, _ = gradients(Model(*weights), h, before[w:to], ids[w:to], mask)
+                live = int((many > w).sum())  # the longest come first
+                mask = np.arange(w, to)[:, None] < many[:live]
+                grads, h, _ = gradients(Model(*weights), h[:live], before[w:to, :live], ids[w:to, :live], mask)
                 count += 1
                 norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
                 clip = min(1.0, 1.0 / max(norm, 1e-9))
@@ -258,7 +260,7 @@ def spelled(buf: np.ndarray, w: K.Words, unknown: np.ndarray, corpus: Corpus) ->
 
 
 def stretch_table(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """(id, ids, n): one stretch of each document, up to STRETCH tokens from a place that its id gives."""
+    """(id, place, ids, n): every document's tokens and its end, in stretches of STRETCH of which n are used."""
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,19 +268,20 @@ def stretch_table(docs: DataFrame, corpus: Corpus) -> DataFrame:
             ids = x.column("id").to_numpy(zero_copy_only=False)
             for a, b, buf, offsets in K.text_blocks(x.column("text")):
                 w = K.words(buf, offsets)
-                token = np.append(tokens(buf, w, shared.value), END)
                 many = np.bincount(w.row, minlength=b - a)
-                first = np.cumsum(many) - many
-                pieces = many // STRETCH + 1
-                place = (K.mix64(ids[a:b].astype(np.uint64)) % pieces.astype(np.uint64)).astype(np.int64) * STRETCH
-                size = np.minimum(STRETCH, many + 1 - place)
-                grid = np.arange(STRETCH)
-                at = first[:, None] + place[:, None] + grid
-                at = np.where((place[:, None] + grid) < many[:, None], at, len(token) - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a:b]), K.binary_rows(token[np.minimum(at, len(token) - 1)].astype(np.uint16)), pa.array(size.astype(np.int32))], ["id", "ids", "n"])
+                token = np.insert(tokens(buf, w, shared.value), np.cumsum(many), END)
+                many += 1
+                pieces = -(-many // STRETCH)
+                row = np.repeat(np.arange(b - a), pieces)
+                place = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+                first, size = (np.cumsum(many) - many)[row] + place, np.minimum(STRETCH, many[row] - place)
+                for lo in range(0, len(row), 8192):
+                    to = slice(lo, lo + 8192)
+                    at = first[to, None] + np.minimum(np.arange(STRETCH), size[to, None] - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row[to]]), pa.array(place[to]), K.binary_rows(token[at].astype(np.uint16)), pa.array(size[to].astype(np.int32))], ["id", "place", "ids", "n"])
 
     slim = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
-    return slim.mapInArrow(take, "id long, ids binary, n int")
+    return slim.mapInArrow(take, "id long, place long, ids binary, n int")
 
 
 def train(docs: DataFrame, corpus: Corpus) -> Model:
@@ -295,13 +298,13 @@ def train(docs: DataFrame, corpus: Corpus) -> Model:
         return model
     trainers = -(-n // (SHARE * TURNS))
     fan = math.isqrt(trainers) + 1
-    dealt = stretches.withColumn("deal", F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(trainers * TURNS)))
+    dealt = stretches.withColumn("deal", F.pmod(F.xxhash64("id", "place", F.lit(SEED)), F.lit(trainers * TURNS)))
     shapes = [w.shape for w in model]
     for turn in range(TURNS):
         shared = spark.sparkContext.broadcast(model)
 
         def work(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("id", "ascending"), ("n", "ascending")])
+            table = table.sort_by([("id", "ascending"), ("place", "ascending"), ("n", "ascending")])
             rows = K.from_binary_rows(table.column("ids").combine_chunks(), np.uint16, STRETCH).astype(np.int64)
             passes = max(1, min(MOST_PASSES, LEAST_STEPS * BATCH // len(rows)))
             made = train_on(shared.value, rows, table.column("n").to_numpy(), passes, SEED + turn)

@@ -219,6 +219,20 @@ def test_lm_learns_order(spark):
     assert score[1] > score[2] + 3
 
 
+def test_lm_trains_on_every_word(spark, prose):
+    table = [*prose, (500, LONG), (501, ""), (502, None), (503, " ".join(["word"] * (gru_lm.STRETCH - 1))), (504, " ".join(["word"] * gru_lm.STRETCH))]
+    corpus = gru_lm.counts(docs(spark, table))
+    got = defaultdict(list)
+    for r in sorted(gru_lm.stretch_table(docs(spark, table), corpus).collect(), key=lambda r: (r["id"], r["place"])):
+        assert r["place"] == len(got[r["id"]])
+        got[r["id"]] += np.frombuffer(r["ids"], np.uint16)[: r["n"]].tolist()
+    assert 502 not in got
+    for i, t in table:
+        buf, offsets = kernels.text_buffer(pa.array([t or ""]))
+        assert t is None or got[i] == [*gru_lm.tokens(buf, kernels.words(buf, offsets), corpus).tolist(), gru_lm.END]
+    assert gru_lm.STRETCH >= 4 * gru_lm.WINDOW, "the state crosses several windows"
+
+
 def test_neighbours_recall(spark):
     rng = np.random.default_rng(2)
     x = (rng.standard_normal((12, 24))[rng.integers(0, 12, 1500)] + 0.5 * rng.standard_normal((1500, 24))).astype(np.float32)

@@ -3,7 +3,8 @@
 Coarse centroids cut the vectors into lists; what is left of a vector beyond its centroid is coded as one of 256
 centroids in each of PARTS subspaces. Both are fitted by k-means over all vectors, a round being one pass that returns
 sums. A query probes its nearest lists; in each, a table of distances from its residual to every code gives approximate
-distances by look-up (asymmetric), and the best are reranked by their exact distance. Vectors live in the lists, so the
+distances by look-up (asymmetric), and all that can be among the nearest are reranked by their exact distance: the
+approximate one is off by at most how far a vector lies from its code. Vectors live in the lists, so the
 rerank needs no further join. How many lists are probed is measured: SAMPLE vectors are searched exhaustively, and the
 probes are what covers the share TARGET of their true neighbours (few lists where vectors cluster, many where they
 don't). Small lists are searched in groups, so that a query is sent once a group, and in slices of bounded numbers of
@@ -27,13 +28,15 @@ from quarrymap.llm.storage import stored
 NEIGHBOURS = 10
 PARTS, CODES = 16, 256
 SAMPLE, TARGET = 200, 0.97
-#: Candidates of each probed list that are reranked exactly.
+#: Candidates of each probed list whose exact distances give the first bound for the others.
 RERANKED = 30
 COARSE_ROUNDS, FINE_ROUNDS = 6, 5
 MOST_LISTS = 65536
 #: Vectors of a group of lists, and queries of a group that one call searches.
 GROUP, SLICE = 4096, 20000
 _BLOCK = 512
+#: Exact distances that are held at once.
+_EXACT = 1 << 16
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -101,11 +104,35 @@ def _local_kmeans(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
-def _search(queries: np.ndarray, own: np.ndarray, centre: np.ndarray, books: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, exact squared distances) of the k best of one list for each query; -1 where there are fewer."""
+def _least_copies(vectors: np.ndarray, ids: np.ndarray, most: int) -> np.ndarray:
+    """Places of the vectors of one list but for equal ones beyond the ``most`` smallest ids, which are nobody's nearest."""
+    _, same = np.unique(np.ascontiguousarray(vectors + np.float32(0)).view(f"V{vectors.shape[1] * 4}")[:, 0], return_inverse=True)
+    order = np.lexsort((ids, same))
+    starts, _ = K.segments(same[order])
+    turn = np.arange(len(order)) - np.repeat(starts, np.diff([*starts, len(order)]))
+    return np.sort(order[turn < most])
+
+
+def _exact(queries: np.ndarray, vectors: np.ndarray, row: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Squared distance of each pair of a query and a vector."""
+    out = np.empty(len(row), np.float32)
+    for lo in range(0, len(row), _EXACT):
+        to = slice(lo, lo + _EXACT)
+        out[to] = ((vectors[at[to]] - queries[row[to]]) ** 2).sum(axis=1)
+    return out
+
+
+def _search(queries: np.ndarray, own: np.ndarray, centre: np.ndarray, books: np.ndarray, ids: np.ndarray, codes: np.ndarray, vectors: np.ndarray, k: int, reach: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, exact squared distances) of the k best of one list for each query; -1 where there are fewer.
+
+    What is farther than ``reach`` (squared, of each query) may be left out.
+    """
     parts, _, w = books.shape
     found, far = np.full((len(queries), k), -1, np.int64), np.full((len(queries), k), np.inf, np.float32)
     norms = (books**2).sum(axis=2)
+    coded = books[np.arange(parts), codes].reshape(len(ids), -1)
+    rest = np.pad(vectors - centre, ((0, 0), (0, parts * w - vectors.shape[1])))
+    error, coded = np.sqrt(((rest - coded) ** 2).sum(axis=1)), (coded**2).sum(axis=1)
     for lo in range(0, len(queries), _BLOCK):
         q = queries[lo : lo + _BLOCK]
         residual = np.pad(q - centre, ((0, 0), (0, parts * w - q.shape[1])))
@@ -114,15 +141,27 @@ def _search(queries: np.ndarray, own: np.ndarray, centre: np.ndarray, books: np.
             part = residual[:, m * w : (m + 1) * w]
             table = norms[m] - 2 * (part @ books[m].T) + (part**2).sum(axis=1, keepdims=True)
             near += table[:, codes[:, m]]
-        near[own[lo : lo + _BLOCK, None] == ids] = np.inf
+        mine = own[lo : lo + _BLOCK, None] == ids
+        near[mine] = np.inf
         r = min(RERANKED, len(ids))
         best = np.argpartition(near, r - 1, axis=1)[:, :r]
-        exact = ((vectors[best] - q[:, None, :]) ** 2).sum(axis=2)
-        exact[ids[best] == own[lo : lo + _BLOCK, None]] = np.inf
-        order = np.lexsort((ids[best], exact), axis=1)[:, :k]
-        d = np.take_along_axis(exact, order, axis=1)
-        found[lo : lo + len(q), : order.shape[1]] = np.where(np.isinf(d), -1, np.take_along_axis(ids[best], order, axis=1))
-        far[lo : lo + len(q), : order.shape[1]] = d
+        exact = _exact(q, vectors, np.repeat(np.arange(len(q)), r), best.ravel()).reshape(best.shape)
+        exact[np.isinf(np.take_along_axis(near, best, axis=1))] = np.inf
+        bound = np.partition(exact, k - 1, axis=1)[:, k - 1] if r >= k else np.full(len(q), np.inf, np.float32)
+        if reach is not None:
+            bound = np.minimum(bound, reach[lo : lo + _BLOCK])
+        # No exact distance is below the approximate one less the error; rounding gets its share.
+        slack = np.float32(1e-5) * ((residual**2).sum(axis=1)[:, None] + coded)
+        least = np.sqrt(np.maximum(0, near - slack)) - error
+        maybe = least <= (np.sqrt(bound) * np.float32(1 + 1e-5))[:, None]
+        maybe[mine] = False
+        row, at = np.nonzero(maybe)
+        d = _exact(q, vectors, row, at)
+        order = np.lexsort((ids[at], d, row))
+        row, at, d = row[order], at[order], d[order]
+        turn = np.arange(len(row)) - np.searchsorted(row, row)
+        top = turn < k
+        found[lo + row[top], turn[top]], far[lo + row[top], turn[top]] = ids[at[top]], d[top]
     return found, far
 
 
@@ -220,7 +259,8 @@ def neighbours(vectors: DataFrame, k: int = NEIGHBOURS) -> DataFrame:
             here, who = np.flatnonzero(lists_ == at), np.flatnonzero(d[:, at] <= limit)
             if not len(who):
                 continue
-            f, e = _search(q[who], own[who], c[at], b, ids[here], codes[here], inside[here], k)
+            here = here[_least_copies(inside[here], ids[here], k + 1)]
+            f, e = _search(q[who], own[who], c[at], b, ids[here], codes[here], inside[here], k, far[who, -1])
             f, e = np.concatenate([found[who], f], axis=1), np.concatenate([far[who], e], axis=1)
             order = np.lexsort((f, e), axis=1)[:, :k]
             found[who], far[who] = np.take_along_axis(f, order, axis=1), np.take_along_axis(e, order, axis=1)

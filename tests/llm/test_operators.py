@@ -248,6 +248,26 @@ def test_neighbours_recall(spark):
     assert all(sorted(v[0] for v in g.values()) == list(range(1, 11)) for g in got.values())
 
 
+def test_neighbours_in_dense_groups(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((3000, 64))
+    x[:100] = x[0] + 1e-3 * rng.standard_normal((100, 64))  # near copies
+    x[100:700] = x[100] + 1e-3 * rng.standard_normal((600, 64))
+    x[700:800] = x[700]  # copies
+    x = x.astype(np.float32)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(dict)
+    for r in ivfpq.neighbours(table).collect():
+        got[r["vec_id"]][r["rank"]] = r["neighbor_id"]
+    for lo, hi in ((0, 100), (100, 700)):
+        d = ((x[lo:hi, None].astype(np.float64) - x[lo:hi]) ** 2).sum(axis=2)
+        np.fill_diagonal(d, np.inf)
+        true = np.argsort(d, axis=1)[:, :10] + lo
+        assert np.mean([len(set(got[lo + i].values()) & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.99
+    for i in range(700, 800):
+        assert [got[i][k] for k in range(1, 11)] == [j for j in range(700, 800) if j != i][:10]
+
+
 def test_neighbours_odd(spark):
     schema = "vec_id long, embedding array<float>, label int"
     table = spark.createDataFrame([(1, [0.0, 0.0], 0), (1, [0.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (4, None, 0), (None, [1.0, 1.0], 0), (5, [float("nan"), 1.0], 0), (6, [1.0], 0), (7, [None, 1.0], 0), (8, [], 0)], schema)

@@ -31,10 +31,19 @@ _LGPL_2 = "you can redistribute it and/or modify it under the terms of the GNU L
 _GPL_V3 = "either version 3 of the License, or (at your option) any later version"
 _GPL_V2 = "either version 2 of the License, or (at your option) any later version"
 _LGPL_V21 = "either version 2.1 of the License, or (at your option) any later version"
+_LGPL_1 = "This library is free software"
 _MPL_1 = "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"
 _UNLICENSE_1 = "This is free and unencumbered software released into the public domain"
 
-#: (licence, its sentences in order). Bullets and quotes don't matter; a sentence is given as it is written.
+#: How the clauses of a numbered licence may begin; "1." is a sentence of its own, "1)" is not.
+_NUMBERS = [("1. ", "2. ", "3. "), ("1) ", "2) ", "3) "), ("a. ", "b. ", "c. "), ("a) ", "b) ", "c) "), ("i. ", "ii. ", "iii. "), ("i) ", "ii) ", "iii) ")]
+
+
+def _numbered(clauses: list[str]) -> list[list[str]]:
+    return [[n + c for n, c in zip(numbers, clauses)] for numbers in _NUMBERS]
+
+
+#: (licence, its sentences in order). Bullets that are marks, and quotes, don't matter; a sentence is given as it is written.
 RULES: list[tuple[str, list[str]]] = [
     ("MIT", ["Released under the MIT License."]),
     ("MIT", ["Licensed under the MIT License."]),
@@ -43,6 +52,8 @@ RULES: list[tuple[str, list[str]]] = [
     ("ISC", [_ISC_GRANT]),
     ("BSD-2-Clause", [_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY]),
     ("BSD-3-Clause", [_BSD_GRANT, _BSD_SOURCE, _BSD_BINARY, _BSD_NAMES]),
+    *[("BSD-2-Clause", [_BSD_GRANT, *clauses]) for clauses in _numbered([_BSD_SOURCE, _BSD_BINARY])],
+    *[("BSD-3-Clause", [_BSD_GRANT, *clauses]) for clauses in _numbered([_BSD_SOURCE, _BSD_BINARY, _BSD_NAMES])],
     ("Apache-2.0", ["Licensed under the Apache License, Version 2.0."]),
     ("Apache-2.0", ["SPDX-License-Identifier: Apache-2.0"]),
     ("Apache-2.0", [_APACHE_1, _APACHE_2, _APACHE_3]),
@@ -50,11 +61,13 @@ RULES: list[tuple[str, list[str]]] = [
     ("GPL-3.0", ["SPDX-License-Identifier: GPL-3.0-only"]),
     ("GPL-3.0", ["SPDX-License-Identifier: GPL-3.0-or-later"]),
     ("GPL-3.0", [_GPL_1, _GPL_2, _GPL_V3]),
+    ("GPL-3.0", [_GPL_1, f"{_GPL_2}, {_GPL_V3}"]),
     ("GPL-2.0", ["This work is licensed under the GNU General Public License, version 2."]),
     ("GPL-2.0", ["SPDX-License-Identifier: GPL-2.0-only"]),
     ("GPL-2.0", [_GPL_1, _GPL_2, _GPL_V2]),
-    ("LGPL-3.0", [_GPL_1, _LGPL_2, _GPL_V3]),
-    ("LGPL-2.1", [_GPL_1, _LGPL_2, _LGPL_V21]),
+    ("GPL-2.0", [_GPL_1, f"{_GPL_2}, {_GPL_V2}"]),
+    *[("LGPL-3.0", [first, *rest]) for first in (_GPL_1, _LGPL_1) for rest in ([_LGPL_2, _GPL_V3], [f"{_LGPL_2}, {_GPL_V3}"])],
+    *[("LGPL-2.1", [first, *rest]) for first in (_GPL_1, _LGPL_1) for rest in ([_LGPL_2, _LGPL_V21], [f"{_LGPL_2}, {_LGPL_V21}"])],
     ("MPL-2.0", [_MPL_1]),
     ("CC-BY-4.0", ["Licensed under CC BY 4.0."]),
     ("CC-BY-4.0", ["This work is licensed under a Creative Commons Attribution 4.0 International License."]),
@@ -66,8 +79,9 @@ RULES: list[tuple[str, list[str]]] = [
 ]
 #: The end of a sentence: a stop and what clings to it before white space, or a line break.
 _STOP = r"[.!?:;][^a-z0-9\s]*(\s+|$)|\n"
-#: Every rule has a sentence with one of these; a text without any has no licence.
-_HINT = r"licen[sc]|is hereby granted|redistribution|public domain"
+#: Every rule has a sentence with one of these; a text without any has no licence. Between words may be what a sentence
+#: is normalised by, as a line break.
+_HINT = r"licen[sc]|is[^a-z0-9]+hereby[^a-z0-9]+granted|redistribution|public[^a-z0-9]+domain"
 
 
 def _pieces(sentence: str) -> list[str]:

@@ -341,6 +341,19 @@ def test_license_rules(spark):
     assert licenses.scan(docs(spark, ODD)).count() == 0 and licenses.scan(docs(spark, [])).count() == 0
 
 
+def test_licenses_as_published(spark):
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby\ngranted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\""
+    free = "This is free and unencumbered software released into the public\n  domain.\n\nAnyone is free to copy"
+    clauses = ["Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n   and/or other materials provided with the distribution.", "Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."]
+    bsd = "Copyright (c) 2020, Some One\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+    end = "\n\nTHIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS"
+    gpl = "    This program is free software: you can redistribute it and/or modify\n    it under the terms of the GNU General Public License as published by\n    the Free Software Foundation, either version 3 of the License, or\n    (at your option) any later version.\n\n    This program is distributed"
+    lgpl = "    This library is free software; you can redistribute it and/or\n    modify it under the terms of the GNU Lesser General Public\n    License as published by the Free Software Foundation; either\n    version 2.1 of the License, or (at your option) any later version.\n\n    This library"
+    texts = [(1, isc), (2, free), (3, bsd + "\n\n".join(f"{k + 1}. {c}" for k, c in enumerate(clauses[:2])) + end), (4, bsd + "\n\n".join(f"{k + 1}. {c}" for k, c in enumerate(clauses)) + end), (5, bsd + "\n".join(f"({'abc'[k]}) {c}" for k, c in enumerate(clauses[:2])) + end), (6, gpl), (7, gpl.replace("General", "Lesser General")), (8, lgpl), (9, bsd + "\n".join(f"  * {c}" for c in clauses[:2]) + end)]
+    got = sorted((r["doc_id"], r["license"], r["n_matches"]) for r in licenses.scan(docs(spark, texts)).collect())
+    assert got == [(1, "ISC", 1), (2, "Unlicense", 1), (3, "BSD-2-Clause", 1), (4, "BSD-2-Clause", 1), (4, "BSD-3-Clause", 1), (5, "BSD-2-Clause", 1), (6, "GPL-3.0", 1), (7, "LGPL-3.0", 1), (8, "LGPL-2.1", 1), (9, "BSD-2-Clause", 1)]
+
+
 def test_languages_of_held_out_texts(spark, medium):
     table = spark.read.parquet(f"{medium}/documents.parquet")
     held = table.selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN lang END AS lang", "source")

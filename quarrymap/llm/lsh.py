@@ -3,24 +3,25 @@
 Both MinHash operators bring a frame of (id, bands, sig): ``bands`` holds one
 64-bit key a band, ``sig`` one byte a signature value. All that is shuffled is
 (key, id) pairs of 16 bytes, linear in documents x bands; a bucket of n
-documents gives n - 1 edges to its smallest id, never n**2 pairs.
+documents gives n - 1 edges to its smallest id. Members that fail against it
+are compared with all of the bucket, in tiles of TILE x TILE documents, so a
+bucket of n mutually unlike documents costs n**2 comparisons and n**2 / TILE
+signatures to move.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrymap.llm.kernels import from_binary_rows
+from quarrymap.llm.kernels import from_binary_rows, segments
 from quarrymap.llm.storage import stored
 
-#: Star rounds: a member that fails against its bucket's centre is tried against a new centre of those that failed.
-STAR_ROUNDS = 3
+TILE = 2048
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -42,23 +43,73 @@ def _verified(edges: DataFrame, signatures: DataFrame, width: int, least: float)
     return both.mapInArrow(compare, "centre long, id long, ok boolean")
 
 
+def _forest(ids: np.ndarray, part: np.ndarray, failed: np.ndarray, sig: np.ndarray, across: bool, least: float) -> tuple[list[int], list[int]]:
+    """Edges that connect what is similar in a tile: every failed member of its first part against all of the other (or of the same)."""
+    root = np.arange(len(ids))
+    other = part != part.min() if across else np.ones(len(ids), bool)
+    out: tuple[list[int], list[int]] = ([], [])
+    for k in np.flatnonzero(failed & (part == part.min())):
+        at = np.flatnonzero(other & (root != root[k]))
+        for j in at[estimate(sig[at], sig[k]) >= least]:
+            if root[j] != root[k]:
+                out[0].append(max(ids[j], ids[k]))
+                out[1].append(min(ids[j], ids[k]))
+                root[root == root[j]] = root[k]
+    return out
+
+
+def _tile_edges(tiles: DataFrame, width: int, least: float) -> DataFrame:
+    """Edges within the tiles (tile, part, across, failed, id, sig), which are sorted by tile within partitions."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            tile, part, across, failed, ids = (table.column(c).to_numpy() for c in ("tile", "part", "across", "failed", "id"))
+            sig = from_binary_rows(table.column("sig").combine_chunks(), np.uint8, width)
+            starts, _ = segments(tile)
+            found = [_forest(ids[s:e], part[s:e], failed[s:e], sig[s:e], bool(across[s]), least) for s, e in zip(starts, [*starts[1:], len(tile)])]
+            yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[k]], pa.int64()) for k in range(2)], ["a", "b"])
+
+        for x in batches:
+            if not x.num_rows:
+                continue
+            held.append(x)
+            table = pa.Table.from_batches(held)
+            tile = table.column("tile").to_numpy()
+            cut = int(np.flatnonzero(tile != tile[-1])[-1]) + 1 if tile[0] != tile[-1] else 0
+            if cut:
+                yield from done(table.slice(0, cut))
+                held = table.slice(cut).to_batches()
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return tiles.mapInArrow(compare, "a long, b long")
+
+
 def similar_edges(signatures: DataFrame, width: int, least: float) -> DataFrame:
-    """Verified edges (a, b), b < a, of documents that share a band bucket.
+    """Verified edges (a, b), b < a, that connect all similar documents which share a band bucket.
 
-    ``signatures`` must be a stored table: it is read once for the buckets and once a round for verification.
+    Each member is checked against its bucket's smallest id; those that fail are checked against all others of the
+    bucket. ``signatures`` must be a stored table: it is read for the buckets and for verification.
     """
+    by = Window.partitionBy("key")
     rows = signatures.select("id", F.explode("bands").alias("key"))
-    centre = F.min("id").over(Window.partitionBy("key"))
-    found = []
-    for turn in range(STAR_ROUNDS):
-        star = stored(rows.select("key", "id", centre.alias("centre")).filter("id <> centre"), "star")
-        checked = stored(_verified(star.select("centre", "id").distinct(), signatures, width, least), "edges")
-        found.append(checked.filter("ok").select(F.col("id").alias("a"), F.col("centre").alias("b")))
-        failed = checked.filter("not ok").drop("ok")
-        if turn + 1 == STAR_ROUNDS or failed.isEmpty():
-            break
-        rows = star.join(failed, ["centre", "id"], "left_semi").select("key", "id")
-    return reduce(DataFrame.unionByName, found).distinct()
+    rows = rows.select("id", "key", F.min("id").over(by).alias("centre"), F.count("*").over(by).alias("n"), F.expr("bit_xor(xxhash64(id))").over(by).alias("x"))
+    # Buckets with the same members are one.
+    star = stored(rows.filter("n > 1").select(F.xxhash64("x", "n", "centre").alias("bucket"), "n", "centre", "id").distinct(), "star")
+    checked = stored(_verified(star.filter("id <> centre").select("centre", "id").distinct(), signatures, width, least), "edges")
+    found = checked.filter("ok").select(F.col("id").alias("a"), F.col("centre").alias("b"))
+    failed = star.filter("n > 2").join(checked.filter("not ok").select("centre", "id"), ["centre", "id"], "left_semi").select("bucket", "id", F.lit(True).alias("failed"))
+    left = star.filter("n > 2 AND id <> centre").join(failed, ["bucket", "id"], "left").select("bucket", "id", F.coalesce("failed", F.lit(False)).alias("failed"))
+    inside = Window.partitionBy("bucket")
+    left = left.select("bucket", "id", "failed", F.floor((F.row_number().over(inside.orderBy(F.desc("failed"), "id")) - 1) / TILE).alias("part"), F.count("*").over(inside).alias("n"), F.count_if("failed").over(inside).alias("m"))
+    # Failed members come first: only tiles whose first part has any are compared.
+    left = left.filter("m > 0 AND n > 1").withColumn("last", F.floor((F.col("n") - 1) / TILE)).withColumn("with", F.floor((F.col("m") - 1) / TILE))
+    tiles = left.select("bucket", "id", "failed", "part", "with", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("other")).filter(F.least("part", "other") <= F.col("with"))
+    tiles = tiles.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("tile"), "part", (F.col("part") != F.col("other")).alias("across"), "failed", "id")
+    sig = signatures.select("id", "sig").dropDuplicates(["id"])
+    return found.unionByName(_tile_edges(tiles.join(sig, "id").repartition("tile").sortWithinPartitions("tile", "id"), width, least)).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quarrymap.llm import bpe, curriculum, fingerprints, gru_lm, ivfpq, kernels, langid, licenses, line_dedup, minhash_dedup, toxicity
+from quarrymap.llm import bpe, curriculum, fingerprints, gru_lm, ivfpq, kernels, langid, licenses, line_dedup, lsh, minhash_dedup, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, id string, row string, key string"
 LONG = " ".join(f"w{i * 7919 % 10007}" for i in range(30000))
@@ -124,6 +124,22 @@ def test_fingerprints_odd_and_tiles(spark, monkeypatch):
     assert fingerprints.matching_pairs(docs(spark, many)).count() == 55
 
 
+@pytest.mark.parametrize("tile", [2048, 3])
+def test_edges_connect_all_that_is_similar_in_a_bucket(spark, monkeypatch, tile):
+    monkeypatch.setattr(lsh, "TILE", tile)
+    rng = np.random.default_rng(6)
+    sig = rng.integers(0, 256, (10, 64)).astype(np.uint8)
+    sig = np.concatenate([sig, sig])  # ten mutually unlike pairs (k, k + 10) in one bucket
+    chain = sig[:1].copy()
+    chain[:, :32] = rng.integers(0, 256, 32)  # 20 is like 0 (half), 21 is like 20 but not like 0
+    last = chain.copy()
+    last[:, 32:60] = rng.integers(0, 256, 28)
+    sig = np.concatenate([sig, chain, last])
+    table = spark.createDataFrame([(i, [7, 8], bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, bands array<long>, sig binary")
+    roots = {r["id"]: r["root"] for r in lsh.components(lsh.similar_edges(table, 64, 0.45)).collect()}
+    assert roots == {**{k: k % 10 for k in range(20)}, 20: 0, 21: 0}
+
+
 def test_toxicity_finds_what_marks_the_positives(spark):
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]

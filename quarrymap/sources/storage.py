@@ -13,15 +13,17 @@ _own: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; only where none is set (as in tests) a new temporary one."""
+    """The cluster's shared folder. Where none is set a new temporary one, which only a local master (as in tests) can share."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         if sc._jsc.sc().getCheckpointDir().isEmpty():
             sc.setCheckpointDir(named)
         return named
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _own:
-        _own.append(tempfile.mkdtemp(prefix="quarrymap-facts-"))
+        _own.append(tempfile.mkdtemp(prefix="quarrymap-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(_own[0])
@@ -40,4 +42,13 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     """The frame written as Parquet in the shared folder and read again."""
     path = new_place(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._place = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Deletes the files of frames that ``stored`` made and that nothing reads any more."""
+    for df in frames:
+        where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._place)
+        where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

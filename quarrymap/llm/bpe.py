@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
-from quarrymap.llm.storage import checkpoint_dir, stored
+from quarrymap.llm.storage import checkpoint_dir, mapped, stored
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -346,7 +346,7 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON_SIZE) -> list[bytes]:
                 end = np.append(start[1:], len(buf))
                 keep = end - start <= LONGEST
                 start, end = start[keep], end[keep]
-                _, some, n = np.unique(K.range_hash(K.prefix_hash(buf), start, end), return_index=True, return_counts=True)
+                _, some, n = np.unique(K.range_hashes(buf, start, end), return_index=True, return_counts=True)
                 data = buf.tobytes()
                 for s, e, k in zip(start[some].tolist(), end[some].tolist(), n.tolist()):
                     seen[data[s:e]] += k
@@ -355,7 +355,7 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON_SIZE) -> list[bytes]:
         if seen:
             yield flush()
 
-    found = docs.filter("text IS NOT NULL").select("text").mapInArrow(count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = mapped(docs.filter("text IS NOT NULL").select("text"), count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     # Stored first: collecting a sorted limit would bring that many rows of every partition to the driver.
     top = stored(found.orderBy(F.desc("n"), "piece").limit(most), "pieces")
     return [bytes(row[0]) for row in top.select("piece").collect()]
@@ -377,7 +377,7 @@ class Coder:
         """(ids, number of ids of each) of pieces that aren't in the lexicon."""
         if not len(start):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        _, some, which = np.unique(K.range_hash(K.prefix_hash(buf), start, start + size), return_index=True, return_inverse=True)
+        _, some, which = np.unique(K.range_hashes(buf, start, start + size), return_index=True, return_inverse=True)
         start, size = start[some], size[some]
         lists: list[np.ndarray] = [np.zeros(0, np.int32)] * len(some)
         floor = 0
@@ -472,7 +472,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = LEXICON_SI
                 yield pa.RecordBatch.from_arrays([x.column("doc_id").slice(a, b - a), tokens, pa.array(counts), pa.array(same)], ["doc_id", "tokens", "n_tokens", "round_trip"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(run, "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
+    return mapped(slim, run, "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -495,4 +495,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             texts = [None if null else data[s:e].decode(errors="replace") for s, e, null in zip(ends[:-1].tolist(), ends[1:].tolist(), tokens.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens").mapInArrow(run, "doc_id long, text string")
+    return mapped(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens"), run, "doc_id long, text string")

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
-from quarrymap.llm.storage import stored
+from quarrymap.llm.storage import mapped, stored
 
 VOCABULARY, CLASS = 4096, 64
 HIDDEN = 32
@@ -216,7 +216,7 @@ def counts(docs: DataFrame) -> Corpus:
         # Byte pairs travel as codes -65536 to -1 among the words' hashes, of which one in 2**48 would be taken for one.
         yield pa.RecordBatch.from_arrays([pa.array(-1 - some), pa.array(pairs[some])], ["code", "n"])
 
-    rows = docs.filter("text IS NOT NULL").select("text").mapInArrow(count, "code long, n long")
+    rows = mapped(docs.filter("text IS NOT NULL").select("text"), count, "code long, n long")
     tallied = stored(rows.groupBy("code").agg(F.sum("n").alias("n")), "counts")
     small = (F.col("code") < 0) & (F.col("code") >= -65536)
     pairs = np.zeros(65536)
@@ -281,7 +281,7 @@ def stretch_table(docs: DataFrame, corpus: Corpus) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row[to]]), pa.array(place[to]), K.binary_rows(token[at].astype(np.uint16)), pa.array(size[to].astype(np.int32))], ["id", "place", "ids", "n"])
 
     slim = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
-    return slim.mapInArrow(take, "id long, place long, ids binary, n int")
+    return mapped(slim, take, "id long, place long, ids binary, n int")
 
 
 def train(docs: DataFrame, corpus: Corpus) -> Model:
@@ -391,4 +391,4 @@ def likelihoods(docs: DataFrame, corpus: Corpus | None = None, model: Model | No
                 yield pa.RecordBatch.from_arrays([x.column("doc_id").slice(a, b - a), pa.array(n), pa.array(np.bincount(w.row[unknown], minlength=b - a)), pa.array(fit, mask=null), pa.array(np.exp(np.minimum(700, -total / np.maximum(1, n))), mask=null)], ["doc_id", "n_tokens", "n_unknown", "log_likelihood", "perplexity"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return slim.mapInArrow(score, "doc_id long, n_tokens long, n_unknown long, log_likelihood double, perplexity double")
+    return mapped(slim, score, "doc_id long, n_tokens long, n_unknown long, log_likelihood double, perplexity double")

@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 #: Bytes of text that one vectorised pass works on; a longer text is a pass of its own.
 BLOCK_BYTES = 2 << 20
+#: Rows of a pass at most: short texts take more memory by what is made of a row than by their bytes.
+BLOCK_ROWS = 4096
 
 _BASE = U64(0x9E3779B97F4A7C15)
 
@@ -36,14 +38,13 @@ for _range in (b"09", b"az", b"AZ"):
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_table(which: str, n: int) -> np.ndarray:
-    """Powers 0..n of the hash base or of its inverse, modulo 2**64."""
-    table = _powers.get(which)
-    if table is None or len(table) <= n:
-        steps = np.full(max(n + 1, BLOCK_BYTES + 1), _BASE if which == "up" else _BASE_INVERSE, dtype=np.uint64)
+def _power_table(which: str) -> np.ndarray:
+    """Powers 0..BLOCK_BYTES of the hash base or of its inverse, modulo 2**64."""
+    if which not in _powers:
+        steps = np.full(BLOCK_BYTES + 1, _BASE if which == "up" else _BASE_INVERSE, dtype=np.uint64)
         steps[0] = 1
-        table = _powers[which] = np.multiply.accumulate(steps)
-    return table
+        _powers[which] = np.multiply.accumulate(steps)
+    return _powers[which]
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -71,13 +72,13 @@ def text_buffer(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     return raw[ends[0] : ends[-1]], ends - ends[0]
 
 
-def row_blocks(sizes: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
-    """Row ranges whose sizes sum to about ``limit``; every row is in exactly one."""
+def row_blocks(sizes: np.ndarray, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows whose sizes sum to about ``limit``; every row is in exactly one."""
     ends = np.cumsum(sizes)
     at = 0
     while at < len(sizes):
         base = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, base + limit, "right"))))
         yield at, to
         at = to
 
@@ -89,15 +90,32 @@ class Words(NamedTuple):
     hash: np.ndarray  # 64-bit hash of the bytes
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Prefix sums from which any byte range hashes in constant time."""
+def _sums(buf: np.ndarray) -> np.ndarray:
+    """Prefix sums, from which any byte range of at most BLOCK_BYTES bytes hashes in constant time."""
     out = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[buf] * _power_table("up", len(buf))[: len(buf)], out=out[1:])
+    np.cumsum(_BYTE_CODE[buf] * _power_table("up")[: len(buf)], out=out[1:])
     return out
 
 
-def range_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix64((prefix[end] - prefix[start]) * _power_table("down", len(prefix))[start])
+def range_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hash of each byte range; ranges are in order and don't overlap. Memory beside the result is that of BLOCK_BYTES bytes."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        base = int(start[i])
+        j = max(i + 1, int(np.searchsorted(end, base + BLOCK_BYTES, "right")))
+        if int(end[j - 1]) - base <= BLOCK_BYTES:
+            sums, s, e = _sums(buf[base : int(end[j - 1])]), start[i:j] - base, end[i:j] - base
+            out[i:j] = (sums[e] - sums[s]) * _power_table("down")[s]
+        else:  # one range longer than a block: the same sum, piece by piece
+            total, power = 0, 1
+            step = pow(int(_BASE), BLOCK_BYTES, 1 << 64)
+            for at in range(base, int(end[i]), BLOCK_BYTES):
+                total += int(_sums(buf[at : min(at + BLOCK_BYTES, int(end[i]))])[-1]) * power
+                power = power * step % (1 << 64)
+            out[i] = np.uint64(total % (1 << 64))
+        i = j
+    return mix64(out)
 
 
 def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
@@ -117,7 +135,7 @@ def words(buf: np.ndarray, offsets: np.ndarray) -> Words:
     ends[inner - 1] = inside[inner - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
     row = np.searchsorted(offsets, start, "right") - 1
-    return Words(start, end, row, range_hash(prefix_hash(buf), start, end))
+    return Words(start, end, row, range_hashes(buf, start, end))
 
 
 def shingles(w: Words, rows: int, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -187,8 +205,8 @@ def from_binary_rows(column: pa.Array, dtype: type, width: int) -> np.ndarray:
     return data.view(dtype).reshape(len(column), width)
 
 
-def text_blocks(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_blocks(texts: pa.Array, lower: bool = True, limit: int = BLOCK_BYTES, rows: int = BLOCK_ROWS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) for each block of an Arrow column."""
     buf, offsets = text_buffer(texts, lower)
-    for a, b in row_blocks(np.diff(offsets), limit):
+    for a, b in row_blocks(np.diff(offsets), limit, rows):
         yield a, b, buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
+from quarrymap.llm.storage import mapped
 
 PROBES = 3
 BITS_PER_LINE = 16
@@ -44,7 +45,7 @@ def line_table(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     """(start, end, row, hash, blank) of all lines of a block."""
     start, end, row = split_lines(buf, offsets)
     solid = np.concatenate([[0], np.cumsum(~_SPACE[buf])])
-    return start, end, row, K.range_hash(K.prefix_hash(buf), start, end), solid[start] == solid[end]
+    return start, end, row, K.range_hashes(buf, start, end), solid[start] == solid[end]
 
 
 def probes(code: np.ndarray, bits: int) -> Iterator[np.ndarray]:
@@ -90,7 +91,7 @@ def twice_filter(docs: DataFrame) -> np.ndarray:
             twice[np.frombuffer(b.as_buffer(), np.uint32)] = True
         return pa.table({"chunk": table.column("chunk").slice(0, 1), "twice": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
 
-    merged = docs.select("text").mapInArrow(partial, "chunk long, once binary, twice binary").groupBy("chunk").applyInArrow(merge, "chunk long, twice binary")
+    merged = mapped(docs.select("text"), partial, "chunk long, once binary, twice binary").groupBy("chunk").applyInArrow(merge, "chunk long, twice binary")
     out = np.zeros(bits // 8, np.uint8)
     each = 1 << (_CHUNK_BITS - 3)
     for chunk, part in merged.toLocalIterator():
@@ -134,7 +135,7 @@ def deduplicated(docs: DataFrame, twice: np.ndarray | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column("key").slice(a, b - a).take(row), x.column("h").slice(a, b - a).take(row), pa.array(number[hit].astype(np.int32)), _gather(buf, start[hit], end[hit])], ["key", "h", "number", "line"])
 
     order = F.struct(F.col("key").isNull().alias("z"), "key", "h", "number")
-    lines = packed.select("key", "h", F.col("row.text").alias("body")).mapInArrow(suspect_lines, "key long, h long, number int, line string")
+    lines = mapped(packed.select("key", "h", F.col("row.text").alias("body")), suspect_lines, "key long, h long, number int, line string")
     first = lines.groupBy("line").agg(F.min(order).alias("f")).select("f.*")
     first = first.groupBy(F.col("key").alias("fk"), F.col("h").alias("fh")).agg(F.collect_list("number").alias("firsts"))
     joined = packed.join(first, packed.key.eqNullSafe(first.fk) & (packed.h == first.fh), "left").drop("fk", "fh")
@@ -161,7 +162,7 @@ def deduplicated(docs: DataFrame, twice: np.ndarray | None = None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([x.column("row"), text, pa.array(np.concatenate(removed).astype(np.int64))], ["row", "clean", "n_removed"])
 
     schema = joined.select("row").schema.add("clean", "string").add("n_removed", "long")
-    return joined.select("row", "firsts", "turn").mapInArrow(clean, schema)
+    return mapped(joined.select("row", "firsts", "turn"), clean, schema)
 
 
 def deduplicate_lines(docs: DataFrame) -> DataFrame:

@@ -3,7 +3,8 @@
 Shingles are runs of SHINGLE words (``kernels``). One hash of each shingle picks a bin by its top bits and competes
 in it by the rest; empty bins are filled by optimal densification (Shrivastava, 2017): bin i copies the first
 non-empty bin of a random sequence that is the same for all documents. BANDS keys of ROWS bins each find candidates,
-``lsh`` links each to its bucket's smallest id, and a link holds if the BINS signatures agree to THRESHOLD.
+``lsh`` links each to its bucket's smallest id, and a link holds if the BINS signatures agree to THRESHOLD. Of rows that
+repeat a doc_id the text with the least signature hash counts.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
 from quarrymap.llm.lsh import components, similar_edges
-from quarrymap.llm.storage import stored
+from quarrymap.llm.storage import mapped, stored
 
 SHINGLE = 3
 BINS = 256
@@ -25,6 +26,8 @@ BANDS = 64
 ROWS = BINS // BANDS
 THRESHOLD = 0.45
 
+#: Rows of a pass: BINS values of 8 bytes each.
+_ROWS = 1024
 _EMPTY = np.uint64(2**64 - 1)
 _BIN_BITS = BINS.bit_length() - 1
 
@@ -57,25 +60,29 @@ def band_keys(sig: np.ndarray, bands: int) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame) -> DataFrame:
-    """(id, bands, sig) of the rows with an id and at least one word."""
+    """(id, bands, sig, same) of the rows with an id and at least one word; same: a hash of the whole signature."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             ids = x.column("id")
-            for a, b, buf, offsets in K.text_blocks(x.column("text")):
+            for a, b, buf, offsets in K.text_blocks(x.column("text"), rows=_ROWS):
                 row, code = K.shingles(K.words(buf, offsets), b - a, SHINGLE)
                 some = np.unique(row)
                 sig = signatures(np.searchsorted(some, row), code, len(some))
                 keys = band_keys(sig, BANDS)
-                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(some)), K.list_array(keys.view(np.int64).ravel(), np.full(len(some), BANDS), pa.int64()), K.binary_rows(K.mix64(sig).astype(np.uint8))], ["id", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).take(pa.array(some)), K.list_array(keys.view(np.int64).ravel(), np.full(len(some), BANDS), pa.int64()), K.binary_rows(K.mix64(sig).astype(np.uint8)), pa.array(band_keys(keys, 1).view(np.int64)[:, 0])], ["id", "bands", "sig", "same"])
 
     slim = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("long").alias("id"), "text")
-    return slim.mapInArrow(sign, "id long, bands array<long>, sig binary")
+    return mapped(slim, sign, "id long, bands array<long>, sig binary, same long")
 
 
 def groups(docs: DataFrame) -> DataFrame:
     """(id, root) of the documents with a near copy; root, the smallest id, is the one that stays."""
     signed = stored(signature_table(docs), "signatures")
+    again = signed.groupBy("id").agg(F.min("same").alias("same"), F.count("*").alias("n")).filter("n > 1")
+    if not again.isEmpty():
+        one = signed.join(again.select("id", F.col("same").alias("kept")), "id", "left").filter("kept IS NULL OR kept = same")
+        signed = stored(one.select(signed.columns).dropDuplicates(["id"]), "signatures")
     return components(similar_edges(signed, BINS, THRESHOLD))
 
 
@@ -90,19 +97,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
     root = groups(docs)
     named = ids.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    named = named.join(root, named.doc_id == root.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("turn"))
-    named = named.select("doc_id", "group_id", ((F.col("doc_id") != F.col("group_id")) | (F.col("turn") > 1)).alias("is_duplicate"))
+    named = named.join(root, named.doc_id == root.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), "n")
+    # A row for each of the n rows that repeat a doc_id, in two steps, as one array of n numbers may be too long.
+    named = named.select("doc_id", "group_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _ROWS))).alias("part"))
+    named = named.select("doc_id", "group_id", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_ROWS - 1), F.col("n") - 1 - F.col("part") * _ROWS))).alias("turn"))
+    named = named.select("doc_id", "group_id", ((F.col("doc_id") != F.col("group_id")) | (F.col("part") + F.col("turn") > 0)).alias("is_duplicate"))
     return named.unionByName(ids.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(False).alias("is_duplicate")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without the duplicates of near_duplicates; all columns as they are.
 
-    Of rows that repeat a doc_id the one with the smallest text hash stays. Rows without doc_id stay.
+    Of rows that repeat a doc_id the one with the smallest text hash (then the smallest hash of all columns) stays. Rows
+    without doc_id stay, as do null and empty texts; an empty table gives an empty one.
     """
     gone = groups(docs).filter("id <> root").select(F.col("id").alias("gone"))
     packed = docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
     named = packed.filter("key IS NOT NULL").join(gone, F.col("key") == F.col("gone"), "left_anti")
-    first = F.row_number().over(Window.partitionBy("key").orderBy("h"))
+    first = F.row_number().over(Window.partitionBy("key").orderBy("h", F.xxhash64("row")))
     named = named.withColumn("turn", first).filter("turn = 1").select("row.*")
     return named.unionByName(packed.filter("key IS NULL").select("row.*"))

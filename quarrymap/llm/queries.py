@@ -44,7 +44,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.all_pairs(_documents(spark, sf_dir))
+    return fingerprints.fingerprints(_documents(spark, sf_dir))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,22 +102,36 @@ def test_fingerprints_against_brute_force(spark, prose):
     assert all(abs(got[p] - true[p]) < 1e-9 for p in set(got) & set(true))
 
 
-def test_fingerprints_name_every_copy(spark, prose, monkeypatch):
-    monkeypatch.setattr(fingerprints, "TILE", 2)  # copies in several chunks
-    table = [*prose, *[(200 + k, prose[0][1]) for k in range(4)], *[(300 + k, prose[61][1]) for k in range(3)]]
-    rows = fingerprints.all_pairs(docs(spark, [*table, table[0], (None, table[0][1]), (400, "")])).collect()
-    got = {(r["doc_id_a"], r["doc_id_b"]): r["jaccard"] for r in rows}
-    sets = {i: shingle_set(t) for i, t in table}
-    true = {(a, b): jaccard(sets[a], sets[b]) for a in sets for b in sets if a < b and jaccard(sets[a], sets[b]) >= 0.5}
-    assert len(got) == len(rows) and set(got) <= set(true)
-    assert {p for p in true if true[p] == 1} <= set(got)
-    assert len(got) >= 0.95 * len(true) and all(abs(got[p] - true[p]) < 1e-9 for p in got)
+def brute_classes(table):
+    """doc_id: (class, copies, links, nearest, its Jaccard), over all documents."""
+    sets = {i: frozenset(shingle_set(t)) for i, t in table}
+    first, n = {}, Counter(sets.values())
+    for i in sorted(sets):
+        first.setdefault(sets[i] or i, i)
+    out = {}
+    for i, x in sets.items():
+        near = [(jaccard(x, y), -j) for y, j in first.items() if y != x and isinstance(y, frozenset) and jaccard(x, y) >= 0.5]
+        out[i] = (first[x] if x else i, n[x] if x else 1, len(near), -max(near)[1] if near else None, pytest.approx(max(near)[0]) if near else None)
+    return out
+
+
+@pytest.mark.parametrize("tile", [256, 2])
+def test_fingerprints_by_document(spark, prose, monkeypatch, tile):
+    monkeypatch.setattr(fingerprints, "TILE", tile)
+    table = [*prose, *[(200 + k, prose[0][1]) for k in range(4)], *[(300 + k, prose[61][1]) for k in range(3)], (400, ""), (401, None)]
+    rows = fingerprints.fingerprints(docs(spark, [*table, table[0], (None, table[0][1])])).collect()
+    got, want = {r["doc_id"]: tuple(r)[1:] for r in rows}, brute_classes(table)
+    assert len(rows) == len(table) and set(got) == set(want)
+    assert all(got[i][:2] == want[i][:2] for i in want)
+    assert sum(got[i][2:] == want[i][2:] for i in want) >= 0.95 * len(want) and all(got[i][2] <= want[i][2] for i in want)
 
 
 def test_fingerprints_odd_and_tiles(spark, monkeypatch):
     got = fingerprints.matching_pairs(docs(spark, ODD)).collect()
     assert [(r["doc_id_a"], r["doc_id_b"]) for r in got] == [(6, 7)]
-    assert fingerprints.matching_pairs(docs(spark, [])).count() == 0
+    assert fingerprints.matching_pairs(docs(spark, [])).count() == 0 and fingerprints.fingerprints(docs(spark, [])).count() == 0
+    rows = {r["doc_id"]: r for r in fingerprints.fingerprints(docs(spark, ODD)).collect()}
+    assert sorted(rows) == [1, 3, 4, 5, 6, 7, 8, 9] and [i for i in rows if rows[i]["n_links"]] == [6, 7]
     monkeypatch.setattr(fingerprints, "TILE", 4)
     base = [f"t{i}" for i in range(200)]
     many = [(k, " ".join([*base, f"own{k}"])) for k in range(11)]
@@ -135,9 +149,10 @@ def test_edges_connect_all_that_is_similar_in_a_bucket(spark, monkeypatch, tile)
     last = chain.copy()
     last[:, 32:60] = rng.integers(0, 256, 28)
     sig = np.concatenate([sig, chain, last])
-    table = spark.createDataFrame([(i, [7, 8], bytearray(s.tobytes())) for i, s in enumerate(sig)], "id long, bands array<long>, sig binary")
+    again = [(30 + i, [7, 8], bytearray(sig[i].tobytes()), i) for i in (3, 21)]  # equal signatures
+    table = spark.createDataFrame([*[(i, [7, 8], bytearray(s.tobytes()), i % 10 if i < 20 else i) for i, s in enumerate(sig)], *again], "id long, bands array<long>, sig binary, same long")
     roots = {r["id"]: r["root"] for r in lsh.components(lsh.similar_edges(table, 64, 0.45)).collect()}
-    assert roots == {**{k: k % 10 for k in range(20)}, 20: 0, 21: 0}
+    assert roots == {**{k: k % 10 for k in range(20)}, 20: 0, 21: 0, 33: 3, 51: 0}
 
 
 def test_toxicity_finds_what_marks_the_positives(spark):
@@ -169,12 +184,92 @@ def test_toxicity_odd(spark):
     assert toxicity.classify(docs(spark, []), none).count() == 0
 
 
+def brute_nnpu(texts, positives, prior):
+    """Scores by dense features, counts and gradients, without hashing blocks, chunks, partitions or trainers."""
+    def codes(text):
+        buf, offsets = kernels.text_buffer(pa.array([text]))
+        raw = bytes(buf)
+        found = Counter(int(b) for b in (kernels.mix64(kernels.words(buf, offsets).hash ^ np.uint64(0x77)) >> np.uint64(44)))
+        for n in (5, 7):
+            for i in range(len(raw) - n + 1):
+                found[(int.from_bytes(raw[i : i + n], "little") * int(toxicity._GRAM_CODE[n]) % 2**64) >> 44] += 1
+        words = len(kernels.words(buf, offsets).row)
+        return {level * toxicity.BUCKETS + b for level, (least, spread) in enumerate(toxicity.LEVELS) for b, k in found.items() if k >= least and (not spread or k * spread >= words)}
+
+    has = {i: codes(t) for i, t in texts}
+    p, u = (Counter(c for i in has if (i in positives) == side for c in has[i]) for side in (True, False))
+    names = sorted(p)
+    n_p, n_u = len(positives), len(texts) - len(positives)
+    chosen = toxicity.strong(np.array([p[c] for c in names]), np.array([u[c] for c in names]), n_p, n_u, prior)
+    features = [names[k] for k in chosen]
+    x = np.array([[c in has[i] for c in features] for i, _ in texts], float)
+    mine = np.array([i in positives for i, _ in texts])
+    w, b, m, v = np.zeros(len(features)), np.log(prior / (1 - prior)), np.zeros(len(features) + 1), np.zeros(len(features) + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        s = 1 / (1 + np.exp(-(x @ w + b)))
+        slope = s * (1 - s)
+        sign = 1 if s.mean() >= prior * s[mine].mean() else -1
+        g = sign * slope / len(texts)
+        g[mine] += (-2 if sign == 1 else 1) * prior * slope[mine] / n_p
+        grad = np.append(x.T @ g + toxicity.DECAY * w, g.sum())
+        m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
+        move = toxicity.RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+        w, b = w - move[:-1], b - move[-1]
+    return {i: s for (i, _), s in zip(texts, 1 / (1 + np.exp(-(x @ w + b))))}, len(features)
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = [(i, " ".join([rng.choice(words) for _ in range(25)] + (["zonker", "blatwit"] if i % 6 == 0 else []))) for i in range(240)]
+    positives = {i for i in range(0, 240, 12)}
+    table = spark.createDataFrame([(i, 1, int(i in positives)) for i in range(0, 240, 4)], "doc_id long, quality int, toxic int")
+    want, features = brute_nnpu(texts, positives, len(positives) / 60)
+    got = {r["doc_id"]: r["score"] for r in toxicity.classify(docs(spark, texts), table).collect()}
+    assert features > 5 and all(got[i] == pytest.approx(want[i], abs=1e-6) for i in want)
+    again = {r["doc_id"]: r["score"] for r in toxicity.classify(docs(spark, texts), table).collect()}
+    assert again == got
+
+
+def test_toxicity_of_odd_rows_by_a_fitted_model(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(400)]
+    texts = [(i, " ".join([rng.choice(words) for _ in range(40)] + (["zonker", "blatwit", "grumpox"] if i % 5 == 0 else []))) for i in range(400)]
+    table = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    bad = "zonker blatwit grumpox"
+    odd = [(1000, None), (1001, ""), (1002, " \n "), (1003, LONG), (1004, LONG + " " + " ".join([bad] * 100)), (None, bad), (5, "another text of a doc_id"), (1005, bad), (1005, bad)]
+    rows = toxicity.classify(docs(spark, [*texts, *odd]), table).collect()
+    assert len(rows) == len(texts) + len(odd)
+    got = {r["doc_id"]: r["is_toxic"] for r in rows if r["doc_id"] is None or r["doc_id"] >= 1000}
+    assert got == {1000: False, 1001: False, 1002: False, 1003: False, 1004: True, 1005: True, None: True}
+    assert toxicity.keep_harmless(docs(spark, [*texts, *odd]), table).count() == sum(not r["is_toxic"] for r in rows)
+
+
+def test_long_rows_have_the_features_of_short_blocks(monkeypatch):
+    text = LONG[:60000]
+    one = toxicity.Block(0, 1, *(b := kernels.text_buffer(pa.array([text]))), kernels.words(*b))
+    two = toxicity.Block(0, 2, *(b := kernels.text_buffer(pa.array([text, "x"]))), kernels.words(*b))
+    used = np.ones(toxicity.BUCKETS, bool)
+    row, code = two.features(used)
+    assert (one.features(used)[1] == code[row == 0]).all()
+    monkeypatch.setattr(toxicity, "_BLOCK", 1000)
+    assert (one.features(used)[1] == code[row == 0]).all()
+
+
+def test_word_hashes_do_not_depend_on_blocks(monkeypatch):
+    buf, offsets = kernels.text_buffer(pa.array(["ab cdefghijklmnopqrstuvwxyz ab", "", "abc ab"]))
+    want = kernels.words(buf, offsets).hash
+    monkeypatch.setattr(kernels, "BLOCK_BYTES", 5)
+    monkeypatch.setattr(kernels, "_powers", {})
+    assert (kernels.words(buf, offsets).hash == want).all() and want[0] == want[2] == want[4]
+
+
 def test_negative_risk_turns_the_gradient():
-    positive = np.array([True, False])
-    up = toxicity._risk_step(np.array([0.0, 0.0]), positive, 0.1)
-    assert up[0] < 0 < up[1]
-    back = toxicity._risk_step(np.array([5.0, -5.0]), positive, 0.9)
-    assert back[0] > 0 > back[1]
+    one = np.ones(1)
+    up = toxicity.risk_gradient(np.zeros(1), one, np.zeros(1), one, 0.1)
+    assert up[0][0] < 0 < up[1][0]
+    back = toxicity.risk_gradient(np.array([5.0]), one, np.array([-5.0]), one, 0.9)
+    assert back[0][0] > 0 > back[1][0]
 
 
 def brute_lm(model, corpus, text):

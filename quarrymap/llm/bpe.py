@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
-from quarrymap.llm.storage import checkpoint_dir, mapped, stored
+from quarrymap.llm.storage import checkpoint_dir, stored
+from quarrymap.llm.storage import mapped as in_batches
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -355,7 +356,7 @@ def frequent_pieces(docs: DataFrame, most: int = LEXICON_SIZE) -> list[bytes]:
         if seen:
             yield flush()
 
-    found = mapped(docs.filter("text IS NOT NULL").select("text"), count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    found = in_batches(docs.filter("text IS NOT NULL").select("text"), count, "piece binary, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     # Stored first: collecting a sorted limit would bring that many rows of every partition to the driver.
     top = stored(found.orderBy(F.desc("n"), "piece").limit(most), "pieces")
     return [bytes(row[0]) for row in top.select("piece").collect()]
@@ -472,7 +473,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, size: int = LEXICON_SI
                 yield pa.RecordBatch.from_arrays([x.column("doc_id").slice(a, b - a), tokens, pa.array(counts), pa.array(same)], ["doc_id", "tokens", "n_tokens", "round_trip"])
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return mapped(slim, run, "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
+    return in_batches(slim, run, "doc_id long, tokens array<int>, n_tokens long, round_trip boolean")
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -495,4 +496,4 @@ def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
             texts = [None if null else data[s:e].decode(errors="replace") for s, e, null in zip(ends[:-1].tolist(), ends[1:].tolist(), tokens.is_null().to_pylist())]
             yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return mapped(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens"), run, "doc_id long, text string")
+    return in_batches(encoded.select(F.col("doc_id").cast("long").alias("doc_id"), "tokens"), run, "doc_id long, text string")

@@ -344,19 +344,31 @@ def test_lm_trains_on_every_word(spark, prose):
     assert gru_lm.STRETCH >= 4 * gru_lm.WINDOW, "the state crosses several windows"
 
 
-def test_neighbours_recall(spark):
+def brute_neighbours(x, ids, k=10):
+    d = ((x[:, None].astype(np.float64) - x) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    return {int(ids[i]): [(int(ids[j]), d[i, j] ** 0.5) for j in np.lexsort((ids, np.float32(d[i])))[:k]] for i in range(len(ids))}
+
+
+def found_neighbours(table, every):
+    got = defaultdict(list)
+    for r in sorted(ivfpq.neighbours(table, every=every).collect(), key=lambda r: (r["vec_id"], r["rank"])):
+        got[r["vec_id"]].append((r["neighbor_id"], r["distance"]))
+        assert r["rank"] == len(got[r["vec_id"]])
+    return got
+
+
+@pytest.mark.parametrize("cell", [4096, 20])
+def test_neighbours_recall(spark, monkeypatch, cell):
+    monkeypatch.setattr(ivfpq, "CELL", cell)  # 20: lists of several cells
     rng = np.random.default_rng(2)
     x = (rng.standard_normal((12, 24))[rng.integers(0, 12, 1500)] + 0.5 * rng.standard_normal((1500, 24))).astype(np.float32)
-    table = spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, list string")
-    got = defaultdict(dict)
-    for r in ivfpq.neighbours(table).collect():
-        got[r["vec_id"]][r["neighbor_id"]] = (r["rank"], r["distance"])
+    got = found_neighbours(spark.createDataFrame([(i, v.tolist(), "x") for i, v in enumerate(x)], "vec_id long, embedding array<float>, list string"), 5)
+    true = brute_neighbours(x, np.arange(1500))
+    assert sorted(got) == list(range(0, 1500, 5)) and all(len(g) == 10 for g in got.values())
+    assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in true[i]}) / 10 for i in got]) >= 0.9
     d = np.sqrt(((x[:, None].astype(np.float64) - x) ** 2).sum(axis=2))
-    np.fill_diagonal(d, np.inf)
-    true = np.argsort(d, axis=1)[:, :10]
-    assert np.mean([len(set(got[i]) & set(true[i].tolist())) / 10 for i in range(len(x))]) >= 0.9
-    assert all(abs(v[1] - d[i, j]) < 1e-3 for i in list(got)[:50] for j, v in got[i].items())
-    assert all(sorted(v[0] for v in g.values()) == list(range(1, 11)) for g in got.values())
+    assert all(abs(far - d[i, j]) < 1e-3 for i in got for j, far in got[i])
 
 
 def test_neighbours_in_dense_groups(spark):
@@ -366,26 +378,22 @@ def test_neighbours_in_dense_groups(spark):
     x[100:700] = x[100] + 1e-3 * rng.standard_normal((600, 64))
     x[700:800] = x[700]  # copies
     x = x.astype(np.float32)
-    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
-    got = defaultdict(dict)
-    for r in ivfpq.neighbours(table).collect():
-        got[r["vec_id"]][r["rank"]] = r["neighbor_id"]
-    for lo, hi in ((0, 100), (100, 700)):
-        d = ((x[lo:hi, None].astype(np.float64) - x[lo:hi]) ** 2).sum(axis=2)
-        np.fill_diagonal(d, np.inf)
-        true = np.argsort(d, axis=1)[:, :10] + lo
-        assert np.mean([len(set(got[lo + i].values()) & set(t.tolist())) / 10 for i, t in enumerate(true)]) >= 0.99
+    got = found_neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"), 1)
+    true = brute_neighbours(x, np.arange(3000))
+    assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in true[i]}) / 10 for i in range(700)]) >= 0.99
+    assert np.mean([len({j for j, _ in got[i]} & {j for j, _ in true[i]}) / 10 for i in range(3000)]) >= 0.9
     for i in range(700, 800):
-        assert [got[i][k] for k in range(1, 11)] == [j for j in range(700, 800) if j != i][:10]
+        assert [j for j, _ in got[i]] == [j for j in range(700, 800) if j != i][:10]
 
 
 def test_neighbours_odd(spark):
-    schema = "vec_id long, embedding array<float>, label int"
-    table = spark.createDataFrame([(1, [0.0, 0.0], 0), (1, [0.0, 0.0], 0), (2, [1.0, 0.0], 0), (3, [1.0, 0.0], 0), (4, None, 0), (None, [1.0, 1.0], 0), (5, [float("nan"), 1.0], 0), (6, [1.0], 0), (7, [None, 1.0], 0), (8, [], 0)], schema)
-    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"]) for r in ivfpq.neighbours(table).collect())
+    schema = "vec_id long, embedding array<float>, label int, id int, list int"
+    table = spark.createDataFrame([(i, v, 0, 0, 0) for i, v in [(1, [0.0, 0.0]), (1, [0.0, 0.0]), (2, [1.0, 0.0]), (3, [1.0, -0.0]), (4, None), (None, [1.0, 1.0]), (5, [float("nan"), 1.0]), (6, [1.0]), (7, [None, 1.0]), (8, [])]], schema)
+    got = sorted((r["vec_id"], r["rank"], r["neighbor_id"]) for r in ivfpq.neighbours(table, every=1).collect())
     assert got == [(1, 1, 2), (1, 2, 3), (2, 1, 3), (2, 2, 1), (3, 1, 2), (3, 2, 1)]
+    assert [r["vec_id"] for r in ivfpq.neighbours(table, every=2).collect()] == [2, 2]
     assert ivfpq.neighbours(spark.createDataFrame([], schema)).count() == 0
-    assert ivfpq.neighbours(table.limit(1)).count() == 0
+    assert ivfpq.neighbours(table.limit(1), every=1).count() == 0
 
 
 def test_curriculum_meets_its_weights(spark):

@@ -14,7 +14,9 @@ Scoring: every document is read from its first word to its last, in windows, wit
 
 from __future__ import annotations
 
+import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -24,16 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrymap.llm import kernels as K
-from quarrymap.llm.storage import mapped, stored
+from quarrymap.llm.storage import mapped, stored, summed
 
 VOCABULARY, CLASS = 4096, 64
 HIDDEN = 32
 UNKNOWN, END = 0, 1
 WINDOW, STRETCH = 32, 256
-TURNS, BATCH, RATE, SEED = 3, 64, 0.01, 11
-#: Stretches of one trainer in one turn; on small tables it goes over its share again, up to LEAST_STEPS batches.
-SHARE, LEAST_STEPS, MOST_PASSES = 2048, 48, 6
-_SCORED_BYTES, _OUTPUT_ROWS = 8 << 20, 16384
+TURNS, RATE, SEED = 3, 0.01, 11
+#: Stretches of one trainer in one turn, and how many batches it cuts them into; so at every size each word is trained on
+#: once, in as many steps.
+SHARE, BATCHES = 8192, 32
+#: Rows that are scored at the same time, bytes of text whose rows share the lanes, and states whose words are scored at once.
+LANES, _SCORED_BYTES, _OUTPUT_ROWS = 256, 8 << 20, 16384
 
 
 class Model(NamedTuple):
@@ -54,130 +58,194 @@ def initial(words: int = VOCABULARY, hidden: int = HIDDEN) -> Model:
     return Model(normal(words, 3 * hidden), normal(hidden, 3 * hidden), zero(3 * hidden), normal(hidden, classes), zero(classes), normal(classes, hidden, CLASS), zero(classes, CLASS))
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+#: Gates are 1 / (1 + exp(-a)), and n is 1 - 2 / (1 + exp(2a)): weights are scaled beforehand, so that exp comes next.
+_SCALE = (-1.0, -1.0, 2.0)
 
 
-def step(m: Model, h: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(next state, z, r, n, recurrent part of n) after reading a token from state h."""
-    size = h.shape[1]
-    x, u = m.emb[token] + m.bias, h @ m.rec
-    gates = _sigmoid(x[:, : 2 * size] + u[:, : 2 * size])
-    z, r, back = gates[:, :size], gates[:, size:], u[:, 2 * size :]
-    n = np.tanh(x[:, 2 * size :] + r * back)
-    return n + z * (h - n), z, r, n, back
+def by_gate(weights: np.ndarray) -> np.ndarray:
+    """The last axis, 3H, as a first one of the gates z, r and of n, scaled by _SCALE."""
+    parts = np.moveaxis(weights.reshape(*weights.shape[:-1], 3, -1), -2, 0)
+    return np.stack([part * weights.dtype.type(k) for part, k in zip(parts, _SCALE)])
 
 
-def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(probabilities, log of the sum) of rows of logits."""
-    top = x.max(axis=1, keepdims=True)
-    e = np.exp(x - top)
-    total = e.sum(axis=1, keepdims=True)
-    return e / total, (np.log(total) + top)[:, 0]
+def scaled(rec: np.ndarray) -> np.ndarray:
+    """H x 3H, scaled by _SCALE."""
+    return rec * np.repeat(np.array(_SCALE, rec.dtype), rec.shape[0])
+
+
+def step(rec: np.ndarray, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(next state, what the state adds to n, twice) after inputs x, by gate, from state h; z, r and n themselves are left in x.
+
+    An exp that overflows gives a gate of 0 and an n of 1, as it should.
+    """
+    u = (h @ rec).reshape(len(h), 3, -1).transpose(1, 0, 2)
+    gates, n = x[:2], x[2]
+    gates += u[:2]
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    back = u[2]
+    n += gates[1] * back
+    np.exp(n, out=n)
+    n += 1
+    np.divide(-2, n, out=n)
+    n += 1
+    out = h - n
+    out *= gates[0]
+    out += n
+    return out, back
+
+
+def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(exp, sums of each row), after the logits were shifted in place so that none overflows."""
+    if len(logits) and max(logits.max(), -logits.min()) > 60:
+        logits -= logits.max(axis=1, keepdims=True)
+    e = np.exp(logits)
+    return e, e @ np.ones(e.shape[1], e.dtype)
 
 
 def log_probabilities(m: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target from its state."""
-    out = np.empty(len(h))
-    group = target // CLASS
-    logits = h @ m.to_class + m.class_bias
-    top = logits.max(axis=1)
-    out[:] = logits[np.arange(len(h)), group] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
-    order = np.argsort(group, kind="stable")
-    starts, which = K.segments(group[order])
+    group, order = target // CLASS, np.argsort(target // CLASS, kind="stable")
+    h, mine, group = np.take(h, order, axis=0), (target % CLASS)[order], group[order]
+    place = np.arange(len(h))
+    logits = h @ m.to_class
+    logits += m.class_bias
+    total = _exps(logits)[1]
+    got = logits[place, group].astype(np.float64)
+    got -= np.log(total)
+    starts, which = K.segments(group)
     for s, e, c in zip(starts, [*starts[1:], len(order)], which):
-        at = order[s:e]
-        logits = h[at] @ m.to_word[c] + m.word_bias[c]
-        top = logits.max(axis=1)
-        out[at] += logits[np.arange(len(at)), target[at] % CLASS] - top - np.log(np.exp(logits - top[:, None]).sum(axis=1))
+        logits = h[s:e] @ m.to_word[c]
+        logits += m.word_bias[c]
+        total = _exps(logits)[1]
+        got[s:e] += logits[place[: e - s], mine[s:e]]
+        got[s:e] -= np.log(total)
+    out = np.empty(len(h))
+    out[order] = got
+    return out
+
+
+def _output(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, mine: np.ndarray, scale: np.floating) -> tuple[np.ndarray, float]:
+    """(scaled gradient by the logits, summed loss) of a softmax."""
+    place = np.arange(len(mine))
+    logits = states @ weight
+    logits += bias
+    q, total = _exps(logits)
+    loss = float(np.log(total).sum(dtype=np.float64)) - float(logits[place, mine].sum(dtype=np.float64))
+    q *= (scale / total)[:, None]
+    q[place, mine] -= scale
+    return q, loss
+
+
+def _by_token(tokens: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """The rows summed by token, of which there are n; frequent ones each by one product, which is faster."""
+    out, ones = np.zeros((n, rows.shape[1]), rows.dtype), np.ones(len(tokens), rows.dtype)
+    order = np.argsort(tokens, kind="stable")
+    rows, tokens = np.take(rows, order, axis=0), tokens[order]
+    starts, which = K.segments(tokens)
+    ends = np.append(starts[1:], len(tokens))
+    often = ends - starts >= 24
+    for s, e, token in zip(starts[often].tolist(), ends[often].tolist(), which[often].tolist()):
+        out[token] = ones[: e - s] @ rows[s:e]
+    if not often.all():
+        seldom = np.repeat(~often, ends - starts)
+        rows, size = rows[seldom], (ends - starts)[~often]
+        out[which[~often]] = np.add.reduceat(rows, np.cumsum(size) - size, axis=0)
     return out
 
 
-def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray, mask: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """(gradient of each array, last state, summed loss) of one window: tokens, targets, mask are steps x rows.
+def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """(gradient of each array, last state, summed loss) of one window: tokens and targets are steps x rows.
 
-    Backpropagation stops at h0, the state that the window before left.
+    live: how many rows, counted from the first, each step has; it never grows. Backpropagation stops at h0, the state
+    that the window before left.
     """
     steps, rows = tokens.shape
     size = h0.shape[1]
-    hs, kept = [h0], []
-    for t in range(steps):
-        h, *rest = step(m, hs[-1], tokens[t])
-        h = np.where(mask[t][:, None], h, hs[-1])
-        hs.append(h)
-        kept.append(rest)
-    on = mask.ravel()
-    states, target = np.concatenate(hs[1:])[on], targets.ravel()[on]
-    group, scale = target // CLASS, np.float32(1 / max(1, on.sum()))
-    p, log_sum = _softmax(states @ m.to_class + m.class_bias)
-    logits = states @ m.to_class + m.class_bias
-    loss = float((log_sum - logits[np.arange(len(group)), group]).sum())
-    p[np.arange(len(group)), group] -= 1
-    p *= scale
+    x, rec = np.take(by_gate(m.emb + m.bias), tokens, axis=1), scaled(m.rec)
+    hs, back = np.empty((steps + 1, rows, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype)
+    hs[0] = h0
+    with np.errstate(over="ignore"):
+        for t in range(steps):
+            k = live[t]
+            hs[t + 1, :k], back[t, :k] = step(rec, hs[t, :k], x[:, t, :k])
+            hs[t + 1, k:] = hs[t, k:]
+    on = np.concatenate([np.arange(k) + t * rows for t, k in enumerate(live)])
+    target = targets.ravel()[on]
+    group, scale = target // CLASS, h0.dtype.type(1 / max(1, len(on)))
+    order = np.argsort(group, kind="stable")
+    states, group, mine = np.take(hs[1:].reshape(-1, size), on[order], axis=0), group[order], (target % CLASS)[order]
+    p, loss = _output(states, m.to_class, m.class_bias, group, scale)
     g_class, g_class_bias, d_out = states.T @ p, p.sum(axis=0), p @ m.to_class.T
     g_word, g_word_bias = np.zeros_like(m.to_word), np.zeros_like(m.word_bias)
-    order = np.argsort(group, kind="stable")
-    starts, which = K.segments(group[order])
+    starts, which = K.segments(group)
     for s, e, c in zip(starts, [*starts[1:], len(order)], which):
-        at = order[s:e]
-        logits = states[at] @ m.to_word[c] + m.word_bias[c]
-        q, log_sum = _softmax(logits)
-        mine = target[at] % CLASS
-        loss += float((log_sum - logits[np.arange(len(at)), mine]).sum())
-        q[np.arange(len(at)), mine] -= 1
-        q *= scale
-        g_word[c], g_word_bias[c] = states[at].T @ q, q.sum(axis=0)
-        d_out[at] += q @ m.to_word[c].T
-    d_states = np.zeros((steps * rows, size), np.float32)
-    d_states[on] = d_out
+        q, more = _output(states[s:e], m.to_word[c], m.word_bias[c], mine[s:e], scale)
+        loss += more
+        g_word[c], g_word_bias[c] = states[s:e].T @ q, q.sum(axis=0)
+        d_out[s:e] += q @ m.to_word[c].T
+    d_states = np.zeros((steps * rows, size), h0.dtype)
+    d_states[on[order]] = d_out
     d_states = d_states.reshape(steps, rows, size)
-    g_rec, d_inputs, d_h = np.zeros_like(m.rec), np.zeros((steps, rows, 3 * size), np.float32), np.zeros((rows, size), np.float32)
+    d_u, d_n, d_h, to_state = np.zeros((steps, rows, 3 * size), h0.dtype), np.zeros((steps, rows, size), h0.dtype), np.zeros((rows, size), h0.dtype), np.ascontiguousarray(m.rec.T)
     for t in range(steps - 1, -1, -1):
-        z, r, n, back = kept[t]
-        live = mask[t][:, None]
-        d = d_h + d_states[t]
-        d_n = d * (1 - z) * (1 - n * n) * live
-        d_z = d * (hs[t] - n) * z * (1 - z) * live
-        d_r = d_n * back * r * (1 - r)
-        d_inputs[t] = np.concatenate([d_z, d_r, d_n], axis=1)
-        d_u = np.concatenate([d_z, d_r, d_n * r], axis=1)
-        g_rec += hs[t].T @ d_u
-        d_h = np.where(live, d * z + d_u @ m.rec.T, d)
-    flat = d_inputs.reshape(-1, 3 * size)
-    g_emb = np.zeros_like(m.emb)
-    order = np.argsort(tokens.ravel(), kind="stable")
-    starts, which = K.segments(tokens.ravel()[order])
-    g_emb[which] = np.add.reduceat(flat[order], starts, axis=0)
+        k = live[t]
+        z, r, n = x[:, t, :k]
+        d, by_n, out = d_h[:k], d_n[t, :k], d_u[t, :k]
+        d += d_states[t, :k]
+        rest = (1 - z) * d
+        by_z = hs[t, :k] - n
+        by_z *= z
+        np.multiply(by_z, rest, out=out[:, :size])
+        np.multiply(n, n, out=by_n)
+        np.subtract(1, by_n, out=by_n)
+        by_n *= rest
+        by_r = by_n * r
+        out[:, 2 * size :] = by_r
+        by_r -= by_r * r
+        by_r *= back[t, :k]
+        np.multiply(by_r, h0.dtype.type(0.5), out=out[:, size : 2 * size])
+        d *= z
+        d += out @ to_state
+    flat = d_u.reshape(-1, 3 * size)
+    g_rec = hs[:-1].reshape(-1, size).T @ flat
+    flat[:, 2 * size :] = d_n.reshape(-1, size)
+    g_emb = _by_token(tokens.ravel(), flat, len(m.emb))
     return [g_emb, g_rec, flat.sum(axis=0), g_class, g_class_bias, g_word, g_word_bias], hs[-1], loss
 
 
-def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, passes: int, seed: int) -> Model:
-    """Adam over batches of stretches (rows of token ids, lengths of them used)."""
+def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) -> Model:
+    """Adam over BATCHES batches of the stretches (rows of token ids, lengths of them used), each seen once."""
     weights = [w.copy() for w in m]
     first, second, count = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
-    rng = np.random.default_rng(seed)
-    for _ in range(passes):
-        order = rng.permutation(len(stretches))
-        for lo in range(0, len(order), BATCH):
-            at = order[lo : lo + BATCH]
-            at = at[np.argsort(-lengths[at], kind="stable")]
-            ids, many = stretches[at].T, lengths[at]
-            h = np.zeros((len(at), m.rec.shape[0]), np.float32)
-            before = np.vstack([np.full((1, len(at)), END), ids[:-1]])
-            for w in range(0, int(many.max()), WINDOW):
-                to = min(w + WINDOW, int(many.max()))
-                live = int((many > w).sum())  # the longest come first
-                mask = np.arange(w, to)[:, None] < many[:live]
-                grads, h, _ = gradients(Model(*weights), h[:live], before[w:to, :live], ids[w:to, :live], mask)
-                count += 1
-                norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
-                clip = min(1.0, 1.0 / max(norm, 1e-9))
-                rate = RATE * np.sqrt(1 - 0.99**count) / (1 - 0.9**count)
-                for k, g in enumerate(grads):
-                    g = g * np.float32(clip)
-                    first[k] += np.float32(0.1) * (g - first[k])
-                    second[k] += np.float32(0.01) * (g * g - second[k])
-                    weights[k] -= np.float32(rate) * first[k] / (np.sqrt(second[k]) + np.float32(1e-6))
+    order = np.random.default_rng(seed).permutation(len(stretches))
+    for at in np.array_split(order, min(BATCHES, len(order))):
+        at = at[np.argsort(-lengths[at], kind="stable")]
+        ids, many = np.ascontiguousarray(stretches[at].T.astype(np.int64)), lengths[at]
+        h = np.zeros((len(at), m.rec.shape[0]), np.float32)
+        before = np.vstack([np.full((1, len(at)), END), ids[:-1]])
+        for w in range(0, int(many.max()), WINDOW):
+            to = min(w + WINDOW, int(many.max()))
+            live = np.searchsorted(-many, -np.arange(w, to), "left")  # the longest come first
+            some = live[0]
+            grads, h, _ = gradients(Model(*weights), h[:some], before[w:to, :some], ids[w:to, :some], live)
+            count += 1
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
+            clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
+            rate = np.float32(RATE * np.sqrt(1 - 0.99**count) / (1 - 0.9**count))
+            for k, g in enumerate(grads):
+                g *= clip
+                first[k] += np.float32(0.1) * (g - first[k])
+                g *= g
+                g -= second[k]
+                g *= np.float32(0.01)
+                second[k] += g
+                np.sqrt(second[k], out=g)
+                g += np.float32(1e-6)
+                np.divide(first[k], g, out=g)
+                g *= rate
+                weights[k] -= g
     return Model(*weights)
 
 
@@ -260,10 +328,11 @@ def spelled(buf: np.ndarray, w: K.Words, unknown: np.ndarray, corpus: Corpus) ->
 
 
 def stretch_table(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """(id, place, ids, n): every document's tokens and its end, in stretches of STRETCH of which n are used."""
+    """(id, place, turn, ids, n): every document's tokens and its end, in stretches of STRETCH of which n are used; turn numbers those of a partition."""
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for x in batches:
             ids = x.column("id").to_numpy(zero_copy_only=False)
             for a, b, buf, offsets in K.text_blocks(x.column("text")):
@@ -275,13 +344,14 @@ def stretch_table(docs: DataFrame, corpus: Corpus) -> DataFrame:
                 row = np.repeat(np.arange(b - a), pieces)
                 place = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
                 first, size = (np.cumsum(many) - many)[row] + place, np.minimum(STRETCH, many[row] - place)
-                for lo in range(0, len(row), 8192):
-                    to = slice(lo, lo + 8192)
+                for lo in range(0, len(row), 4096):
+                    to = slice(lo, lo + 4096)
                     at = first[to, None] + np.minimum(np.arange(STRETCH), size[to, None] - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row[to]]), pa.array(place[to]), K.binary_rows(token[at].astype(np.uint16)), pa.array(size[to].astype(np.int32))], ["id", "place", "ids", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row[to]]), pa.array(place[to]), pa.array(np.arange(turn, turn + len(at))), K.binary_rows(token[at].astype(np.uint16)), pa.array(size[to].astype(np.int32))], ["id", "place", "turn", "ids", "n"])
+                    turn += len(at)
 
     slim = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
-    return mapped(slim, take, "id long, place long, ids binary, n int")
+    return mapped(slim, take, "id long, place long, turn long, ids binary, n int")
 
 
 def train(docs: DataFrame, corpus: Corpus) -> Model:
@@ -296,71 +366,86 @@ def train(docs: DataFrame, corpus: Corpus) -> Model:
     n = stretches.count()
     if not n:
         return model
-    trainers = -(-n // (SHARE * TURNS))
+    trainers = max(1, round(n / (SHARE * TURNS)))
     fan = math.isqrt(trainers) + 1
-    dealt = stretches.withColumn("deal", F.pmod(F.xxhash64("id", "place", F.lit(SEED)), F.lit(trainers * TURNS)))
+    # The number within the partition deals repeated stretches, of which there may be any number, to all trainers.
+    dealt = stretches.withColumn("deal", F.pmod(F.xxhash64("id", "place", "turn", F.lit(SEED)), F.lit(trainers * TURNS)))
     shapes = [w.shape for w in model]
+    ends = np.cumsum([w.size for w in model])
     for turn in range(TURNS):
         shared = spark.sparkContext.broadcast(model)
 
         def work(table: pa.Table) -> pa.Table:
-            table = table.sort_by([("id", "ascending"), ("place", "ascending"), ("n", "ascending")])
-            rows = K.from_binary_rows(table.column("ids").combine_chunks(), np.uint16, STRETCH).astype(np.int64)
-            passes = max(1, min(MOST_PASSES, LEAST_STEPS * BATCH // len(rows)))
-            made = train_on(shared.value, rows, table.column("n").to_numpy(), passes, SEED + turn)
+            table = table.sort_by([("id", "ascending"), ("place", "ascending"), ("turn", "ascending")])
+            rows = K.from_binary_rows(table.column("ids").combine_chunks(), np.uint16, STRETCH)
+            made = train_on(shared.value, rows, table.column("n").to_numpy(), SEED + turn)
             some = table.column("deal")[0].as_py() % fan
-            return pa.table({"k": pa.array(range(len(made))), "part": pa.array([some] * len(made)), "rows": pa.array([len(rows)] * len(made)), "w": pa.array([(w * np.float32(len(rows))).astype(np.float32).tobytes() for w in made], pa.binary())})
-
-        def add(table: pa.Table) -> pa.Table:
-            total = np.zeros(0)
-            for b in table.column("w"):
-                w = np.frombuffer(b.as_buffer(), np.float32)
-                total = w.astype(np.float64) if not len(total) else total + w
-            rows = sum(table.column("rows").to_pylist())
-            return pa.table({"k": table.column("k").slice(0, 1), "rows": pa.array([rows]), "w": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
-
-        mine = dealt.filter(F.col("deal") % TURNS == turn) if n >= 64 * TURNS else dealt
-        made = mine.groupBy("deal").applyInArrow(work, "k long, part long, rows long, w binary")
-        # Summed in two steps of about the root of the number of trainers, so that no task holds the weights of all.
-        made = made.groupBy("k", "part").applyInArrow(add, "k long, rows long, w binary").groupBy("k").applyInArrow(add, "k long, rows long, w binary").collect()
-        if made:
-            arrays = {r["k"]: np.frombuffer(r["w"], np.float32) / np.float32(r["rows"]) for r in made}
-            model = Model(*(arrays[k].reshape(s) for k, s in enumerate(shapes)))
+            flat = np.concatenate([*[w.ravel() for w in made], [1.0]]).astype(np.float32) * np.float32(len(rows))
+            return pa.table({"k": pa.array([0]), "part": pa.array([some]), "w": pa.array([flat.tobytes()], pa.binary())})
+
+        made = dealt.filter(F.col("deal") % TURNS == turn).groupBy("deal").applyInArrow(work, "k long, part long, w binary")
+        if total := summed(made, np.float32, np.float64):
+            flat = (total[0][:-1] / total[0][-1]).astype(np.float32)
+            model = Model(*(w.reshape(s) for w, s in zip(np.split(flat, ends[:-1]), shapes)))
+        shared.unpersist()
     return model
 
 
+def lanes_of(sizes: np.ndarray) -> list[np.ndarray]:
+    """Rows in lanes of about equal sums, the longest lane first: each row goes to the lane that is shortest so far."""
+    order = np.argsort(-sizes, kind="stable")
+    lanes: list[list[int]] = [[] for _ in range(min(LANES, len(sizes)))]
+    heap = [(0, k) for k in range(len(lanes))]
+    for row in order.tolist():
+        total, k = heap[0]
+        lanes[k].append(row)
+        heapq.heapreplace(heap, (total + int(sizes[row]), k))
+    for total, k in sorted(heap):
+        lanes[k].sort()
+    return [np.array(lanes[k]) for _, k in sorted(heap, key=lambda x: (-x[0], x[1]))]
+
+
 def score_block(m: Model, token: np.ndarray, many: np.ndarray) -> np.ndarray:
-    """Log-likelihood of each row's tokens (``many`` of them, one row after the other) and of its end of text."""
+    """Log-likelihood of each row's tokens (``many`` of them, one row after the other) and of its end of text.
+
+    Rows are read in lanes, one after the other, so that every step works on many rows whatever their lengths. A row
+    starts from a state of zeros, and its first input is the end of the row before, as it is for the lane's first.
+    """
     out = np.zeros(len(many))
-    order = np.argsort(-many, kind="stable")
-    size, first = many[order], (np.cumsum(many) - many)[order]
-    h = np.zeros((len(many), m.rec.shape[0]), np.float32)
-    last = np.full(len(many), END, np.int64)
-    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    waiting = 0
-    for t in range(int(size.max(initial=0)) + 1):
-        live = int(np.searchsorted(-size, -t, "right"))  # rows with at least t tokens: their (t+1)th target is a word or the end
-        h[:live] = step(m, h[:live], last[:live])[0]
-        target = np.full(live, END, np.int64)
-        words = int(np.searchsorted(-size, -t, "left"))
-        target[:words] = token[first[:words] + t]
-        held.append((h[:live].copy(), target, order[:live]))
-        last[:live] = target
-        waiting += live
-        if waiting >= _OUTPUT_ROWS:
-            waiting = _settle(m, held, out)
-    _settle(m, held, out)
+    if not len(many):
+        return out
+    size, first = many + 1, np.cumsum(many) - many
+    lanes = lanes_of(size)
+    length = np.array([size[rows].sum() for rows in lanes])
+    target, owner = np.full((int(length[0]), len(lanes)), END, np.int64), np.zeros((int(length[0]), len(lanes)), np.int64)
+    begins: dict[int, list[int]] = defaultdict(list)
+    for k, rows in enumerate(lanes):
+        at = 0
+        for row in rows.tolist():
+            target[at : at + many[row], k] = token[first[row] : first[row] + many[row]]
+            owner[at : at + size[row], k] = row
+            begins[at].append(k)
+            at += int(size[row])
+    emb, rec = by_gate(m.emb + m.bias), scaled(m.rec)
+    live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+    h, last = np.zeros((len(lanes), m.rec.shape[0]), m.rec.dtype), np.full(len(lanes), END, np.int64)
+    held: list[np.ndarray] = []
+    waiting = since = 0
+    with np.errstate(over="ignore"):
+        for t, k in enumerate(live.tolist()):
+            if t in begins:
+                h[begins[t]] = 0
+            h = step(rec, h[:k], np.take(emb, last[:k], axis=1))[0]
+            last = target[t]
+            held.append(h)
+            waiting += k
+            if waiting >= _OUTPUT_ROWS or t + 1 == len(live):
+                on = np.arange(len(lanes)) < live[since : t + 1, None]
+                np.add.at(out, owner[since : t + 1][on], log_probabilities(m, np.concatenate(held), target[since : t + 1][on]))
+                held, waiting, since = [], 0, t + 1
     return out
 
 
-def _settle(m: Model, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]], out: np.ndarray) -> int:
-    if held:
-        states, target, row = (np.concatenate([x[k] for x in held]) for k in range(3))
-        np.add.at(out, row, log_probabilities(m, states, target))
-        held.clear()
-    return 0
-
-
 def likelihoods(docs: DataFrame, corpus: Corpus | None = None, model: Model | None = None) -> DataFrame:
     """doc_id, n_tokens, n_unknown, log_likelihood, perplexity for every row of ``docs``, over its whole text.
 
@@ -374,7 +459,6 @@ def likelihoods(docs: DataFrame, corpus: Corpus | None = None, model: Model | No
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c, m = shared.value
-        m = m._replace(emb=m.emb + m.bias, bias=np.zeros_like(m.bias))
         for x in batches:
             buf, offsets = K.text_buffer(x.column("text"))
             for a, b in K.row_blocks(np.diff(offsets), _SCORED_BYTES):

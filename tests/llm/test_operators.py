@@ -308,18 +308,41 @@ def test_lm_scores_whole_documents(spark, prose):
 def test_lm_gradients_are_right():
     rng = np.random.default_rng(0)
     m = gru_lm.Model(*(rng.standard_normal(w.shape) * 0.3 for w in gru_lm.initial(128, 4)))
-    ids, mask, h0 = rng.integers(0, 128, (5, 3)), np.ones((5, 3), bool), rng.standard_normal((3, 4)) * 0.1
-    mask[3:, 1] = False
+    ids, live, h0 = rng.integers(0, 128, (5, 3)), np.array([3, 3, 3, 2, 2]), rng.standard_normal((3, 4)) * 0.1
     before = np.vstack([np.ones((1, 3), np.int64), ids[:-1]])
-    grads, _, _ = gru_lm.gradients(m, h0, before, ids, mask)
+    grads, _, _ = gru_lm.gradients(m, h0, before, ids, live)
     for k, w in enumerate(m):
         for at in {int(np.abs(grads[k]).argmax()), 0}:
             losses = []
             for d in (1e-5, -1e-5):
                 moved = w.copy()
                 moved.flat[at] += d
-                losses.append(gru_lm.gradients(m._replace(**{m._fields[k]: moved}), h0, before, ids, mask)[2])
-            assert grads[k].flat[at] == pytest.approx((losses[0] - losses[1]) / 2e-5 / mask.sum(), rel=1e-3, abs=1e-6)
+                losses.append(gru_lm.gradients(m._replace(**{m._fields[k]: moved}), h0, before, ids, live)[2])
+            assert grads[k].flat[at] == pytest.approx((losses[0] - losses[1]) / 2e-5 / live.sum(), rel=1e-3, abs=1e-6)
+
+
+def test_lm_sums_by_token():
+    rng = np.random.default_rng(1)
+    tokens, rows = rng.choice([1, 5, 7, 8, 30], 300, p=[0.8, 0.05, 0.05, 0.05, 0.05]), rng.standard_normal((300, 6))
+    want = np.zeros((40, 6))
+    np.add.at(want, tokens, rows)
+    assert gru_lm._by_token(tokens, rows, 40) == pytest.approx(want)
+
+
+def test_lm_lanes_hold_every_row_once():
+    for sizes in ([5, 1, 1, 9, 2], [3], [1] * 700):
+        lanes = gru_lm.lanes_of(np.array(sizes))
+        total = [sum(sizes[i] for i in lane) for lane in lanes]
+        assert sorted(np.concatenate(lanes).tolist()) == list(range(len(sizes))) and total == sorted(total, reverse=True)
+
+
+def test_lm_odd(spark):
+    table = docs(spark, [*ODD, *[(20 + k, "one two three four five") for k in range(40)]])
+    rows = gru_lm.likelihoods(table).collect()
+    assert len(rows) == len(ODD) + 40
+    same = {(r["n_tokens"], r["log_likelihood"]) for r in rows if r["doc_id"] == 1 or (r["doc_id"] or 0) >= 20}
+    assert len(same) == 1 and same <= {(r["n_tokens"], r["log_likelihood"]) for r in rows if r["doc_id"] is None}
+    assert {r["n_tokens"] for r in rows if r["doc_id"] == 3} == {0} and {r["n_tokens"] for r in rows if r["doc_id"] in (4, 5)} == {1}
 
 
 def test_lm_learns_order(spark):

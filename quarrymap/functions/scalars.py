@@ -31,11 +31,27 @@ def unit_id(language: str, path: Column) -> Column:
     return F.concat(F.lit(f"unit:{language}:"), F.when(path == "", F.lit(".")).otherwise(path))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, r"(?U)^[\s\uFEFF]+|[\s\uFEFF]+$", "")
+
+
+def segments(path: Column) -> Column:
+    """The parts of a path, with '.' and '..' resolved as far as there is something above."""
+    up = lambda done: (F.size(done) > 0) & (F.element_at(done, -1) != "..")
+    fold = lambda done, part: F.when((part == "") | (part == "."), done).when((part == "..") & up(done), F.slice(done, 1, F.size(done) - 1)).otherwise(F.array_append(done, part))
+    return F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), fold)
+
+
 def relative_path(path: Column, root: str) -> Column:
-    """path below root, without a leading './'; '' for the root itself; a path elsewhere as it is."""
-    base = root.rstrip("/")
-    inside = F.when(path == base, F.lit("")).when(F.startswith(path, F.lit(base + "/")), F.substring(path, F.lit(len(base) + 2), F.length(path))).otherwise(path)
-    return F.regexp_replace(inside, r"^(\./)+", "")
+    """An absolute path as seen from root ('' for root itself, with '..' for what is elsewhere); a relative one is taken as below root. Both are normalised."""
+    base = [p for p in root.split("/") if p not in ("", ".")]
+    parts = segments(path)
+    shared = F.lit(0)
+    for k in range(len(base), 0, -1):
+        shared = F.when(F.get(parts, F.lit(k - 1)) == base[k - 1], shared + 1).otherwise(F.lit(0))
+    below = F.concat(F.array_repeat(F.lit(".."), F.lit(len(base)) - shared), F.slice(parts, shared + 1, F.size(parts)))
+    return F.array_join(F.when(F.startswith(path, F.lit("/")), below).otherwise(parts), "/")
 
 
 def content_hash(content: Column) -> Column:

@@ -14,23 +14,31 @@ from pyspark.sql import functions as F
 from quarrymap.functions.scalars import file_id, file_literal, language_of
 
 Facts = Mapping[str, DataFrame]
+#: What is looked up: a value, or a frame of one column that holds it (a plan then stays one plan).
+Key = str | DataFrame
 
 
-def deps(facts: Facts, unit: str) -> DataFrame:
-    return facts["deps"].filter(F.col("from_unit_id") == unit)
+def having(rows: DataFrame, column: str, key: Key) -> DataFrame:
+    if isinstance(key, str):
+        return rows.filter(F.col(column) == key)
+    return rows.join(key.toDF(column).distinct(), column, "left_semi").select(rows.columns)
 
 
-def rdeps(facts: Facts, unit: str) -> DataFrame:
-    return facts["deps"].filter(F.col("to_unit_id") == unit)
+def deps(facts: Facts, unit: Key) -> DataFrame:
+    return having(facts["deps"], "from_unit_id", unit)
 
 
-def defs(facts: Facts, name: str | None = None, path: str | None = None, id: str | None = None) -> DataFrame:
+def rdeps(facts: Facts, unit: Key) -> DataFrame:
+    return having(facts["deps"], "to_unit_id", unit)
+
+
+def defs(facts: Facts, name: str | None = None, path: str | None = None, id: Key | None = None) -> DataFrame:
     """Symbols by exact name, exact id and a part of their file's path; absent and empty terms don't count."""
     out = facts["symbols"]
     if name:
         out = out.filter(F.col("name") == name)
-    if id:
-        out = out.filter(F.col("id") == id)
+    if isinstance(id, DataFrame) or id:
+        out = having(out, "id", id)
     if path:
         files = facts["files"].filter(F.contains("path", F.lit(path))).select(F.col("id").alias("decl_file_id"))
         out = out.join(files, "decl_file_id", "left_semi").select(out.columns)
@@ -42,18 +50,18 @@ def defs_named(facts: Facts, name: str) -> DataFrame:
     return facts["symbols"].filter(F.col("name") == name)
 
 
-def refs(facts: Facts, symbol: str) -> DataFrame:
+def refs(facts: Facts, symbol: Key) -> DataFrame:
     """Incoming references."""
-    return facts["refs"].filter(F.col("to_symbol_id") == symbol)
+    return having(facts["refs"], "to_symbol_id", symbol)
 
 
-def diagnostics(facts: Facts, file: str | None = None, unit: str | None = None) -> DataFrame:
+def diagnostics(facts: Facts, file: str | None = None, unit: Key | None = None) -> DataFrame:
     """All diagnostics, orphans too; or those of a file (id or path); or of the files of a unit."""
     rows = facts["diagnostics"]
     if file is not None:
         return rows.filter(F.col("file_id") == file_literal(file))
     if unit is not None:
-        files = facts["files"].filter(F.col("unit_id") == unit).select(F.col("id").alias("file_id"))
+        files = having(facts["files"], "unit_id", unit).select(F.col("id").alias("file_id"))
         return rows.join(files, "file_id", "left_semi").select(rows.columns)
     return rows
 
@@ -69,27 +77,27 @@ def impact_units(facts: Facts, paths: Sequence[str]) -> DataFrame:
     return facts["files"].join(changed_files(facts, paths), "id", "left_semi").select("unit_id").distinct()
 
 
-def touching(deps: DataFrame, units: DataFrame) -> DataFrame:
-    """Deps from or to one of the units (unit_id, distinct), each as often as it is there: two equi joins, not one on OR."""
-    a = units.select(F.col("unit_id").alias("from_unit_id"), F.lit(True).alias("_from"))
-    b = units.select(F.col("unit_id").alias("to_unit_id"), F.lit(True).alias("_to"))
-    return deps.join(a, "from_unit_id", "left").join(b, "to_unit_id", "left").filter("_from OR _to").select(deps.columns)
+def touching(edges: DataFrame, ids: DataFrame, ends: tuple[str, str] = ("from_unit_id", "to_unit_id")) -> DataFrame:
+    """Edges with an end among the ids (the one column of ``ids``, distinct), each as often as it is there: two equi joins, not one on OR."""
+    named = ids.toDF("_id")
+    a, b = (named.select(F.col("_id").alias(end), F.lit(True).alias(mark)) for end, mark in zip(ends, ("_from", "_to")))
+    return edges.join(a, ends[0], "left").join(b, ends[1], "left").filter("_from OR _to").select(edges.columns)
 
 
 def impact_deps(facts: Facts, paths: Sequence[str]) -> DataFrame:
     return touching(facts["deps"], impact_units(facts, paths))
 
 
-def impls(facts: Facts, type_id: str) -> DataFrame:
-    return facts["type_relations"].filter((F.col("to_type_id") == type_id) & (F.col("kind") == "implements"))
+def impls(facts: Facts, type_id: Key) -> DataFrame:
+    return having(facts["type_relations"].filter(F.col("kind") == "implements"), "to_type_id", type_id)
 
 
-def callers(facts: Facts, symbol: str) -> DataFrame:
-    return facts["call_edges"].filter(F.col("callee_id") == symbol)
+def callers(facts: Facts, symbol: Key) -> DataFrame:
+    return having(facts["call_edges"], "callee_id", symbol)
 
 
-def callees(facts: Facts, symbol: str) -> DataFrame:
-    return facts["call_edges"].filter(F.col("caller_id") == symbol)
+def callees(facts: Facts, symbol: Key) -> DataFrame:
+    return having(facts["call_edges"], "caller_id", symbol)
 
 
 def table_counts(facts: Facts) -> DataFrame:

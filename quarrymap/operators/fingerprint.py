@@ -5,7 +5,8 @@ from __future__ import annotations
 import platform
 import subprocess
 import sys
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from datetime import datetime, timezone
 
 import pyspark
 from pyspark.sql import DataFrame, SparkSession
@@ -14,19 +15,30 @@ from pyspark.sql import functions as F
 from quarrymap.schemas import FINGERPRINT, SCHEMA_VERSION
 
 
-def head_commit(root: str) -> str:
+#: What tells the version of each tool; one that isn't there has no entry.
+PROBES = {"go": ("go", "version"), "node": ("node", "--version"), "bun": ("bun", "--version")}
+
+
+def now_iso() -> str:
+    return datetime.now(timezone.utc).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+
+
+def printed(command: Sequence[str], cwd: str | None = None) -> str | None:
+    """What a command prints, trimmed; None where it can't be run, fails or prints nothing."""
     try:
-        done = subprocess.run(["git", "rev-parse", "HEAD"], cwd=root, capture_output=True, text=True, check=False)
-    except OSError:
-        return "unknown"
-    return done.stdout.strip() if done.returncode == 0 and done.stdout.strip() else "unknown"
+        done = subprocess.run(list(command), cwd=cwd, capture_output=True, text=True, check=False, timeout=60)
+    except (OSError, subprocess.TimeoutExpired):
+        return None
+    return done.stdout.strip() or None if done.returncode == 0 else None
 
 
-def generate(root: str, created_at: str = "", profile: Mapping[str, str] | None = None, tools: Mapping[str, str] | None = None) -> dict:
-    """The present environment; entries of profile and tools win over what is probed."""
-    probed = {"spark": pyspark.__version__, "python": platform.python_version()}
+def generate(root: str, created_at: str | None = None, profile: Mapping[str, str] | None = None, tools: Mapping[str, str] | None = None, probes: Mapping[str, Sequence[str]] | None = None) -> dict:
+    """The present environment; entries of profile and tools win over what is probed (PROBES, if ``probes`` is None)."""
+    found = {name: version for name, command in (PROBES if probes is None else probes).items() if (version := printed(command))}
+    known = {"spark": pyspark.__version__, "python": platform.python_version()}
     machine = {"os": sys.platform, "arch": platform.machine()}
-    return {"schema_version": SCHEMA_VERSION, "tools": probed | dict(tools or {}), "build_profile": machine | dict(profile or {}), "repo_state": {"commit": head_commit(root)}, "created_at": created_at}
+    commit = printed(["git", "rev-parse", "HEAD"], root) or "unknown"
+    return {"schema_version": SCHEMA_VERSION, "tools": known | found | dict(tools or {}), "build_profile": machine | dict(profile or {}), "repo_state": {"commit": commit}, "created_at": created_at or now_iso()}
 
 
 def as_frame(spark: SparkSession, fingerprint: Mapping) -> DataFrame:

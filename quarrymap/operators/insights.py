@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrymap.operators.facts import Key, having
+
 Insights = Mapping[str, DataFrame]
 
 
@@ -17,15 +19,15 @@ def _confident(rows: DataFrame, least: float) -> DataFrame:
     return rows.filter(column >= least)
 
 
-def _only(rows: DataFrame, column: str, value: str | None) -> DataFrame:
-    return rows if value is None else rows.filter(F.col(column) == value)
+def _only(rows: DataFrame, column: str, value: Key | None) -> DataFrame:
+    return rows if value is None else having(rows, column, value)
 
 
-def intents(insights: Insights, target: str | None = None, least: float = 0) -> DataFrame:
+def intents(insights: Insights, target: Key | None = None, least: float = 0) -> DataFrame:
     return _only(_confident(insights["intent_tags"], least), "target_id", target)
 
 
-def summaries(insights: Insights, target: str | None = None, least: float = 0) -> DataFrame:
+def summaries(insights: Insights, target: Key | None = None, least: float = 0) -> DataFrame:
     return _only(_confident(insights["summaries"], least), "target_id", target)
 
 
@@ -38,7 +40,7 @@ def patterns(insights: Insights, pattern: str | None = None, least: float = 0) -
     return _only(_confident(insights["pattern_tags"], least), "pattern", pattern)
 
 
-def naming(insights: Insights, symbol: str | None = None, least: float = 0) -> DataFrame:
+def naming(insights: Insights, symbol: Key | None = None, least: float = 0) -> DataFrame:
     return _only(_confident(insights["naming_issues"], least), "symbol_id", symbol)
 
 
@@ -47,8 +49,8 @@ def of_model(rows: DataFrame, model: str) -> DataFrame:
     return rows.filter(F.col("meta.model") == model)
 
 
-def scope_files(facts: Mapping[str, DataFrame], files: Sequence[str] | None = None, units: Sequence[str] | None = None, symbols: Sequence[str] | None = None) -> DataFrame:
-    """file_id: the given files, those of the given units and those that declare the given symbols.
+def scope_files(facts: Mapping[str, DataFrame], files: Sequence[str] | None = None, units: Sequence[str] | None = None, symbols: Sequence[str] | DataFrame | None = None) -> DataFrame:
+    """file_id: the given files, those of the given units and those that declare the given symbols (ids, or a frame of one column).
 
     Without any argument all files; with an empty list of one kind none of that kind. Unknown file ids stay.
     """
@@ -61,11 +63,12 @@ def scope_files(facts: Mapping[str, DataFrame], files: Sequence[str] | None = No
     if units is not None:
         parts.append(rows.filter(F.col("unit_id").isin(list(units))).select(F.col("id").alias("file_id")))
     if symbols is not None:
-        parts.append(facts["symbols"].filter(F.col("id").isin(list(symbols))).select(F.col("decl_file_id").alias("file_id")))
+        named = having(facts["symbols"], "id", symbols) if isinstance(symbols, DataFrame) else facts["symbols"].filter(F.col("id").isin(list(symbols)))
+        parts.append(named.select(F.col("decl_file_id").alias("file_id")))
     return reduce(DataFrame.union, parts).distinct()
 
 
-def scoped_files(facts: Mapping[str, DataFrame], **scope: Sequence[str] | None) -> DataFrame:
+def scoped_files(facts: Mapping[str, DataFrame], **scope: Sequence[str] | DataFrame | None) -> DataFrame:
     """Rows of files in the scope; ids without a file are dropped."""
     rows = facts["files"]
     return rows.join(scope_files(facts, **scope).withColumnRenamed("file_id", "id"), "id", "left_semi").select(rows.columns)

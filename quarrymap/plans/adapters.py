@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrymap.functions.scalars import join_present, relative_path
 from quarrymap.sources import files as source_files
 from quarrymap.sources import golist
 
@@ -93,6 +92,11 @@ class GoAdapter:
 
     run: Runner = golist.run_tool
     lang: str = golist.LANGUAGE
+    _listed: dict[str, DataFrame] = field(default_factory=dict, repr=False)
+
+    def profile(self, root: str) -> dict[str, str]:
+        """What to pass as ``profile`` to builds and updates, so that another target platform means another fingerprint."""
+        return golist.build_profile(self.run, root)
 
     def detect(self, spark: SparkSession, root: str) -> tuple[bool, float]:
         return source_files.detect(spark, root)
@@ -114,10 +118,12 @@ class GoAdapter:
         return golist.parse_packages(spark.createDataFrame([(out,)], "text string"))
 
     def enumerate_units(self, spark: SparkSession, root: str) -> DataFrame:
-        return golist.units(self.packages(spark, root), root)
+        """Units of a new listing, which the next index_units of the same root uses as well."""
+        self._listed[root] = self.packages(spark, root)
+        return golist.units(self._listed[root], root)
 
     def index_units(self, spark: SparkSession, root: str, units: DataFrame) -> dict[str, DataFrame]:
-        pkgs = self.packages(spark, root)
+        pkgs = self._listed.pop(root, None) or self.packages(spark, root)
         first = pkgs.filter("Module.Path IS NOT NULL").select("Module.Path").first()
         module = first[0] if first else ""
         marks = source_files.file_marks(source_files.contents_below(spark, root, "*.go"))
@@ -176,19 +182,3 @@ def run_action(registry: Registry, spark: SparkSession, root: str, action: str,
         except (OSError, AttributeError) as e:
             errors.append(f"{adapter.lang}: {e}")
     return {"ok": not errors and all(r["ok"] for r in results), "results": results, "errors": errors}
-
-
-def scoped_paths(rows: DataFrame, root: str, scope: Scope) -> DataFrame:
-    """Rows (path) inside the scope's paths."""
-    if scope.kind == "repo":
-        return rows
-    inside = [F.startswith(relative_path(F.col("path"), root), F.lit(v)) for v in scope.values]
-    out = F.lit(False)
-    for x in inside:
-        out = out | x
-    return rows.filter(out)
-
-
-def messages(results: Sequence[dict], spark: SparkSession) -> DataFrame:
-    rows = spark.createDataFrame([(r["action"], r["ok"], r["output"]) for r in results], "action string, ok boolean, output string")
-    return rows.select("action", "ok", join_present([F.col("action"), F.col("output")]).alias("text"))

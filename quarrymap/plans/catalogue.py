@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from quarrymap.functions import scalars as S
 from quarrymap.operators import delta, facts, fingerprint, graph, indexes, insights
-from quarrymap.plans.adapters import all_ok, ranked
+from quarrymap.plans import jobs
+from quarrymap.plans.adapters import Registry, all_ok, ranked
 from quarrymap.plans.projection import Projected, oracle
+from quarrymap.schemas import INSIGHT_ROWS, json_schema
 from quarrymap.sources import golist, store
 from quarrymap.sources.storage import new_place
 
@@ -37,10 +39,9 @@ def _facts(name: str, f: Callable[[Projected], DataFrame], sql: str, **more: obj
     register(name, sql, **more)(lambda spark, d: f(Projected(spark, d)))
 
 
-def _first(rows: DataFrame, column: str, order: str = "") -> str:
-    """A hot id, chosen by count and then by name so that both engines choose the same."""
-    top = rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).first()
-    return top[0] if top else ""
+def _first(rows: DataFrame, column: str) -> DataFrame:
+    """The hot id (none of no rows), chosen by count and then by name so that both engines choose the same; part of the query's plan."""
+    return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(1).select(column)
 
 
 def _hot_sql(table: str, column: str) -> str:
@@ -76,7 +77,7 @@ _facts("naming_confident", lambda t: insights.naming(t, least=0.7), "SELECT * FR
 _facts("naming_of_symbol", lambda t: insights.naming(t, _first(t["naming_issues"], "symbol_id")), f"SELECT * FROM naming_issues WHERE symbol_id = {_hot_sql('naming_issues', 'symbol_id')} AND confidence >= 0")
 _facts(
     "insight_scope_files",
-    lambda t: insights.scoped_files(t, files=["file:pkg/s3/f3", "file:gone"], units=[U1, "unit:py:pkg/s4", "unit:ts:pkg/s4"], symbols=[_first(t["refs"], "to_symbol_id")]),
+    lambda t: insights.scoped_files(t, files=["file:pkg/s3/f3", "file:gone"], units=[U1, "unit:py:pkg/s4", "unit:ts:pkg/s4"], symbols=_first(t["refs"], "to_symbol_id")),
     f"SELECT id, path, unit_id, hash, generated FROM files WHERE id = 'file:pkg/s3/f3' OR unit_id IN ('{U1}', 'unit:py:pkg/s4', 'unit:ts:pkg/s4') OR id IN (SELECT decl_file_id FROM symbols WHERE id = {_hot_sql('refs', 'to_symbol_id')})",
 )
 
@@ -106,20 +107,31 @@ def _removed(t: Projected) -> dict[str, DataFrame]:
 _DELTA_SQL = """ru AS (SELECT id FROM units WHERE path IN ('pkg/s1', 'pkg/s2')),
 ks AS (SELECT * FROM symbols s WHERE name <> 'Fn7' AND NOT EXISTS (SELECT 1 FROM ru WHERE ru.id = s.unit_id)),
 kf AS (SELECT * FROM files f WHERE id NOT IN ('file:pkg/s3/f3', 'file:pkg/s4/f4') AND NOT EXISTS (SELECT 1 FROM ru WHERE ru.id = f.unit_id))"""
-
-
-def _delta(name: str, sql: str) -> None:
+#: Rows that are added again, of each table: appended as they are, whatever was removed.
+_ADDED = {
+    "units": "kind = 'go_package'",
+    "files": "generated",
+    "symbols": "kind = 'type' AND exported",
+    "refs": "line = 3 AND confidence = 'probable'",
+    "type_relations": "kind = 'implements'",
+    "call_edges": "line = 4 AND dispatch = 'interface'",
+    "diagnostics": "severity = 'error'",
+}
+
+
+def _delta(name: str, sql: str, columns: str = "*") -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         t = Projected(spark, d)
         added = {"deps": spark.createDataFrame([("unit:go:new", U1, "import")] * 2, "from_unit_id string, to_unit_id string, kind string")}
-        return delta.apply_delta(t.all(), added, _removed(t))[name]
+        return delta.apply_delta(t.all(), added | {n: t[n].filter(w) for n, w in _ADDED.items()}, _removed(t))[name]
 
-    register(f"delta_{name}", sql, extra=_DELTA_SQL)(run)
+    again = f" UNION ALL SELECT {columns} FROM {name} WHERE {_ADDED[name]}" if name in _ADDED else ""
+    register(f"delta_{name}", sql + again, extra=_DELTA_SQL)(run)
 
 
-_delta("units", "SELECT id, kind, name, path FROM units WHERE id NOT IN (SELECT id FROM ru)")
-_delta("files", "SELECT id, path, unit_id, hash, generated FROM kf")
-_delta("symbols", f"SELECT {_SYMBOL} FROM ks")
+_delta("units", "SELECT id, kind, name, path FROM units WHERE id NOT IN (SELECT id FROM ru)", "id, kind, name, path")
+_delta("files", "SELECT id, path, unit_id, hash, generated FROM kf", "id, path, unit_id, hash, generated")
+_delta("symbols", f"SELECT {_SYMBOL} FROM ks", _SYMBOL)
 _delta("deps", f"SELECT * FROM deps WHERE from_unit_id NOT IN (SELECT id FROM ru) AND to_unit_id NOT IN (SELECT id FROM ru) AND NOT ends_with(from_unit_id, 's5') UNION ALL SELECT 'unit:go:new', '{U1}', 'import' UNION ALL SELECT 'unit:go:new', '{U1}', 'import'")
 _ENDS = "EXISTS (SELECT 1 FROM ks WHERE ks.id = e.{0}) AND EXISTS (SELECT 1 FROM ks WHERE ks.id = e.{1}) AND NOT EXISTS (SELECT 1 FROM {2} x WHERE x.{0} = e.{0} AND x.{1} = e.{1} AND {3})"
 _delta("refs", "SELECT * FROM refs e WHERE " + _ENDS.format("from_symbol_id", "to_symbol_id", "refs", "x.line = 1 AND x.confidence = 'certain'"))
@@ -218,11 +230,164 @@ def _snapshots(spark: SparkSession, d: str) -> DataFrame:
     return store.load_facts(spark, root)["refs"]
 
 
-@register("concat_json")
+#: Listings of the units as packages: pretty JSON values one after the other, with braces in strings and a library package.
+_MODULE, _REPO = "example.com/m", "/repo"
+
+
+def _listing(t: Projected) -> DataFrame:
+    """text: one listing a language. Each package has its unit's files and imports what its unit depends on, and fmt."""
+    name = F.concat(F.lit("f"), F.regexp_extract("path", r"f(\\d+)$", 1))
+    own = t["files"].groupBy("unit_id").agg(F.sort_array(F.collect_list(name)).alias("GoFiles"))
+    place = F.concat(F.lit(_MODULE + "/"), F.split("to_unit_id", ":")[2])
+    used = t["deps"].groupBy("from_unit_id").agg(F.sort_array(F.collect_list(place)).alias("used"))
+    rows = t["units"].join(own, F.col("id") == F.col("unit_id"), "left").join(used, F.col("id") == F.col("from_unit_id"), "left")
+    package = F.struct(
+        F.concat(F.lit(_MODULE + "/"), "path").alias("ImportPath"), F.lit("a}{b").alias("Name"), F.concat(F.lit(_REPO + "/"), "path").alias("Dir"), "GoFiles",
+        F.concat(F.array(F.lit("fmt")), F.coalesce("used", F.array().cast("array<string>"))).alias("Imports"), F.lit(False).alias("Standard"), F.struct(F.lit(_MODULE).alias("Path")).alias("Module"),
+    )
+    one = F.concat(F.to_json(package, {"pretty": "true"}), F.lit("\n"))
+    library = F.lit('{"ImportPath": "fmt", "Name": "fmt", "Dir": "/go/fmt", "GoFiles": ["f.go"], "Imports": [], "Standard": true}')
+    return rows.groupBy(S.language_of(F.col("id")).alias("lang")).agg(F.concat(library, F.array_join(F.sort_array(F.collect_list(one)), "")).alias("text"))
+
+
+def _packages(spark: SparkSession, d: str) -> tuple[Projected, DataFrame, DataFrame]:
+    t = Projected(spark, d)
+    pkgs = golist.parse_packages(_listing(t))
+    return t, pkgs, golist.units(pkgs, _REPO)
+
+
+@register("concat_json", "SELECT concat('example.com/m/', path) AS ImportPath, 'a}{b' AS Name, false AS Standard FROM units UNION ALL SELECT 'fmt', 'fmt', true FROM (SELECT DISTINCT split_part(id, ':', 2) FROM units)")
 def _concat_json(spark: SparkSession, d: str) -> DataFrame:
-    """Concatenated pretty JSON made of the units, with braces in strings, parsed again; a test holds it against them."""
-    t = Projected(spark, d)["units"]
-    text = F.concat(F.lit('{\n "ImportPath": "'), "path", F.lit('",\n "Name": "a}{b",\n "GoFiles": ["x.go"]\n}\n'))
-    listing = t.groupBy(S.language_of(F.col("id")).alias("lang")).agg(F.array_join(F.collect_list(text), "").alias("text"))
-    return golist.parse_packages(listing)
+    return golist.parse_packages(_listing(Projected(spark, d))).select("ImportPath", "Name", "Standard")
+
+
+@register("listing_units", "SELECT concat('unit:go:', path) AS id, 'go_package' AS kind, 'a}{b' AS name, path, concat('example.com/m/', path) AS import_path FROM units")
+def _listing_units(spark: SparkSession, d: str) -> DataFrame:
+    _, _, units = _packages(spark, d)
+    return units.select("id", "kind", "name", "path", F.col("metadata")["import_path"].alias("import_path"))
+
+
+@register("listing_files", "SELECT f.id, f.path, concat('unit:go:', u.path) AS unit_id, f.hash, f.generated FROM files f JOIN units u ON u.id = f.unit_id")
+def _listing_files(spark: SparkSession, d: str) -> DataFrame:
+    t, pkgs, units = _packages(spark, d)
+    return golist.files(pkgs, units, _REPO, t["files"].select("path", "hash", "generated"))
+
+
+@register("listing_deps", "SELECT concat('unit:go:', split_part(from_unit_id, ':', 3)) AS from_unit_id, concat('unit:go:', split_part(to_unit_id, ':', 3)) AS to_unit_id, kind FROM deps")
+def _listing_deps(spark: SparkSession, d: str) -> DataFrame:
+    _, pkgs, units = _packages(spark, d)
+    return golist.deps(pkgs, units, _MODULE, _REPO)
+
+
+class ProjectedAdapter:
+    """The projected tables as what an adapter lists; ``old`` lacks some symbols of one unit and the edges at them."""
+
+    lang = "go"
+
+    def __init__(self, t: Projected, old: bool):
+        self.t, self.old = t, old
+
+    def detect(self, spark: SparkSession, root: str) -> tuple[bool, float]:
+        return True, 1.0
+
+    def doctor(self) -> tuple[bool, list[str], list[str]]:
+        return True, [], []
+
+    def enumerate_units(self, spark: SparkSession, root: str) -> DataFrame:
+        return self.t["units"]
+
+    def index_units(self, spark: SparkSession, root: str, units: DataFrame) -> dict[str, DataFrame]:
+        made = {n: self.t[n] for n in ("files", "deps", "symbols", "refs", "type_relations", "call_edges")} | {"units": units}
+        if self.old:
+            made["symbols"] = made["symbols"].filter(f"unit_id <> '{U1}' OR kind = 'type'")
+            made["deps"] = made["deps"].filter(f"from_unit_id <> '{U1}' AND to_unit_id <> '{U1}'")
+        return made
+
+    def diagnose(self, spark: SparkSession, root: str) -> DataFrame:
+        return self.t["diagnostics"]
 
+
+def _updated(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """A build of the old listing brought up to date with the new one, for a changed file of U1 and one that nobody knows."""
+    root, t = new_place(spark, "facts"), Projected(spark, d)
+    for step in (True, False):
+        registry = Registry()
+        registry.register(ProjectedAdapter(t, step))
+        if step:
+            jobs.index_facts(spark, registry, root, root)
+        else:
+            jobs.update_facts(spark, registry, root, root, [f"{U1.split(':')[2]}/f{U1.rsplit('s', 1)[1]}", "no/such/file"])
+    return store.load_facts(spark, root)
+
+
+# A unit's replacement takes edges along, of both directions; afterwards all is what a build of the new listing gives.
+for _table, _columns in {"symbols": _SYMBOL, "call_edges": "caller_id, callee_id, site_file_id, line, dispatch", "refs": "from_symbol_id, to_symbol_id, site_file_id, line, kind, confidence", "deps": "from_unit_id, to_unit_id, kind"}.items():
+    register(f"update_{_table}", f"SELECT {_columns} FROM {_table}")(lambda spark, d, n=_table, c=_columns: _updated(spark, d)[n].select(*c.split(", ")))
+
+
+@register("snapshot_lookup", f"SELECT caller_id, callee_id, line, dispatch FROM call_edges WHERE caller_id = {_hot_sql('call_edges', 'caller_id')}")
+def _lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of a symbol by the index of a stored snapshot, whose scan gets the filter."""
+    root, t = new_place(spark, "snapshots"), Projected(spark, d)
+    store.write_snapshot(spark, root, {"call_edges": t["call_edges"]})
+    calls = store.load_index(spark, root, "calls_by_caller")
+    hot = _first(calls, "caller_id").first()
+    return facts.callees({"call_edges": calls}, hot[0] if hot else "").select("caller_id", "callee_id", "line", "dispatch")
+
+
+@register("index_roundtrip", "SELECT 'unit_by_file' AS index, id AS key, unit_id AS value FROM files UNION ALL SELECT 'symbol_by_name', name, id FROM symbols UNION ALL SELECT 'symbol_by_id', id, name FROM symbols")
+def _indexes(spark: SparkSession, d: str) -> DataFrame:
+    root, t = new_place(spark, "snapshots"), Projected(spark, d)
+    store.write_snapshot(spark, root, {n: t[n] for n in ("files", "symbols")})
+    load = lambda name, key, value: store.load_index(spark, root, name).select(F.lit(name).alias("index"), F.col(key).alias("key"), F.col(value).alias("value"))
+    return load("unit_by_file", "file_id", "unit_id").union(load("symbol_by_name", "name", "id")).union(load("symbol_by_id", "id", "name"))
+
+
+@register("json_roundtrip", "SELECT id, path, unit_id, hash, generated FROM files")
+def _json(spark: SparkSession, d: str) -> DataFrame:
+    """facts.json, the export for small stores, written and read again."""
+    root = new_place(spark, "json")
+    store.write_facts(spark, root, {"files": Projected(spark, d)["files"]})
+    return store.load_facts(spark, root)["files"].select("id", "path", "unit_id", "hash", "generated")
+
+
+def _with_model(rows: DataFrame) -> DataFrame:
+    """Annotations as they are stored; two models made them."""
+    meta = F.struct(F.when(F.col("confidence") < 0.5, "a").otherwise("b").alias("model"), "confidence", F.lit("t").alias("generated_at"))
+    return rows.select("target_id", "target_kind", "intent", F.lit("r").alias("reasoning"), meta.alias("meta"))
+
+
+@register("insights_roundtrip", "SELECT target_id, intent, confidence FROM intent_tags WHERE confidence >= 0.3")
+def _annotations(spark: SparkSession, d: str) -> DataFrame:
+    """All annotations written and read again; the intents of some confidence."""
+    root = new_place(spark, "insights")
+    made = {n: spark.createDataFrame([], json_schema(n)) for n in INSIGHT_ROWS} | {"intent_tags": _with_model(Projected(spark, d)["intent_tags"])}
+    store.write_insights(root, made)
+    return insights.intents(store.load_insights(spark, root), least=0.3).select("target_id", "intent", "meta.confidence")
+
+
+_facts("insights_of_model", lambda t: insights.of_model(_with_model(t["intent_tags"]), "b").select("target_id", "intent"), "SELECT target_id, intent FROM intent_tags WHERE confidence >= 0.5")
+
+
+@register("map_override", "SELECT r_name AS name, CASE WHEN n_nationkey % 2 = 0 THEN 'new' ELSE 'old' END AS value, n_name AS key FROM nation JOIN region ON r_regionkey = n_regionkey", plain=True)
+def _override(spark: SparkSession, d: str) -> DataFrame:
+    """A map of each region's nations, overridden by one of those with even keys."""
+    nation, region = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("nation", "region"))
+    entry = lambda v: F.struct(F.col("n_name"), F.lit(v))
+    maps = nation.groupBy("n_regionkey").agg(F.map_from_entries(F.collect_list(entry("old"))).alias("base"), F.map_from_entries(F.collect_list(F.when(F.col("n_nationkey") % 2 == 0, entry("new")))).alias("by"))
+    out = maps.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("name"), F.explode(S.overridden(F.col("base"), F.col("by"))).alias("key", "value"))
+    return out.select("name", "value", "key")
+
+
+@register("iso_now", "SELECT n_nationkey AS id, true AS is_iso, true AS is_recent FROM nation", plain=True)
+def _now(spark: SparkSession, d: str) -> DataFrame:
+    now = S.now_iso()
+    recent = F.abs(F.unix_timestamp(F.to_timestamp(now)) - F.unix_timestamp(F.current_timestamp())) < 5
+    return spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("id"), now.rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d\.\d{3}Z$").alias("is_iso"), recent.alias("is_recent"))
+
+
+@register("paths_relative", "SELECT id, path AS below, concat('../other/', path) AS beside, '' AS root, path AS trimmed FROM files")
+def _paths(spark: SparkSession, d: str) -> DataFrame:
+    path = F.col("path")
+    at = lambda prefix: S.relative_path(F.concat(F.lit(prefix), path), "/repo/x")
+    return Projected(spark, d)["files"].select("id", at("/repo/./y/../x//").alias("below"), at("/repo/other/").alias("beside"), S.relative_path(F.lit("/repo/x/"), "/repo/x").alias("root"), S.trimmed(F.concat(F.lit("\t \u00a0\n"), path, F.lit("\r\n"))).alias("trimmed"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from quarrymap.operators import delta, facts, fingerprint
 from quarrymap.plans.adapters import Registry
 from quarrymap.schemas import TABLES, json_schema
 from quarrymap.sources import store
+from quarrymap.sources.files import exists
 
 
 def empty(spark: SparkSession) -> dict[str, DataFrame]:
@@ -24,7 +24,7 @@ def _match(spark: SparkSession, now: dict, before: dict | None, commit: bool) ->
     return fingerprint.differences(fingerprint.as_frame(spark, now), fingerprint.as_frame(spark, before), commit).isEmpty()
 
 
-def index_facts(spark: SparkSession, registry: Registry, root: str, cache: str, created_at: str = "", profile: dict | None = None, by_commit: bool = False) -> dict:
+def index_facts(spark: SparkSession, registry: Registry, root: str, cache: str, created_at: str | None = None, profile: dict | None = None, by_commit: bool = False) -> dict:
     """Full build: {ok, errors, warnings, fingerprint}. A changed environment wipes what was stored."""
     now = fingerprint.generate(root, created_at, profile)
     before = store.manifest(spark, cache)
@@ -51,55 +51,83 @@ def index_facts(spark: SparkSession, registry: Registry, root: str, cache: str,
     for rows in diagnostics:
         tables["diagnostics"] = tables["diagnostics"].unionByName(rows, allowMissingColumns=True)
     if not errors:
-        store.write_snapshot(spark, cache, tables, now["repo_state"]["commit"], created_at, now)
+        store.write_snapshot(spark, cache, tables, now["repo_state"]["commit"], now["created_at"], now)
     return {"ok": not errors, "errors": errors, "warnings": warnings, "fingerprint": now}
 
 
 def refreshed(old: dict[str, DataFrame], fresh: dict[str, DataFrame], units: DataFrame) -> dict[str, DataFrame]:
     """old with the rows of the given units (unit_id) replaced by those of ``fresh``, a full listing.
 
-    Deps of other units on the replaced ones stay: both ends are re-listed, so what changed is taken from the listing.
+    Deps, refs, type relations and calls with one end in a replaced unit are taken from the listing, whichever end it is;
+    those between other units stay. What dangles afterwards is pruned.
     """
     ids = units.select(F.col("unit_id").alias("id"))
     out = delta.remove(old, {"units": ids})
-    owned = {"units": "id", "files": "unit_id", "symbols": "unit_id"}
-    for table, key in owned.items():
+    mine: dict[str, DataFrame] = {}
+    for table, key in {"units": "id", "files": "unit_id", "symbols": "unit_id"}.items():
         if table in fresh:
-            out[table] = out[table].unionByName(fresh[table].join(units.withColumnRenamed("unit_id", "_u"), F.col(key) == F.col("_u"), "left_semi"), allowMissingColumns=True)
-    out["deps"] = out["deps"].unionByName(facts.touching(fresh["deps"], units), allowMissingColumns=True)
-    files = out["files"].join(units, "unit_id", "left_semi").select(F.col("id").alias("file_id"))
+            mine[table] = fresh[table].join(units.withColumnRenamed("unit_id", "_u"), F.col(key) == F.col("_u"), "left_semi")
+            out[table] = out[table].unionByName(mine[table], allowMissingColumns=True)
+    if "deps" in fresh:
+        out["deps"] = out["deps"].unionByName(facts.touching(fresh["deps"], units), allowMissingColumns=True)
+    for table, ends in delta.EDGES.items():
+        if table in fresh and "symbols" in mine:
+            added = facts.touching(fresh[table], mine["symbols"].select("id").distinct(), ends)
+            out[table] = delta.prune(out[table].unionByName(added, allowMissingColumns=True), ends, out["symbols"])
     if "diagnostics" in fresh:
+        files = out["files"].join(units, "unit_id", "left_semi").select(F.col("id").alias("file_id"))
         out["diagnostics"] = out["diagnostics"].unionByName(fresh["diagnostics"].join(files, "file_id", "left_semi"), allowMissingColumns=True)
     return out
 
 
-def update_facts(spark: SparkSession, registry: Registry, root: str, cache: str, changed: Sequence[str], created_at: str = "") -> dict:
-    """{ok, affected, fallback, errors}: only units that own changed files are indexed again.
+def owners(spark: SparkSession, units: DataFrame, paths: Sequence[str]) -> DataFrame:
+    """unit_id of the unit in whose directory each path lies, or the nearest above that has a unit ('.' is the root)."""
+    above = [(p, d, len(d)) for p in paths for d in _directories(p.removeprefix("file:"))]
+    places = spark.createDataFrame(above, "changed string, path string, depth int")
+    found = places.join(units.select(F.col("id").alias("unit_id"), "path"), "path")
+    return found.groupBy("changed").agg(F.max_by("unit_id", F.when(F.col("path") == ".", 0).otherwise(F.col("depth"))).alias("unit_id")).select("unit_id").distinct()
 
-    Falls back to a full build without a stored snapshot, in a changed environment, and where a changed file is new.
+
+def _directories(path: str) -> list[str]:
+    parts = path.split("/")[:-1]
+    return [*("/".join(parts[:k]) for k in range(len(parts), 0, -1)), "."]
+
+
+def update_facts(spark: SparkSession, registry: Registry, root: str, cache: str, changed: Sequence[str], created_at: str | None = None, profile: dict | None = None, by_commit: bool = False) -> dict:
+    """{ok, affected, fallback, errors, warnings}: only units that own changed files are indexed again.
+
+    A changed file that isn't stored but is there now belongs to the unit of its directory, new or not; one that is
+    neither stored nor there changes nothing. Falls back to a full build, with the same profile, without a stored
+    snapshot and in a changed environment. Tables of edges stay by reference where no symbol is replaced.
     """
-    now = fingerprint.generate(root, created_at)
-    before = store.manifest(spark, cache)
-    old = store.read_snapshot(spark, cache)
-    known = old is not None and facts.changed_files(old, changed).join(old["files"].select("id"), "id", "left_anti").isEmpty()
-    if not known or not _match(spark, now, before.get("fingerprint"), False):
-        return index_facts(spark, registry, root, cache, created_at) | {"affected": [], "fallback": True}
-    units = facts.impact_units(old, changed)
+    now = fingerprint.generate(root, created_at, profile)
+    before, old = store.manifest(spark, cache), store.read_snapshot(spark, cache)
+    if old is None or not _match(spark, now, before.get("fingerprint"), by_commit):
+        done = index_facts(spark, registry, root, cache, created_at, profile, by_commit)
+        units = store.read_snapshot(spark, cache) if done["ok"] else None
+        return done | {"affected": sorted(r[0] for r in units["units"].select("id").distinct().collect()) if units else [], "fallback": True, "warnings": [*done["warnings"], "no snapshot of this environment: all was built"]}
+    unknown = facts.changed_files(old, changed).join(old["files"].select("id"), "id", "left_anti")
+    new = [p for r in unknown.collect() if exists(spark, f"{root.rstrip('/')}/{(p := r[0].removeprefix('file:'))}")]
+    units, warnings, errors = facts.impact_units(old, changed), [], []
+    found = [(a, a.index_units(spark, root, a.enumerate_units(spark, root))) for a, _ in registry.detect_all(spark, root)] if new else None
+    for _, fresh in found or []:
+        units = units.union(owners(spark, fresh["units"], new))
+    units = units.distinct()
     affected = sorted(r[0] for r in units.collect())
     if not affected:
-        return {"ok": True, "affected": [], "fallback": False, "errors": []}
-    tables, errors = old, []
-    for adapter, _ in registry.detect_all(spark, root):
+        return {"ok": True, "affected": [], "fallback": False, "errors": [], "warnings": ["no unit owns a changed file"]}
+    units = spark.createDataFrame([(u,) for u in affected], "unit_id string")
+    tables, touched = old, set()
+    for adapter, _ in registry.detect_all(spark, root) if found is None else [(a, 1.0) for a, _ in found]:
         try:
-            fresh = adapter.index_units(spark, root, adapter.enumerate_units(spark, root))
+            fresh = next((f for a, f in found or [] if a is adapter), None) or adapter.index_units(spark, root, adapter.enumerate_units(spark, root))
             fresh["diagnostics"] = adapter.diagnose(spark, root)
+            touched |= {t for t in delta.EDGES if t in fresh} if "symbols" in fresh else set()
             tables = refreshed(tables, fresh, units.filter(F.startswith("unit_id", F.lit(f"unit:{adapter.lang}:"))))
         except (RuntimeError, OSError) as e:
             errors.append(f"{adapter.lang}: {e}")
     if not errors:
-        store.write_snapshot(spark, cache, tables, now["repo_state"]["commit"], created_at, now)
-    return {"ok": not errors, "affected": affected, "fallback": False, "errors": errors}
-
-
-def union_all(parts: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        idle = old["symbols"].join(units, "unit_id", "left_semi").isEmpty()
+        same = [t for t in ("symbols", *delta.EDGES) if idle and not touched]
+        store.write_snapshot(spark, cache, tables, now["repo_state"]["commit"], now["created_at"], now, same=same)
+    return {"ok": not errors, "affected": affected, "fallback": False, "errors": errors, "warnings": warnings}

@@ -17,11 +17,12 @@ _CTES = {
     "files": "SELECT p0.k, concat('file:', u.path, '/f', p0.k) AS id, concat(u.path, '/f', p0.k) AS path, u.id AS unit_id, concat('sha256:', {sha}(concat('f', p0.k){bits})) AS hash, generated FROM p0 JOIN units u ON u.k = p0.uk",
     "o0": "SELECT o_orderkey AS k, o_orderkey % (SELECT count(*) FROM {part}) AS fk, CASE WHEN o_orderkey % 5 = 0 THEN 'type' ELSE 'func' END AS kind, concat('Fn', o_custkey) AS name, o_orderstatus = 'F' AS exported, CAST(o_orderkey % 500 + 1 AS INT) AS line FROM {orders}",
     "symbols": "SELECT o0.k, concat('sym:', f.path, '#', o0.kind, '#', o0.name, '#sig:', o0.k) AS id, f.unit_id, o0.name, o0.kind, o0.exported, f.id AS decl_file_id, o0.line FROM o0 JOIN files f ON f.k = o0.fk",
-    "l0": "SELECT l_orderkey AS ak, (l_orderkey * 7 + l_partkey) % (SELECT count(*) FROM {orders}) AS bk, (l_partkey * 5) % (SELECT count(*) FROM {orders}) AS tk, l_suppkey AS uk, l_partkey % (SELECT count(*) FROM {supplier}) AS vk, l_linenumber AS line, l_returnflag, l_linestatus, l_tax, l_quantity, l_discount FROM {lineitem}",
+    "l0": "SELECT l_orderkey AS ak, (l_orderkey * 7 + l_partkey) % (SELECT count(*) FROM {orders}) AS bk, (l_partkey * 5) % (SELECT count(*) FROM {orders}) AS tk, l_suppkey AS uk, l_partkey % (SELECT count(*) FROM {supplier}) AS vk, l_linenumber AS line, l_returnflag, l_linestatus, l_tax FROM {lineitem}",
     "call_edges": "SELECT a.id AS caller_id, b.id AS callee_id, a.decl_file_id AS site_file_id, l0.line, CASE l_returnflag WHEN 'A' THEN 'static' WHEN 'N' THEN 'dynamic' ELSE 'interface' END AS dispatch FROM l0 JOIN symbols a ON a.k = l0.ak JOIN symbols b ON b.k = l0.bk",
     "refs": "SELECT a.id AS from_symbol_id, b.id AS to_symbol_id, a.decl_file_id AS site_file_id, l0.line, 'call' AS kind, CASE WHEN l_tax = 0 THEN 'speculative' WHEN l_linestatus = 'F' THEN 'certain' ELSE 'probable' END AS confidence FROM l0 JOIN symbols a ON a.k = l0.ak JOIN symbols b ON b.k = l0.bk",
     "type_relations": "SELECT a.id AS from_type_id, b.id AS to_type_id, CASE l_returnflag WHEN 'A' THEN 'implements' WHEN 'N' THEN 'embeds' ELSE 'instantiates' END AS kind FROM l0 JOIN symbols a ON a.k = l0.ak JOIN symbols b ON b.k = l0.tk WHERE a.kind = 'type' AND b.kind = 'type'",
-    "deps": "SELECT DISTINCT a.id AS from_unit_id, b.id AS to_unit_id, 'import' AS kind FROM l0 JOIN units a ON a.k = l0.uk JOIN units b ON b.k = l0.vk WHERE l_quantity = 1 AND l_discount >= 0.085 AND a.k <> b.k",
+    "d0": "SELECT DISTINCT uk, vk FROM l0 WHERE uk <> vk",
+    "deps": "SELECT a.id AS from_unit_id, b.id AS to_unit_id, 'import' AS kind FROM d0 JOIN units a ON a.k = d0.uk JOIN units b ON b.k = d0.vk",
     "e0": "SELECT e.*, event_id % (SELECT count(*) FROM {part}) AS fk FROM {events} e",
     "diagnostics": "SELECT f.id AS file_id, CAST(e0.event_id % 300 + 1 AS INT) AS line, CAST(e0.user_id % 80 + 1 AS INT) AS col, CASE e0.event_type WHEN 'error' THEN 'error' WHEN 'click' THEN 'warning' WHEN 'view' THEN 'info' ELSE 'hint' END AS severity, e0.props AS message, 'go_vet' AS tool FROM e0 JOIN files f ON f.k = e0.fk",
     "n0": "SELECT e.event_id AS k, event_id % (SELECT count(*) FROM {supplier}) AS uk, event_id % (SELECT count(*) FROM {part}) AS fk, event_id % (SELECT count(*) FROM {orders}) AS sk, event_type, user_id, CAST(event_id * 37 % 101 AS DOUBLE) / 100 AS confidence FROM {events} e",

@@ -28,13 +28,6 @@ INSIGHT_ROWS = {
     "pattern_tags": f"target_id string, target_kind string, pattern string, participants array<string>, {_META}",
     "naming_issues": f"symbol_id string, issue string, current_name string, suggestion string, message string, {_META}",
 }
-#: Values of the closed string columns.
-ENUMS = {
-    ("refs", "confidence"): ("certain", "probable", "speculative"),
-    ("type_relations", "kind"): ("implements", "embeds", "converts_to", "instantiates"),
-    ("call_edges", "dispatch"): ("static", "dynamic", "interface"),
-    ("diagnostics", "severity"): ("error", "warning", "info", "hint"),
-}
 FINGERPRINT = "schema_version int, tools map<string,string>, build_profile map<string,string>, repo_state struct<commit:string,working_tree_hash:string>, created_at string"
 SCHEMA_VERSION = 1
 

@@ -9,12 +9,17 @@ from quarrymap.functions.scalars import content_hash, is_generated, relative_pat
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or directory is there, on whatever file system the path names; no on any error."""
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
-    except Exception:  # noqa: BLE001
-        return False
+    """Whether a file or directory is there, on whatever file system the path names; a failing file system is an error, not a no."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where))
+
+
+def names_below(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a directory holds; none where it isn't there."""
+    if not exists(spark, path):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)]
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -8,13 +8,13 @@ from __future__ import annotations
 import json
 import os
 import subprocess
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrymap.functions.scalars import file_id, int_or, of_language, relative_path, unit_id
+from quarrymap.functions.scalars import file_id, int_or, of_language, relative_path, trimmed, unit_id
 
 PACKAGES = "ImportPath string, Name string, Dir string, GoFiles array<string>, Imports array<string>, Standard boolean, Module struct<Path:string>"
 LANGUAGE = "go"
@@ -46,11 +46,16 @@ def parse_packages(listings: DataFrame) -> DataFrame:
     return raw.select(F.from_json("value", PACKAGES).alias("p")).select("p.*")
 
 
-def packages(spark: SparkSession, root: str, environment: dict[str, str] | None = None) -> DataFrame:
-    code, out, err = run_tool(["go", "list", "-json", "./..."], root, environment)
-    if code:
-        raise RuntimeError(f"go list failed: {err}")
-    return parse_packages(spark.createDataFrame([(out,)], "text string"))
+def build_profile(run: Callable[[list[str], str], tuple[int, str, str]], root: str) -> dict[str, str]:
+    """GOOS, GOARCH and GOTAGS as the toolchain sees them; what it doesn't tell is empty, and without a toolchain there is none."""
+    out = {}
+    for key in ("GOOS", "GOARCH", "GOTAGS"):
+        try:
+            code, value, _ = run(["go", "env", key], root)
+        except OSError:
+            return {}
+        out[key] = value if code == 0 else ""
+    return out
 
 
 def units(pkgs: DataFrame, root: str) -> DataFrame:
@@ -86,7 +91,9 @@ def deps(pkgs: DataFrame, units_: DataFrame, module: str, root: str) -> DataFram
     return internal_deps(imports, pkgs, units_, module, root)
 
 
-VET_LINE = r"^(.+?):(\d+):(?:(\d+):)?\s*(.+)$"
+#: A place is a path, a line and perhaps a column, each ended by a colon; what follows is the message.
+_PATH, _NUMBER, _MESSAGE = "(.+?)", ":([0-9]+)", r":\s*(\S.*)"
+VET_LINE = "^" + _PATH + _NUMBER + "(?:" + _NUMBER + ")?" + _MESSAGE + "$"
 
 
 def vet_diagnostics(output: DataFrame, root: str = "") -> DataFrame:
@@ -94,11 +101,11 @@ def vet_diagnostics(output: DataFrame, root: str = "") -> DataFrame:
 
     Headings (#) and other lines are skipped; a missing column is 1. The pattern runs in the JVM.
     """
-    line = output.select(F.explode(F.split("text", "\n")).alias("raw")).select(F.trim("raw").alias("line"))
+    line = output.select(F.explode(F.split("text", "\n")).alias("raw")).select(trimmed(F.col("raw")).alias("line"))
     hit = line.filter((F.col("line") != "") & ~F.startswith("line", F.lit("#")) & F.col("line").rlike(VET_LINE))
     part = [F.regexp_extract("line", VET_LINE, k) for k in range(5)]
     return hit.select(
-        file_id(relative_path(part[1], root) if root else F.regexp_replace(part[1], r"^(\./)+", "")).alias("file_id"),
+        file_id(relative_path(part[1], root)).alias("file_id"),
         int_or(part[2], 0).alias("line"),
         int_or(part[3], 1).alias("col"),
         F.lit("warning").alias("severity"),

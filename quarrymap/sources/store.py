@@ -1,35 +1,46 @@
-"""Snapshots: versioned Parquet tables behind one manifest, and import and export of JSON and JSON lines.
+"""Snapshots: versioned Parquet tables behind numbered manifests, and import and export of JSON and JSON lines.
 
-A write makes a new ``snapshot=N`` directory and then swaps the manifest, so readers see the old or the new snapshot
-and a failed write leaves the old one. Facts and annotations have roots of their own.
+A write makes a new ``snapshot=N-...`` directory and then a new manifest ``manifest-N.json``, by one rename to a name that
+isn't taken; the highest readable manifest is the current one. So readers see the old or the new snapshot, a write that
+fails at any point leaves the old one, and of two writers of one number the second fails. Tables that a write doesn't
+change are taken over by reference. Facts and annotations have roots of their own.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping
+import re
+import uuid
+from collections.abc import Collection, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrymap.operators.fingerprint import now_iso
 from quarrymap.schemas import INSIGHT_ROWS, JSON_ROWS, PLACES, SCHEMA_VERSION, TABLES, json_schema
-from quarrymap.sources.files import delete, exists
+from quarrymap.operators import indexes
+from quarrymap.sources.files import delete, exists, names_below
 
 
 class NotStored(LookupError):
     """There is nothing to read yet."""
 
 
-def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Writes a small file beside its place and renames it, replacing what was there."""
+def _put(spark: SparkSession, path: str, text: str, replace: bool = True) -> None:
+    """Writes a small file beside its place and renames it; what is there is replaced, or else an error."""
     jvm = spark._jvm
-    where, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path + ".new")
-    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    where, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    conf = spark._jsc.hadoopConfiguration()
+    fs = where.getFileSystem(conf)
     out = fs.create(beside, True)
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(where, False)
-    fs.rename(beside, where)
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = getattr(jvm.org.apache.hadoop.fs.Options.Rename, "OVERWRITE" if replace else "NONE")
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else fs.getUri(), conf).rename(fs.makeQualified(beside), fs.makeQualified(where), options)
+    finally:
+        fs.delete(beside, False)
 
 
 def read_json(spark: SparkSession, path: str) -> dict | None:
@@ -87,10 +98,10 @@ def read_facts_jsonl(spark: SparkSession, root: str) -> dict[str, DataFrame] | N
     return {t: flat(t, read_jsonl(spark, f"{root}/facts/{t}.jsonl", t)) for t in TABLES}
 
 
-def write_facts_jsonl(spark: SparkSession, root: str, facts: Mapping[str, DataFrame], commit: str = "unknown", created_at: str = "") -> None:
+def write_facts_jsonl(spark: SparkSession, root: str, facts: Mapping[str, DataFrame], commit: str = "unknown", created_at: str | None = None) -> None:
     for table, rows in facts.items():
         write_jsonl(nested(table, rows), f"{root}/facts/{table}.jsonl")
-    write_json(spark, f"{root}/facts/meta.json", {"schema_version": SCHEMA_VERSION, "snapshot": {"commit": commit, "created_at": created_at}})
+    write_json(spark, f"{root}/facts/meta.json", {"schema_version": SCHEMA_VERSION, "snapshot": {"commit": commit, "created_at": created_at or now_iso()}})
 
 
 def _arrays(spark: SparkSession, path: str, rows: Mapping[str, str]) -> dict[str, DataFrame]:
@@ -122,9 +133,9 @@ def load_facts(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     return found
 
 
-def write_facts(spark: SparkSession, root: str, facts: Mapping[str, DataFrame], commit: str = "unknown", created_at: str = "") -> None:
+def write_facts(spark: SparkSession, root: str, facts: Mapping[str, DataFrame], commit: str = "unknown", created_at: str | None = None) -> None:
     """facts.json, one document: an export for small stores, made on the driver."""
-    value: dict = {"schema_version": SCHEMA_VERSION, "snapshot": {"commit": commit, "created_at": created_at}}
+    value: dict = {"schema_version": SCHEMA_VERSION, "snapshot": {"commit": commit, "created_at": created_at or now_iso()}}
     for table in TABLES:
         value[table] = [json.loads(x) for x in nested(table, facts[table]).toJSON().toLocalIterator()] if table in facts else []
     write_json(spark, f"{root}/facts.json", value)
@@ -132,35 +143,95 @@ def write_facts(spark: SparkSession, root: str, facts: Mapping[str, DataFrame],
 
 #: How the large tables are laid out for the look-ups they serve: sorted within files, so row groups prune.
 _ORDER = {"refs": "to_symbol_id", "symbols": "name", "call_edges": "callee_id", "deps": "to_unit_id", "type_relations": "to_type_id", "files": "id", "diagnostics": "file_id"}
+#: Further tables that a snapshot holds, made of one of its tables and sorted by the key they are looked up by. Look-ups by
+#: the keys of _ORDER, such as refs_by_symbol, are served by the tables themselves.
+_INDEXES = {
+    "unit_by_file": ("files", "file_id", indexes.unit_by_file),
+    "symbol_by_id": ("symbols", "id", lambda rows: rows),
+    "calls_by_caller": ("call_edges", "caller_id", lambda rows: rows),
+    "deps_by_source": ("deps", "from_unit_id", lambda rows: rows),
+}
+_SERVED = {"symbol_by_name": "symbols", "refs_by_symbol": "refs", "calls_by_callee": "call_edges", "deps_by_target": "deps"}
 
 
 def manifest(spark: SparkSession, root: str) -> dict | None:
-    return read_json(spark, f"{root}/manifest.json")
+    """The highest manifest that can be read; None where there is none."""
+    found = sorted((int(m[1]) for name in names_below(spark, root) if (m := re.fullmatch(r"manifest-(\d+)\.json", name))), reverse=True)
+    for number in found:
+        try:
+            return read_json(spark, f"{root}/manifest-{number}.json")
+        except ValueError:  # half a file: not one of a file system that renames atomically
+            continue
+    return None
 
 
 def read_snapshot(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
     now = manifest(spark, root)
-    if now is None:
-        return None
-    return {t: spark.read.parquet(f"{root}/snapshot={now['snapshot']}/{t}") for t in now["tables"]}
+    return None if now is None else {t: spark.read.parquet(f"{root}/{place}") for t, place in now["tables"].items()}
+
 
+def load_index(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+    """unit_by_file, symbol_by_id, calls_by_caller, deps_by_source, symbol_by_name, refs_by_symbol, calls_by_callee or deps_by_target of the current snapshot.
 
-def write_snapshot(spark: SparkSession, root: str, facts: Mapping[str, DataFrame], commit: str = "unknown", created_at: str = "", fingerprint: dict | None = None, keep: int = 2) -> int:
-    """Writes the next snapshot and makes it the current one; older ones than ``keep`` go. Its number."""
+    Rows sorted by the key: a filter on it reads only the row groups that can have it. None where nothing is stored or
+    the snapshot doesn't have the table.
+    """
     now = manifest(spark, root)
-    number = now["snapshot"] + 1 if now else 1
-    place = f"{root}/snapshot={number}"
-    delete(spark, place)  # of an attempt that failed
+    place = None if now is None else now["tables"].get(_SERVED[name]) if name in _SERVED else now["indexes"].get(name)
+    return None if place is None else spark.read.parquet(f"{root}/{place}")
+
+
+def _sorted(rows: DataFrame, key: str | None) -> DataFrame:
+    return rows.repartitionByRange(F.col(key)).sortWithinPartitions(key) if key in rows.columns else rows
+
+
+def write_snapshot(spark: SparkSession, root: str, facts: Mapping[str, DataFrame], commit: str = "unknown", created_at: str | None = None, fingerprint: dict | None = None, keep: int = 2, same: Collection[str] = ()) -> int:
+    """Writes the next snapshot and makes it the current one; older ones than ``keep`` go. Its number.
+
+    same: tables that are as in the current snapshot; they, and their indexes, are neither read nor written.
+    """
+    now = manifest(spark, root)
+    names = names_below(spark, root)
+    number = 1 + max([0, *(int(m[1]) for name in names if (m := re.match(r"(?:manifest-|snapshot=)(\d+)", name)))])
+    place = f"snapshot={number}-{uuid.uuid4().hex[:8]}"
+    tables, made = {}, {}
     for table, rows in facts.items():
-        if (key := _ORDER.get(table)) in rows.columns:
-            rows = rows.repartitionByRange(F.col(key)).sortWithinPartitions(key)
-        rows.write.parquet(f"{place}/{table}")
-    write_json(spark, f"{root}/manifest.json", {"snapshot": number, "tables": list(facts), "commit": commit, "created_at": created_at, "schema_version": SCHEMA_VERSION, "fingerprint": fingerprint})
-    if number > keep:
-        delete(spark, f"{root}/snapshot={number - keep}")
+        if table in same and now and table in now["tables"]:
+            tables[table] = now["tables"][table]
+        else:
+            tables[table] = f"{place}/{table}"
+            _sorted(rows, _ORDER.get(table)).write.parquet(f"{root}/{place}/{table}")
+    for name, (table, key, derived) in _INDEXES.items():
+        if table in facts:
+            if now and tables[table] == now["tables"].get(table) and name in now["indexes"]:
+                made[name] = now["indexes"][name]
+            else:
+                made[name] = f"{place}/{name}"
+                _sorted(derived(spark.read.parquet(f"{root}/{tables[table]}")), key).write.parquet(f"{root}/{place}/{name}")
+    value = {"snapshot": number, "tables": tables, "indexes": made, "commit": commit, "created_at": created_at or now_iso(), "schema_version": SCHEMA_VERSION, "fingerprint": fingerprint}
+    _put(spark, f"{root}/manifest-{number}.json", json.dumps(value, indent=2) + "\n", replace=False)
+    _clean(spark, root, number, keep)
     return number
 
 
+def _clean(spark: SparkSession, root: str, number: int, keep: int) -> None:
+    """Deletes older manifests than the last ``keep``, then the directories of earlier numbers that none of those left names."""
+    names = names_below(spark, root)
+    numbers = sorted((int(m[1]) for name in names if (m := re.fullmatch(r"manifest-(\d+)\.json", name))), reverse=True)
+    for old in numbers[keep:]:
+        delete(spark, f"{root}/manifest-{old}.json")
+    used: set[str] = set()
+    for left in numbers[:keep]:
+        try:
+            value = read_json(spark, f"{root}/manifest-{left}.json") or {}
+        except ValueError:
+            continue
+        used |= {p.split("/")[0] for p in [*value.get("tables", {}).values(), *value.get("indexes", {}).values()]}
+    for name in names:
+        if (m := re.match(r"snapshot=(\d+)", name)) and int(m[1]) < number and name not in used:
+            delete(spark, f"{root}/{name}")
+
+
 def read_insights(spark: SparkSession, root: str) -> dict[str, DataFrame] | None:
     """Annotations: Parquet tables if they were written here, else insights.json; else None."""
     if exists(spark, f"{root}/insights"):

@@ -14,6 +14,8 @@ def follow(spark: SparkSession, removed_units: DataFrame, root: str, checkpoint:
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            store.write_snapshot(spark, root, apply_delta(store.load_facts(spark, root), removed={"units": batch.select("id")}), created_at=f"batch {number}")
+            now = store.manifest(spark, root) or {}
+            tables = apply_delta(store.load_facts(spark, root), removed={"units": batch.select("id")})
+            store.write_snapshot(spark, root, tables, now.get("commit", "unknown"), fingerprint=now.get("fingerprint"))
 
     return removed_units.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

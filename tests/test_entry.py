@@ -28,11 +28,6 @@ def test_query(spark, duck, small, name):
     same(catalogue.QUERIES[name](spark, small).toPandas(), duck.execute(catalogue.ORACLES[name]).df())
 
 
-def test_concatenated_json(spark, small):
-    got = catalogue.QUERIES["concat_json"](spark, small).collect()
-    assert sorted(r["ImportPath"] for r in got) == sorted(f"pkg/s{k}" for k in range(10)) and {r["Name"] for r in got} == {"a}{b"}
-
-
 def test_entry(spark):
     import __spark_entry__ as e
 

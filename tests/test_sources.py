@@ -54,7 +54,7 @@ def test_concatenated_json_with_braces_in_strings():
 
 
 def test_vet_lines(spark):
-    text = "# pkg\n pkg/a.go:42:12: msg: x \npkg/b.go:50: other\n\nnonsense\n./c.go:1:2: y"
+    text = "# pkg\n\tpkg/a.go:42:12: msg: x \npkg/b.go:50: other\n\nnonsense\n./c.go:1:2: y"
     got = rows(golist.vet_diagnostics(spark.createDataFrame([(text,), ("",), (None,)], "text string")), "file_id", "line", "col", "message", "severity")
     assert got == [("file:c.go", 1, 2, "y", "warning"), ("file:pkg/a.go", 42, 12, "msg: x", "warning"), ("file:pkg/b.go", 50, 1, "other", "warning")]
 
@@ -83,8 +83,134 @@ def test_update_gives_what_a_rebuild_gives(spark, module, tmp_path):
     assert done["ok"] and done["affected"] == ["unit:go:pkg"] and not done["fallback"]
     jobs.index_facts(spark, reg, module, two)
     assert snapshot(spark, one) == snapshot(spark, two)
-    assert jobs.update_facts(spark, reg, module, one, ["new.go"])["fallback"]
-    assert jobs.update_facts(spark, reg, module, str(tmp_path / "none"), ["main.go"])["fallback"]
+    none = jobs.update_facts(spark, reg, module, one, ["new.go"])
+    assert none["ok"] and none["affected"] == [] and not none["fallback"]
+    first = jobs.update_facts(spark, reg, module, str(tmp_path / "none"), ["main.go"])
+    assert first["fallback"] and first["affected"] == ["unit:go:.", "unit:go:internal/db", "unit:go:pkg"]
+    with open(f"{module}/pkg/new.go", "w") as f:
+        f.write("package pkg\n")
+    assert jobs.update_facts(spark, reg, module, one, ["pkg/new.go"])["affected"] == ["unit:go:pkg"]
+
+
+def test_update_keeps_the_profile(spark, module, tmp_path):
+    cache, reg = str(tmp_path / "c"), registry(module)
+    jobs.index_facts(spark, reg, module, cache, profile={"GOOS": "plan9"})
+    done = jobs.update_facts(spark, reg, module, cache, ["main.go"], profile={"GOOS": "plan9"})
+    assert not done["fallback"] and store.manifest(spark, cache)["fingerprint"]["build_profile"]["GOOS"] == "plan9"
+    assert jobs.update_facts(spark, reg, module, cache, ["main.go"])["fallback"]
+    assert store.manifest(spark, cache)["created_at"].endswith("Z")
+
+
+EMITTED = {
+    "units": [("unit:go:a", "go_package", "a", "a"), ("unit:go:b", "go_package", "b", "b"), ("unit:go:c", "go_package", "c", "c")],
+    "files": [(f"file:{u}/x", f"{u}/x", f"unit:go:{u}", "h", False) for u in "abc"],
+    "deps": [("unit:go:a", "unit:go:b", "import"), ("unit:go:b", "unit:go:a", "import"), ("unit:go:b", "unit:go:c", "import")],
+    "symbols": [(f"{u}{k}", f"unit:go:{u}", f"n{k}", "func", True, f"file:{u}/x", k) for u in "abc" for k in (1, 2)],
+    "refs": [(f, t, "file:b/x", 1, "call", "certain") for f, t in (("a1", "a2"), ("a1", "b1"), ("a1", "b1"), ("b1", "a1"), ("b1", "c1"), ("c1", "c2"))],
+    "type_relations": [("a1", "b1", "implements"), ("c1", "a1", "embeds"), ("c1", "c1", "embeds")],
+    "call_edges": [(f, t, "file:b/x", 1, "static") for f, t in (("a1", "b2"), ("b2", "a1"), ("b2", "a1"), ("c1", "b1"), ("c2", "c1"))],
+    "diagnostics": [(f"file:{u}/x", 1, 1, "warning", "m", "t") for u in "abc"],
+}
+SCHEMAS = {
+    "units": "id string, kind string, name string, path string",
+    "files": "id string, path string, unit_id string, hash string, generated boolean",
+    "deps": "from_unit_id string, to_unit_id string, kind string",
+    "symbols": "id string, unit_id string, name string, kind string, exported boolean, decl_file_id string, line int",
+    "refs": "from_symbol_id string, to_symbol_id string, site_file_id string, line int, kind string, confidence string",
+    "type_relations": "from_type_id string, to_type_id string, kind string",
+    "call_edges": "caller_id string, callee_id string, site_file_id string, line int, dispatch string",
+    "diagnostics": "file_id string, line int, col int, severity string, message string, tool string",
+}
+
+
+class Emitting:
+    """An adapter of all tables; ``without`` names symbols that aren't there, with their edges."""
+
+    lang = "go"
+
+    def __init__(self, spark, without=()):
+        gone = set(without)
+        rows = {t: [r for r in rs if not gone & set(map(str, r[:2]))] for t, rs in EMITTED.items()}
+        self.tables = {t: spark.createDataFrame(rows[t], SCHEMAS[t]) for t in EMITTED}
+
+    def detect(self, spark, root):
+        return True, 1.0
+
+    def doctor(self):
+        return True, [], []
+
+    def enumerate_units(self, spark, root):
+        return self.tables["units"]
+
+    def index_units(self, spark, root, units):
+        return {t: rows for t, rows in self.tables.items() if t != "diagnostics"}
+
+    def diagnose(self, spark, root):
+        return self.tables["diagnostics"]
+
+
+@pytest.mark.parametrize("before, after, changed", [(["a2", "b1"], ["a1"], ["a/x", "b/x"]), ([], [], ["b/x"]), (["c2"], [], ["c/x"])])
+def test_update_of_all_tables_gives_what_a_rebuild_gives(spark, tmp_path, before, after, changed):
+    root, one, two = str(tmp_path), str(tmp_path / "one"), str(tmp_path / "two")
+
+    def registered(without):
+        reg = adapters.Registry()
+        reg.register(Emitting(spark, without))
+        return reg
+
+    assert jobs.index_facts(spark, registered(before), root, one)["ok"]
+    done = jobs.update_facts(spark, registered(after), root, one, changed)
+    assert done["ok"] and not done["fallback"] and done["affected"] == sorted(f"unit:go:{c[0]}" for c in changed)
+    jobs.index_facts(spark, registered(after), root, two)
+    a, b = ({t: rows(df, *SCHEMAS[t].replace(",", "").split()[::2]) for t, df in store.load_facts(spark, x).items()} for x in (one, two))
+    assert a == b and len(b["refs"]) >= 2
+
+
+def test_snapshots_survive_a_writer_that_dies(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "s")
+    table = lambda n: {"deps": spark.createDataFrame([("a", str(n), "k")], SCHEMAS["deps"])}
+    assert store.write_snapshot(spark, root, table(1)) == 1
+    with monkeypatch.context() as m:  # dies before the manifest is there
+        m.setattr(store, "_put", lambda *a, **k: (_ for _ in ()).throw(KeyboardInterrupt))
+        with pytest.raises(KeyboardInterrupt):
+            store.write_snapshot(spark, root, table(2))
+    assert rows(store.load_facts(spark, root)["deps"], "to_unit_id") == [("1",)]
+    (tmp_path / "s" / "manifest-3.json").write_text('{"snapshot": 3, "tab')  # half a manifest
+    assert rows(store.load_facts(spark, root)["deps"], "to_unit_id") == [("1",)]
+    assert store.write_snapshot(spark, root, table(4)) == 4
+    for n in (5, 6):
+        store.write_snapshot(spark, root, table(n))
+    assert rows(store.load_facts(spark, root)["deps"], "to_unit_id") == [("6",)]
+    assert len([p for p in (tmp_path / "s").iterdir() if p.name.startswith("snapshot=")]) == 2
+    with pytest.raises(Exception):
+        store._put(spark, f"{root}/manifest-6.json", "{}", replace=False)
+    assert rows(store.load_facts(spark, root)["deps"], "to_unit_id") == [("6",)]
+
+
+def test_unchanged_tables_are_taken_over(spark, tmp_path):
+    root = str(tmp_path / "s")
+    tables = {t: spark.createDataFrame(EMITTED[t], SCHEMAS[t]) for t in ("files", "call_edges", "deps")}
+    for _ in range(4):
+        store.write_snapshot(spark, root, tables, same=["files", "call_edges"])
+    now = store.manifest(spark, root)
+    assert now["tables"]["files"].startswith("snapshot=1-") and now["indexes"]["calls_by_caller"].startswith("snapshot=1-") and now["tables"]["deps"].startswith("snapshot=4-")
+    assert store.load_facts(spark, root)["files"].count() == 3
+    found = store.load_index(spark, root, "calls_by_caller").filter("caller_id = 'b2'")
+    assert found.count() == 2 and "EqualTo(caller_id,b2)" in found._jdf.queryExecution().toString()
+    assert rows(store.load_index(spark, root, "unit_by_file"), "file_id")[0] == ("file:a/x",)
+    assert store.load_index(spark, root, "symbol_by_name") is None and store.load_index(spark, str(tmp_path / "none"), "unit_by_file") is None
+
+
+def test_a_failing_file_system_is_an_error(spark):
+    with pytest.raises(Exception):
+        files.exists(spark, "nosuchscheme://x/y")
+
+
+def test_go_environment(module):
+    def run(command, cwd):
+        return 0, {"GOOS": "plan9", "GOARCH": "mips"}.get(command[2], ""), ""
+
+    assert adapters.GoAdapter(run).profile(module) == {"GOOS": "plan9", "GOARCH": "mips", "GOTAGS": ""}
 
 
 def test_failure_keeps_the_old_snapshot(spark, module, tmp_path):
@@ -126,13 +252,14 @@ def test_json_lines(spark, tmp_path):
 
 
 def test_fingerprints(spark, tmp_path):
-    base = fingerprint.generate(str(tmp_path), tools={"go": "1"})
+    base = fingerprint.generate(str(tmp_path), tools={"go": "1"}, probes={"echo": ("echo", "v 3"), "gone": ("no-such-tool",)})
+    assert base["tools"]["echo"] == "v 3" and "gone" not in base["tools"] and base["created_at"].endswith("Z")
     same = fingerprint.as_frame(spark, base)
     assert fingerprint.differences(same, same).isEmpty() and base["repo_state"]["commit"] == "unknown"
     other = fingerprint.as_frame(spark, base | {"tools": {"go": "2", "new": "x"}, "repo_state": {"commit": "c"}})
     assert ("tools", "go", "1", "2") in rows(fingerprint.differences(other, same), "section", "key", "old", "new")
-    assert fingerprint.differences(other, same).count() == 4
-    assert fingerprint.differences(other, same, commit=True).count() == 5
+    assert fingerprint.differences(other, same).count() == 5
+    assert fingerprint.differences(other, same, commit=True).count() == 6
     store.wipe(spark, str(tmp_path / "absent"))
 
 
@@ -195,3 +322,4 @@ def test_stream_of_removals(spark, module, tmp_path):
     spark.createDataFrame([("unit:go:pkg",)], "id string").write.json(str(feed))
     follow(spark, spark.readStream.schema("id string").json(str(feed)), cache, str(tmp_path / "check")).awaitTermination()
     assert store.load_facts(spark, cache)["units"].count() == 2
+    assert store.manifest(spark, cache)["fingerprint"]["tools"]["spark"]

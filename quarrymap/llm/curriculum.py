@@ -6,12 +6,15 @@ tokens by time t. Documents of a source stand in a random but fixed order; the o
 source is due at the t where D_s(t) = c, in closed form on a linear piece. T is the smallest budget that uses every
 document once: no document is left out, and a source that the weights favour starts over (``copy`` 1, 2, ...).
 
-Running token sums are two-level: each source is cut into 4,096 buckets by hash, bucket totals are summed up as a
-small table, and a window within a bucket does the rest, so no task handles a source as a whole.
+Running token sums are two-level: each source is cut into buckets by hash (4,096, and more of large corpora), bucket
+totals are summed up as a small table, and a window within a bucket does the rest, so no task handles a source as a
+whole. How many buckets there are changes no result.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,14 +23,16 @@ SEED = "mix-1"
 CHARS_PER_TOKEN = 4
 #: (time, exponent): a source's weight there is proportional to its share of the tokens to that power.
 SCHEDULE = [(0.0, 1.0), (0.5, 0.85), (1.0, 0.7)]
-_BUCKET_DIGITS = 3
+#: A source has a bucket for every so many rows of the corpus, rounded up to a power of 16, and 16 ** LEAST_DIGITS at least.
+BUCKET_ROWS, LEAST_DIGITS = 16384, 3
 
 
 def _order_columns(docs: DataFrame) -> list[Column]:
+    digits = max(LEAST_DIGITS, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16)))
     text = F.coalesce(F.md5("text"), F.lit(""))
     digest = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), text)))
     tokens = F.greatest(F.lit(1), F.ceil(F.coalesce(F.length("text"), F.lit(0)) / CHARS_PER_TOKEN)).cast("long")
-    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens.alias("n_tokens"), digest.alias("digest"), F.substring(digest, 1, _BUCKET_DIGITS).alias("bucket")]
+    return [F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), tokens.alias("n_tokens"), digest.alias("digest"), F.substring(digest, 1, digits).alias("bucket")]
 
 
 def _buckets(slim: DataFrame, weights: DataFrame | None) -> DataFrame:
@@ -66,14 +71,19 @@ def _due(c: Column) -> Column:
 
 
 def _placed(rows: DataFrame, buckets: DataFrame) -> DataFrame:
-    """rows with copy and position: one row for each time that a row is used."""
+    """rows with copy, due and position (due, rounded to be shown): one row for each time that a row is used."""
     order = Window.partitionBy("source", "bucket").orderBy("digest", "n_tokens")
     start = F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     at = rows.withColumn("within", start).join(buckets, rows.source.eqNullSafe(buckets.b_source) & (rows.bucket == buckets.b_bucket))
     at = at.withColumn("start", F.col("before") + F.col("within"))
     times = F.greatest(F.lit(1), F.ceil((F.col("demand") - F.col("start")) / F.col("supply") - 1e-9)).cast("int")
     at = at.withColumn("copy", F.explode(F.sequence(F.lit(0), times - 1)))
-    return at.withColumn("position", F.round(_due((F.col("start") + F.col("copy") * F.col("supply")).cast("double")), 9))
+    at = at.withColumn("due", _due((F.col("start") + F.col("copy") * F.col("supply")).cast("double")))
+    return at.withColumn("position", F.round("due", 9))
+
+
+#: Documents are sorted by the exact time: in a large corpus many have the same rounded one.
+_SORTED = ("due", "source", "doc_id", "copy")
 
 
 def positions(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
@@ -81,19 +91,19 @@ def positions(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
 
     Rows with a null source form a source of their own. Null and empty texts count as one token. Order within a source
     is by a hash of doc_id, or of the text where doc_id is null; rows that repeat a doc_id follow one another by
-    length, each with a position of its own. Equal positions are sorted by source, doc_id and copy. An empty table
-    gives an empty one. Other columns, whatever their names, aren't read.
+    length, each with a position of its own. Rows are sorted by the exact position, of which position shows nine digits;
+    equal ones by source, doc_id and copy. An empty table gives an empty one. Other columns, whatever their names, aren't
+    read.
     """
     slim = docs.select(*_order_columns(docs))
-    out = _placed(slim, _buckets(slim, weights)).select("doc_id", "source", "n_tokens", "copy", "position")
-    return out.orderBy("position", "source", "doc_id", "copy")
+    return _placed(slim, _buckets(slim, weights)).orderBy(*_SORTED).select("doc_id", "source", "n_tokens", "copy", "position")
 
 
 def mixed(docs: DataFrame, weights: DataFrame | None = None) -> DataFrame:
     """``docs`` in training order: each row as often as ``positions`` uses it, range-sorted over the partitions."""
-    slim = docs.select(*_order_columns(docs))
-    full = docs.select(*_order_columns(docs), F.struct("*").alias("row"))
-    return _placed(full, _buckets(slim, weights)).orderBy("position", "source", "doc_id", "copy").select("row.*")
+    columns = _order_columns(docs)
+    full = docs.select(*columns, F.struct("*").alias("row"))
+    return _placed(full, _buckets(docs.select(*columns), weights)).orderBy(*_SORTED).select("row.*")
 
 
 def oracle() -> str:

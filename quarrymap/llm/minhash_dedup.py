@@ -76,33 +76,36 @@ def signature_table(docs: DataFrame) -> DataFrame:
     return mapped(slim, sign, "id long, bands array<long>, sig binary, same long")
 
 
-def groups(docs: DataFrame) -> DataFrame:
-    """(id, root) of the documents with a near copy; root, the smallest id, is the one that stays."""
+def links(docs: DataFrame) -> DataFrame:
+    """Edges (a, b) that connect all near copies: stars around the smallest id of equal signatures and of each bucket."""
     signed = stored(signature_table(docs), "signatures")
     again = signed.groupBy("id").agg(F.min("same").alias("same"), F.count("*").alias("n")).filter("n > 1")
     if not again.isEmpty():
         one = signed.join(again.select("id", F.col("same").alias("kept")), "id", "left").filter("kept IS NULL OR kept = same")
         signed = stored(one.select(signed.columns).dropDuplicates(["id"]), "signatures")
-    return components(similar_edges(signed, BINS, THRESHOLD))
+    return similar_edges(signed, BINS, THRESHOLD)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, group_id, is_duplicate for every row of ``docs``.
+    """doc_id, group_id, n_links, is_duplicate for every row of ``docs``.
 
     group_id is the smallest doc_id of the group (its own for a document without a copy); exactly one row of a group
-    has is_duplicate false. Rows that repeat a doc_id are one document: all but one are duplicates. A null or empty
-    text (or one without words) is like no other document. A row without doc_id can't be named, so it is never a
-    duplicate and its group_id is null. Other columns, whatever their names, aren't read.
+    has is_duplicate false. n_links counts the documents that it is linked with directly (``links``). Rows that repeat a
+    doc_id are one document: all but one are duplicates. A null or empty text (or one without words) is like no other
+    document. A row without doc_id can't be named, so it is never a duplicate and its group_id is null. Other columns,
+    whatever their names, aren't read.
     """
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    root = groups(docs)
+    edges = stored(links(docs), "links")
+    degree = edges.select(F.col("a").alias("id")).union(edges.select("b")).groupBy("id").agg(F.count("*").alias("n_links"))
+    root = components(edges).join(degree, "id")
     named = ids.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n"))
-    named = named.join(root, named.doc_id == root.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), "n")
+    named = named.join(root, named.doc_id == root.id, "left").select("doc_id", F.coalesce("root", "doc_id").alias("group_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "n")
     # A row for each of the n rows that repeat a doc_id, in two steps, as one array of n numbers may be too long.
-    named = named.select("doc_id", "group_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _ROWS))).alias("part"))
-    named = named.select("doc_id", "group_id", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_ROWS - 1), F.col("n") - 1 - F.col("part") * _ROWS))).alias("turn"))
-    named = named.select("doc_id", "group_id", ((F.col("doc_id") != F.col("group_id")) | (F.col("part") + F.col("turn") > 0)).alias("is_duplicate"))
-    return named.unionByName(ids.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(False).alias("is_duplicate")))
+    named = named.select("doc_id", "group_id", "n_links", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / _ROWS))).alias("part"))
+    named = named.select("doc_id", "group_id", "n_links", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_ROWS - 1), F.col("n") - 1 - F.col("part") * _ROWS))).alias("turn"))
+    named = named.select("doc_id", "group_id", "n_links", ((F.col("doc_id") != F.col("group_id")) | (F.col("part") + F.col("turn") > 0)).alias("is_duplicate"))
+    return named.unionByName(ids.filter("doc_id IS NULL").select("doc_id", F.col("doc_id").alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(False).alias("is_duplicate")))
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
@@ -111,7 +114,7 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     Of rows that repeat a doc_id the one with the smallest text hash (then the smallest hash of all columns) stays. Rows
     without doc_id stay, as do null and empty texts; an empty table gives an empty one.
     """
-    gone = groups(docs).filter("id <> root").select(F.col("id").alias("gone"))
+    gone = components(links(docs)).filter("id <> root").select(F.col("id").alias("gone"))
     packed = docs.select(F.col("doc_id").cast("long").alias("key"), F.xxhash64("text").alias("h"), F.struct("*").alias("row"))
     named = packed.filter("key IS NOT NULL").join(gone, F.col("key") == F.col("gone"), "left_anti")
     first = F.row_number().over(Window.partitionBy("key").orderBy("h", F.xxhash64("row")))

@@ -106,10 +106,13 @@ def similar_edges(signatures: DataFrame, width: int, least: float) -> DataFrame:
     equal = stored(equal.distinct(), "equal")
     alone = signatures.join(equal.select(F.col("a").alias("id")), "id", "left_anti")
     rows = alone.select("id", F.explode("bands").alias("key"))
-    buckets = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n"), F.expr("bit_xor(xxhash64(id))").alias("x")).filter("n > 1")
+    buckets = rows.groupBy("key").agg(F.min("id").alias("centre"), F.count("*").alias("n")).filter("n > 1")
+    together = stored(rows.join(buckets, "key"), "together")
     # Buckets with the same members are one.
-    star = rows.join(buckets, "key").select(F.xxhash64("x", "n", "centre").alias("bucket"), "n", "centre", "id")
+    members = together.groupBy("key").agg(F.expr("bit_xor(xxhash64(id))").alias("x"))
+    star = together.join(members, "key").select(F.xxhash64("x", "n", "centre").alias("bucket"), "n", "centre", "id")
     star = stored(star.distinct(), "star")
+    release(together)
     checked = stored(_verified(star.filter("id <> centre").select("centre", "id").distinct(), signatures, width, least), "edges")
     found = equal.unionByName(checked.filter("ok").select(F.col("id").alias("a"), F.col("centre").alias("b")))
     failed = star.filter("n > 2").join(checked.filter("not ok").select("centre", "id"), ["centre", "id"], "left_semi").select("bucket", "id", "n")

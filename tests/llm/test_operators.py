@@ -84,6 +84,7 @@ def test_near_dedup_odd(spark):
     rows = minhash_dedup.near_duplicates(docs(spark, ODD)).collect()
     assert len(rows) == len(ODD)
     assert sorted((r["doc_id"] is None, r["doc_id"], r["is_duplicate"]) for r in rows if r["doc_id"] in (1, 6, 7)) == [(False, 1, False), (False, 1, True), (False, 6, False), (False, 7, True)]
+    assert {r["doc_id"] for r in rows if r["n_links"]} == {6, 7} and {r["n_links"] for r in rows} == {0, 1}
     assert not any(r["is_duplicate"] for r in rows if r["doc_id"] not in (1, 7))
     assert minhash_dedup.keep_one_of_each(docs(spark, ODD)).count() == len(ODD) - 2
     assert minhash_dedup.near_duplicates(docs(spark, [])).count() == 0
@@ -433,6 +434,16 @@ def test_curriculum_meets_its_weights(spark):
     assert all(0 <= r["position"] <= 1 for r in rows)
 
 
+def test_curriculum_does_not_depend_on_buckets(spark, monkeypatch):
+    table = docs(spark, [*ODD, *[(20 + k, "word " * (k % 17)) for k in range(200)]])
+    want = curriculum.positions(table).collect()
+    monkeypatch.setattr(curriculum, "BUCKET_ROWS", 0.01)
+    assert curriculum.positions(table).collect() == want
+    monkeypatch.setattr(curriculum, "LEAST_DIGITS", 0)
+    monkeypatch.setattr(curriculum, "BUCKET_ROWS", 1 << 20)
+    assert curriculum.positions(table).collect() == want
+
+
 def test_curriculum_odd(spark):
     rows = curriculum.positions(docs(spark, ODD)).collect()
     assert Counter((r["doc_id"], r["copy"]) for r in rows if r["copy"] == 0) == Counter((i, 0) for i, _ in ODD)
@@ -496,6 +507,63 @@ def test_licenses_as_published(spark):
     assert got == [(1, "ISC", 1), (2, "Unlicense", 1), (3, "BSD-2-Clause", 1), (4, "BSD-2-Clause", 1), (4, "BSD-3-Clause", 1), (5, "BSD-2-Clause", 1), (6, "GPL-3.0", 1), (7, "LGPL-3.0", 1), (8, "LGPL-2.1", 1), (9, "BSD-2-Clause", 1)]
 
 
+def test_licenses_by_identifier_and_note(spark):
+    texts = ["/* SPDX-License-Identifier: BSD-3-Clause */", "# SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "// SPDX-License-Identifier: LGPL-2.1-only", "// SPDX-License-Identifier: MIT OR Apache-2.0", "This file is released under the MIT License.", "x. This project is licensed under the\nApache License, Version 2.0. y", "            GNU AFFERO GENERAL PUBLIC LICENSE\n              Version 3, 19 November 2007\n\n Copyright", "mit\napache 2.0", licenses._ZLIB + ":", "To the extent possible under law, the author(s) have dedicated all\ncopyright and related and neighboring rights to this software to the public\ndomain worldwide. This software", "a licence " + "word " * 200000 + "\nReleased under the MIT License."]
+    rows = [*enumerate(texts), (4, texts[4]), (None, texts[4])]
+    got = sorted(((r["doc_id"] if r["doc_id"] is not None else -1), r["license"], r["n_matches"]) for r in licenses.scan(docs(spark, rows)).collect())
+    assert got == [(-1, "MIT", 1), (0, "BSD-3-Clause", 1), (1, "GPL-2.0", 1), (2, "LGPL-2.1", 1), (3, "Apache-2.0", 1), (3, "MIT", 1), (4, "MIT", 1), (4, "MIT", 1), (5, "Apache-2.0", 1), (6, "AGPL-3.0", 1), (8, "Zlib", 1), (9, "CC0-1.0", 1), (10, "MIT", 1)]
+
+
+def dense_languages(table, idf):
+    """(names, centroids of each) by loops over texts and clusters; texts: (lang, text) in the order of training."""
+    def vector(text):
+        words = re.findall(rb"[0-9a-z\x80-\xff]+", text.lower().encode())
+        raw, x = b" " + b" ".join(words) + b" " if words else b"", np.zeros(langid.BUCKETS)
+        for i in range(len(raw) - 2):
+            code = (raw[i] * 257 + raw[i + 1]) * 257 + raw[i + 2]
+            x[int(kernels.mix64(np.array([code], np.uint64))[0]) >> 52] += 1
+        return np.log1p(x) * idf / max(1e-12, np.linalg.norm(np.log1p(x) * idf))
+
+    return {lang: np.array([vector(t) for own, t in table if own == lang]) for lang in sorted({lang for lang, _ in table})}, vector
+
+
+def test_languages_against_brute_force(spark, monkeypatch):
+    rng = random.Random(12)
+    spelled = {"aa": "abcdeilmno", "bb": "prstuvwxyz", "cc": "éèßøåñçæœü"}
+    rows = [(i, lang, " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(2, 7))) for _ in range(rng.randrange(5, 40)))) for i, (lang, letters) in enumerate(list(spelled.items()) * 20)]
+    table = spark.createDataFrame([(i, t, lang if i % 3 or i < 30 else None) for i, lang, t in rows], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "CENTROIDS", 1)  # then a centroid is the mean of its texts, whatever the seed
+    seen, n = langid.document_frequencies(table)
+    idf = np.log((1 + n) / (1 + seen)) + 0.1
+    own, vector = dense_languages([(lang, t) for i, lang, t in rows if i % 3 or i < 30], idf)
+    assert seen.tolist() == sum((np.array([vector(t) for _, _, t in rows]) > 0).astype(int)).tolist()
+    centre = {lang: x.sum(axis=0) / np.linalg.norm(x.sum(axis=0)) for lang, x in own.items()}
+    for r in langid.identify(table).collect():
+        cosines = {lang: float(vector(rows[r["doc_id"]][2]) @ c) for lang, c in centre.items()}
+        assert r["predicted"] in (max(cosines, key=cosines.get), langid.REJECTED) and r["cosine"] == pytest.approx(max(cosines.values()), abs=1e-4)
+
+
+def test_language_samples_are_the_smallest_hashes(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(langid, "MOST_SAMPLES", 20)
+    # One id has most rows of a language, so a bound by the number of rows lets too few ids pass at first.
+    rows = [*[(i, "a") for i in range(500)], *[(7, "b")] * 3000, *[(i, "b") for i in range(8, 40)], (1, "c")]
+    table = spark.createDataFrame(rows, "doc_id long, lang string")
+    code = {r[0]: r[1] for r in table.select("doc_id", F.xxhash64("doc_id", F.lit(langid.SEED))).distinct().collect()}
+    got = defaultdict(list)
+    for i, lang in langid.sampled_ids(table).collect():
+        got[lang].append(i)
+    for lang in "abc":
+        ids = sorted({i for i, own in rows if own == lang}, key=lambda i: (code[i], i))
+        assert sorted(got[lang]) == sorted(ids[:20])
+
+
+def test_equal_cosines_give_the_first_name(spark):
+    table = spark.createDataFrame([(1, "same words here", "yy"), (2, "same words here", "xx"), (3, "same words here", None)], "doc_id long, text string, lang string")
+    assert {r["predicted"] for r in langid.identify(table).collect()} == {"xx"}
+
+
 def test_languages_of_held_out_texts(spark, medium):
     table = spark.read.parquet(f"{medium}/documents.parquet")
     held = table.selectExpr("doc_id", "text", "CASE WHEN doc_id % 2 = 0 THEN lang END AS lang", "source")

@@ -38,6 +38,8 @@ TURNS, RATE, SEED = 3, 0.01, 11
 SHARE, BATCHES = 8192, 32
 #: Rows that are scored at the same time, bytes of text whose rows share the lanes, and states whose words are scored at once.
 LANES, _SCORED_BYTES, _OUTPUT_ROWS = 256, 8 << 20, 16384
+#: Weights that are moved at a time.
+_PIECE = 1 << 14
 
 
 class Model(NamedTuple):
@@ -96,9 +98,14 @@ def step(rec: np.ndarray, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.
     return out, back
 
 
-def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(exp, sums of each row), after the logits were shifted in place so that none overflows."""
-    if len(logits) and max(logits.max(), -logits.min()) > 60:
+def _small(m: Model) -> bool:
+    """Whether no logit can leave -60 to 60, as states lie between -1 and 1."""
+    return max((np.abs(m.to_class).sum(axis=0) + np.abs(m.class_bias)).max(), (np.abs(m.to_word).sum(axis=1) + np.abs(m.word_bias)).max()) <= 60
+
+
+def _exps(logits: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(exp, sums of each row); logits that aren't small are shifted in place so that none overflows."""
+    if not small:
         logits -= logits.max(axis=1, keepdims=True)
     e = np.exp(logits)
     return e, e @ np.ones(e.shape[1], e.dtype)
@@ -106,19 +113,20 @@ def _exps(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def log_probabilities(m: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target from its state."""
+    small = _small(m)
     group, order = target // CLASS, np.argsort(target // CLASS, kind="stable")
     h, mine, group = np.take(h, order, axis=0), (target % CLASS)[order], group[order]
     place = np.arange(len(h))
     logits = h @ m.to_class
     logits += m.class_bias
-    total = _exps(logits)[1]
+    total = _exps(logits, small)[1]
     got = logits[place, group].astype(np.float64)
     got -= np.log(total)
     starts, which = K.segments(group)
     for s, e, c in zip(starts, [*starts[1:], len(order)], which):
         logits = h[s:e] @ m.to_word[c]
         logits += m.word_bias[c]
-        total = _exps(logits)[1]
+        total = _exps(logits, small)[1]
         got[s:e] += logits[place[: e - s], mine[s:e]]
         got[s:e] -= np.log(total)
     out = np.empty(len(h))
@@ -126,13 +134,13 @@ def log_probabilities(m: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray
     return out
 
 
-def _output(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, mine: np.ndarray, scale: np.floating) -> tuple[np.ndarray, float]:
-    """(scaled gradient by the logits, summed loss) of a softmax."""
+def _output(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, mine: np.ndarray, scale: np.floating, small: bool, lossy: bool) -> tuple[np.ndarray, float]:
+    """(scaled gradient by the logits, summed loss if ``lossy``) of a softmax."""
     place = np.arange(len(mine))
     logits = states @ weight
     logits += bias
-    q, total = _exps(logits)
-    loss = float(np.log(total).sum(dtype=np.float64)) - float(logits[place, mine].sum(dtype=np.float64))
+    q, total = _exps(logits, small)
+    loss = float(np.log(total).sum(dtype=np.float64)) - float(logits[place, mine].sum(dtype=np.float64)) if lossy else 0.0
     q *= (scale / total)[:, None]
     q[place, mine] -= scale
     return q, loss
@@ -155,14 +163,14 @@ def _by_token(tokens: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray, live: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, float]:
-    """(gradient of each array, last state, summed loss) of one window: tokens and targets are steps x rows.
+def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray, live: np.ndarray, lossy: bool = True) -> tuple[list[np.ndarray], np.ndarray, float]:
+    """(gradient of each array, last state, summed loss if ``lossy``) of one window: tokens and targets are steps x rows.
 
     live: how many rows, counted from the first, each step has; it never grows. Backpropagation stops at h0, the state
     that the window before left.
     """
     steps, rows = tokens.shape
-    size = h0.shape[1]
+    size, small = h0.shape[1], _small(m)
     x, rec = np.take(by_gate(m.emb + m.bias), tokens, axis=1), scaled(m.rec)
     hs, back = np.empty((steps + 1, rows, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype)
     hs[0] = h0
@@ -176,49 +184,48 @@ def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray,
     group, scale = target // CLASS, h0.dtype.type(1 / max(1, len(on)))
     order = np.argsort(group, kind="stable")
     states, group, mine = np.take(hs[1:].reshape(-1, size), on[order], axis=0), group[order], (target % CLASS)[order]
-    p, loss = _output(states, m.to_class, m.class_bias, group, scale)
+    p, loss = _output(states, m.to_class, m.class_bias, group, scale, small, lossy)
     g_class, g_class_bias, d_out = states.T @ p, p.sum(axis=0), p @ m.to_class.T
     g_word, g_word_bias = np.zeros_like(m.to_word), np.zeros_like(m.word_bias)
     starts, which = K.segments(group)
     for s, e, c in zip(starts, [*starts[1:], len(order)], which):
-        q, more = _output(states[s:e], m.to_word[c], m.word_bias[c], mine[s:e], scale)
+        q, more = _output(states[s:e], m.to_word[c], m.word_bias[c], mine[s:e], scale, small, lossy)
         loss += more
         g_word[c], g_word_bias[c] = states[s:e].T @ q, q.sum(axis=0)
         d_out[s:e] += q @ m.to_word[c].T
     d_states = np.zeros((steps * rows, size), h0.dtype)
     d_states[on[order]] = d_out
     d_states = d_states.reshape(steps, rows, size)
-    d_u, d_n, d_h, to_state = np.zeros((steps, rows, 3 * size), h0.dtype), np.zeros((steps, rows, size), h0.dtype), np.zeros((rows, size), h0.dtype), np.ascontiguousarray(m.rec.T)
+    # All that comes of a step's gradient d is a factor of the forward pass by d; so the factors are made of all steps at once.
+    z, r, n = x
+    by_n = (1 - n * n) * (1 - z)
+    factor = np.empty((steps, rows, 3, size), h0.dtype)
+    np.multiply((hs[:-1] - n) * z, 1 - z, out=factor[:, :, 0])
+    np.multiply(by_n, r, out=factor[:, :, 2])
+    np.multiply(factor[:, :, 2] * (1 - r), back * h0.dtype.type(0.5), out=factor[:, :, 1])
+    d_u, kept, d, to_state = np.zeros((steps, rows, 3, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype), np.zeros((rows, size), h0.dtype), np.ascontiguousarray(m.rec.T)
     for t in range(steps - 1, -1, -1):
         k = live[t]
-        z, r, n = x[:, t, :k]
-        d, by_n, out = d_h[:k], d_n[t, :k], d_u[t, :k]
-        d += d_states[t, :k]
-        rest = (1 - z) * d
-        by_z = hs[t, :k] - n
-        by_z *= z
-        np.multiply(by_z, rest, out=out[:, :size])
-        np.multiply(n, n, out=by_n)
-        np.subtract(1, by_n, out=by_n)
-        by_n *= rest
-        by_r = by_n * r
-        out[:, 2 * size :] = by_r
-        by_r -= by_r * r
-        by_r *= back[t, :k]
-        np.multiply(by_r, h0.dtype.type(0.5), out=out[:, size : 2 * size])
-        d *= z
-        d += out @ to_state
+        mine = d[:k]
+        mine += d_states[t, :k]
+        kept[t, :k] = mine
+        out = d_u[t, :k]
+        np.multiply(factor[t, :k], mine[:, None], out=out)
+        mine *= z[t, :k]
+        mine += out.reshape(k, -1) @ to_state
     flat = d_u.reshape(-1, 3 * size)
     g_rec = hs[:-1].reshape(-1, size).T @ flat
-    flat[:, 2 * size :] = d_n.reshape(-1, size)
+    kept *= by_n
+    flat[:, 2 * size :] = kept.reshape(-1, size)
     g_emb = _by_token(tokens.ravel(), flat, len(m.emb))
     return [g_emb, g_rec, flat.sum(axis=0), g_class, g_class_bias, g_word, g_word_bias], hs[-1], loss
 
 
 def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) -> Model:
     """Adam over BATCHES batches of the stretches (rows of token ids, lengths of them used), each seen once."""
-    weights = [w.copy() for w in m]
-    first, second, count = [np.zeros_like(w) for w in weights], [np.zeros_like(w) for w in weights], 0
+    weights = np.concatenate([w.ravel() for w in m])
+    now = _shaped(weights, m)
+    first, second, grad, count = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), 0
     order = np.random.default_rng(seed).permutation(len(stretches))
     for at in np.array_split(order, min(BATCHES, len(order))):
         at = at[np.argsort(-lengths[at], kind="stable")]
@@ -229,24 +236,38 @@ def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) ->
             to = min(w + WINDOW, int(many.max()))
             live = np.searchsorted(-many, -np.arange(w, to), "left")  # the longest come first
             some = live[0]
-            grads, h, _ = gradients(Model(*weights), h[:some], before[w:to, :some], ids[w:to, :some], live)
+            grads, h, _ = gradients(now, h[:some], before[w:to, :some], ids[w:to, :some], live, lossy=False)
             count += 1
-            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grads))
-            clip = np.float32(min(1.0, 1.0 / max(norm, 1e-9)))
-            rate = np.float32(RATE * np.sqrt(1 - 0.99**count) / (1 - 0.9**count))
-            for k, g in enumerate(grads):
-                g *= clip
-                first[k] += np.float32(0.1) * (g - first[k])
-                g *= g
-                g -= second[k]
-                g *= np.float32(0.01)
-                second[k] += g
-                np.sqrt(second[k], out=g)
-                g += np.float32(1e-6)
-                np.divide(first[k], g, out=g)
-                g *= rate
-                weights[k] -= g
-    return Model(*weights)
+            np.concatenate([g.ravel() for g in grads], out=grad)
+            clip = min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
+            _adam(weights, grad, first, second, clip, RATE * np.sqrt(1 - 0.99**count) / (1 - 0.9**count))
+    return now
+
+
+def _shaped(flat: np.ndarray, like: Model) -> Model:
+    """The arrays of a model as views of one."""
+    return Model(*(part.reshape(w.shape) for part, w in zip(np.split(flat, np.cumsum([w.size for w in like])[:-1]), like)))
+
+
+def _adam(weights: np.ndarray, grad: np.ndarray, first: np.ndarray, second: np.ndarray, clip: float, rate: float) -> None:
+    """One step in place, a piece that fits into the processor's cache at a time; what is in grad is lost."""
+    room = np.empty(_PIECE, weights.dtype)
+    for lo in range(0, len(weights), _PIECE):
+        w, g, a, b = (x[lo : lo + _PIECE] for x in (weights, grad, first, second))
+        move = room[: len(g)]
+        g *= weights.dtype.type(clip)
+        np.subtract(g, a, out=move)
+        move *= weights.dtype.type(0.1)
+        a += move
+        g *= g
+        g -= b
+        g *= weights.dtype.type(0.01)
+        b += g
+        np.sqrt(b, out=g)
+        g += weights.dtype.type(1e-6)
+        np.divide(a, g, out=g)
+        g *= weights.dtype.type(rate)
+        w -= g
 
 
 class Corpus(NamedTuple):
@@ -370,8 +391,6 @@ def train(docs: DataFrame, corpus: Corpus) -> Model:
     fan = math.isqrt(trainers) + 1
     # The number within the partition deals repeated stretches, of which there may be any number, to all trainers.
     dealt = stretches.withColumn("deal", F.pmod(F.xxhash64("id", "place", "turn", F.lit(SEED)), F.lit(trainers * TURNS)))
-    shapes = [w.shape for w in model]
-    ends = np.cumsum([w.size for w in model])
     for turn in range(TURNS):
         shared = spark.sparkContext.broadcast(model)
 
@@ -386,7 +405,7 @@ def train(docs: DataFrame, corpus: Corpus) -> Model:
         made = dealt.filter(F.col("deal") % TURNS == turn).groupBy("deal").applyInArrow(work, "k long, part long, w binary")
         if total := summed(made, np.float32, np.float64):
             flat = (total[0][:-1] / total[0][-1]).astype(np.float32)
-            model = Model(*(w.reshape(s) for w, s in zip(np.split(flat, ends[:-1]), shapes)))
+            model = _shaped(flat, model)
         shared.unpersist()
     return model
 

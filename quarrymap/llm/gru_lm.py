@@ -38,8 +38,8 @@ TURNS, RATE, SEED = 3, 0.01, 11
 SHARE, BATCHES = 8192, 32
 #: Rows that are scored at the same time, bytes of text whose rows share the lanes, and states whose words are scored at once.
 LANES, _SCORED_BYTES, _OUTPUT_ROWS = 256, 8 << 20, 16384
-#: Weights that are moved at a time.
-_PIECE = 1 << 14
+#: Weights that are moved at a time, and steps whose factors are made at a time.
+_PIECE, _STEPS = 1 << 14, 4
 
 
 class Model(NamedTuple):
@@ -196,27 +196,30 @@ def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray,
     d_states = np.zeros((steps * rows, size), h0.dtype)
     d_states[on[order]] = d_out
     d_states = d_states.reshape(steps, rows, size)
-    # All that comes of a step's gradient d is a factor of the forward pass by d; so the factors are made of all steps at once.
-    z, r, n = x
-    by_n = (1 - n * n) * (1 - z)
-    factor = np.empty((steps, rows, 3, size), h0.dtype)
-    np.multiply((hs[:-1] - n) * z, 1 - z, out=factor[:, :, 0])
-    np.multiply(by_n, r, out=factor[:, :, 2])
-    np.multiply(factor[:, :, 2] * (1 - r), back * h0.dtype.type(0.5), out=factor[:, :, 1])
-    d_u, kept, d, to_state = np.zeros((steps, rows, 3, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype), np.zeros((rows, size), h0.dtype), np.ascontiguousarray(m.rec.T)
-    for t in range(steps - 1, -1, -1):
-        k = live[t]
-        mine = d[:k]
-        mine += d_states[t, :k]
-        kept[t, :k] = mine
-        out = d_u[t, :k]
-        np.multiply(factor[t, :k], mine[:, None], out=out)
-        mine *= z[t, :k]
-        mine += out.reshape(k, -1) @ to_state
+    d_u, d_n, d, to_state = np.zeros((steps, rows, 3, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype), np.zeros((rows, size), h0.dtype), np.ascontiguousarray(m.rec.T)
+    half = h0.dtype.type(0.5)
+    # All that comes of a step's gradient d is a factor of the forward pass by d; factors are made of several steps at once.
+    for hi in range(steps, 0, -_STEPS):
+        part = slice(max(0, hi - _STEPS), hi)
+        z, r, n = x[:, part]
+        by_n = (1 - n * n) * (1 - z)
+        factor = np.empty((len(z), rows, 3, size), h0.dtype)
+        np.multiply((hs[part] - n) * z, 1 - z, out=factor[:, :, 0])
+        by_r = by_n * r
+        factor[:, :, 2] = by_r
+        np.multiply(by_r * (1 - r), back[part] * half, out=factor[:, :, 1])
+        for t in range(hi - 1, part.start - 1, -1):
+            k = live[t]
+            mine, out = d[:k], d_u[t, :k]
+            mine += d_states[t, :k]
+            d_n[t, :k] = mine
+            np.multiply(factor[t - part.start, :k], mine[:, None], out=out)
+            mine *= z[t - part.start, :k]
+            mine += out.reshape(k, -1) @ to_state
+        d_n[part] *= by_n
     flat = d_u.reshape(-1, 3 * size)
     g_rec = hs[:-1].reshape(-1, size).T @ flat
-    kept *= by_n
-    flat[:, 2 * size :] = kept.reshape(-1, size)
+    flat[:, 2 * size :] = d_n.reshape(-1, size)
     g_emb = _by_token(tokens.ravel(), flat, len(m.emb))
     return [g_emb, g_rec, flat.sum(axis=0), g_class, g_class_bias, g_word, g_word_bias], hs[-1], loss
 

@@ -36,8 +36,8 @@ TURNS, RATE, SEED = 3, 0.01, 11
 #: Stretches of one trainer in one turn, and how many batches it cuts them into; so at every size each word is trained on
 #: once, in as many steps.
 SHARE, BATCHES = 8192, 32
-#: Rows that are scored at the same time, bytes of text whose rows share the lanes, and states whose words are scored at once.
-LANES, _SCORED_BYTES, _OUTPUT_ROWS = 256, 8 << 20, 16384
+#: Rows that are scored at the same time, tokens whose rows share the lanes, and states whose words are scored at once.
+LANES, _SCORED_TOKENS, _OUTPUT_ROWS = 256, 3 << 19, 16384
 #: Weights that are moved at a time, and steps whose factors are made at a time.
 _PIECE, _STEPS = 1 << 14, 4
 
@@ -114,7 +114,7 @@ def _exps(logits: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
 def log_probabilities(m: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target from its state."""
     small = _small(m)
-    group, order = target // CLASS, np.argsort(target // CLASS, kind="stable")
+    group, order = target // CLASS, np.argsort((target // CLASS).astype(np.uint16), kind="stable")
     h, mine, group = np.take(h, order, axis=0), (target % CLASS)[order], group[order]
     place = np.arange(len(h))
     logits = h @ m.to_class
@@ -149,7 +149,7 @@ def _output(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, mine: np.n
 def _by_token(tokens: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
     """The rows summed by token, of which there are n; frequent ones each by one product, which is faster."""
     out, ones = np.zeros((n, rows.shape[1]), rows.dtype), np.ones(len(tokens), rows.dtype)
-    order = np.argsort(tokens, kind="stable")
+    order = np.argsort(tokens.astype(np.uint16), kind="stable")  # short numbers are sorted by digits, which is faster
     rows, tokens = np.take(rows, order, axis=0), tokens[order]
     starts, which = K.segments(tokens)
     ends = np.append(starts[1:], len(tokens))
@@ -182,7 +182,7 @@ def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray,
     on = np.concatenate([np.arange(k) + t * rows for t, k in enumerate(live)])
     target = targets.ravel()[on]
     group, scale = target // CLASS, h0.dtype.type(1 / max(1, len(on)))
-    order = np.argsort(group, kind="stable")
+    order = np.argsort(group.astype(np.uint16), kind="stable")
     states, group, mine = np.take(hs[1:].reshape(-1, size), on[order], axis=0), group[order], (target % CLASS)[order]
     p, loss = _output(states, m.to_class, m.class_bias, group, scale, small, lossy)
     g_class, g_class_bias, d_out = states.T @ p, p.sum(axis=0), p @ m.to_class.T
@@ -329,12 +329,22 @@ def counts(docs: DataFrame) -> Corpus:
 
 def _pair_counts(buf: np.ndarray, w: K.Words) -> np.ndarray:
     """Counts of (byte before, byte) within words, with 0 before and after."""
-    size = w.end - w.start
-    inner = np.arange(size.sum()) + np.repeat(w.start - (np.cumsum(size) - size), size)
-    byte = buf[inner].astype(np.int64)
-    before = np.concatenate([[0], byte[:-1]]) if len(byte) else byte
-    before[np.cumsum(size) - size] = 0
-    return np.bincount(before * 256 + byte, minlength=65536) + np.bincount(buf[w.end - 1].astype(np.int64) * 256, minlength=65536)
+    if not len(w.start):
+        return np.zeros(65536, np.int64)
+    byte = np.zeros(len(buf) + 2, np.int64)
+    change = np.zeros(len(buf) + 1, np.int8)
+    change[w.start] = 1
+    np.subtract.at(change, w.end, 1)
+    byte[1:-1] = buf * (np.cumsum(change[:-1], dtype=np.int8) > 0)
+    pairs = np.bincount((byte[:-1] << 8) + byte[1:], minlength=65536)
+    pairs[0] = 0
+    # Where one row's last word meets the next row's first, the two have no byte between them.
+    met = w.start[1:][w.start[1:] == w.end[:-1]]
+    last, next_ = buf[met - 1].astype(np.int64), buf[met].astype(np.int64)
+    np.subtract.at(pairs, last * 256 + next_, 1)
+    np.add.at(pairs, last * 256, 1)
+    np.add.at(pairs, next_, 1)
+    return pairs
 
 
 def tokens(buf: np.ndarray, w: K.Words, corpus: Corpus) -> np.ndarray:
@@ -351,42 +361,66 @@ def spelled(buf: np.ndarray, w: K.Words, unknown: np.ndarray, corpus: Corpus) ->
     return corpus.spelling[0, buf[start]] + inside[end - 1] - inside[start] + corpus.spelling[buf[end - 1], 0]
 
 
-def stretch_table(docs: DataFrame, corpus: Corpus) -> DataFrame:
-    """(id, place, turn, ids, n): every document's tokens and its end, in stretches of STRETCH of which n are used; turn numbers those of a partition."""
+def token_table(docs: DataFrame, corpus: Corpus) -> DataFrame:
+    """(doc_id, key, ids, n_unknown, spelled) of every row: its token ids as bytes (null of a null text), and what its unknown words' spelling adds; key stands for a null doc_id, too."""
     shared = docs.sparkSession.sparkContext.broadcast(corpus)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = 0
+        c = shared.value
         for x in batches:
-            ids = x.column("id").to_numpy(zero_copy_only=False)
             for a, b, buf, offsets in K.text_blocks(x.column("text")):
                 w = K.words(buf, offsets)
-                many = np.bincount(w.row, minlength=b - a)
-                token = np.insert(tokens(buf, w, shared.value), np.cumsum(many), END)
-                many += 1
-                pieces = -(-many // STRETCH)
-                row = np.repeat(np.arange(b - a), pieces)
-                place = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
-                first, size = (np.cumsum(many) - many)[row] + place, np.minimum(STRETCH, many[row] - place)
-                for lo in range(0, len(row), 4096):
-                    to = slice(lo, lo + 4096)
-                    at = first[to, None] + np.minimum(np.arange(STRETCH), size[to, None] - 1)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][row[to]]), pa.array(place[to]), pa.array(np.arange(turn, turn + len(at))), K.binary_rows(token[at].astype(np.uint16)), pa.array(size[to].astype(np.int32))], ["id", "place", "turn", "ids", "n"])
-                    turn += len(at)
-
-    slim = docs.filter("text IS NOT NULL").select(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("id"), "text")
-    return mapped(slim, take, "id long, place long, turn long, ids binary, n int")
-
-
-def train(docs: DataFrame, corpus: Corpus) -> Model:
-    """The averaged model. Weights travel once a trainer and turn and are summed by array before they reach the driver."""
-    spark = docs.sparkSession
+                token = tokens(buf, w, c)
+                unknown = token == UNKNOWN
+                ends = (np.searchsorted(w.row, np.arange(b - a + 1)) * 2).astype(np.int32)
+                ids = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(token.astype(np.uint16).tobytes())])
+                ids = pa.compute.if_else(x.column("text").slice(a, b - a).is_valid(), ids, pa.scalar(None, pa.binary()))
+                spelling = np.bincount(w.row[unknown], weights=spelled(buf, w, unknown, c), minlength=b - a).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([x.column("doc_id").slice(a, b - a), x.column("key").slice(a, b - a), ids, pa.array(np.bincount(w.row[unknown], minlength=b - a)), pa.array(spelling)], ["doc_id", "key", "ids", "n_unknown", "spelled"])
+
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key"), "text")
+    return mapped(slim, take, "doc_id long, key long, ids binary, n_unknown long, spelled double")
+
+
+def _flat(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All token ids of a column of ``token_table``, and how many each row has (a null none)."""
+    ids = pa.compute.fill_null(ids, b"")
+    ends = np.frombuffer(ids.buffers()[1], np.int32)[ids.offset : ids.offset + len(ids) + 1].astype(np.int64)
+    data = ids.buffers()[2]
+    return (np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.zeros(0, np.uint8)).view(np.uint16), np.diff(ends) // 2
+
+
+def stretch_table(coded: DataFrame) -> DataFrame:
+    """(id, place, turn, ids, n): the tokens of every text of ``token_table`` and its end, in stretches of STRETCH of which n are used; turn numbers those of a partition."""
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for x in batches:
+            ids, (token, many) = x.column("key").to_numpy(), _flat(x.column("ids"))
+            token = np.insert(token, np.cumsum(many), END)
+            many = many + 1
+            pieces = -(-many // STRETCH)
+            row = np.repeat(np.arange(len(many)), pieces)
+            place = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * STRETCH
+            first, size = (np.cumsum(many) - many)[row] + place, np.minimum(STRETCH, many[row] - place)
+            for lo in range(0, len(row), 4096):
+                to = slice(lo, lo + 4096)
+                at = first[to, None] + np.minimum(np.arange(STRETCH), size[to, None] - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row[to]]), pa.array(place[to]), pa.array(np.arange(turn, turn + len(at))), K.binary_rows(token[at]), pa.array(size[to].astype(np.int32))], ["id", "place", "turn", "ids", "n"])
+                turn += len(at)
+
+    return mapped(coded.filter("ids IS NOT NULL").select("key", "ids"), take, "id long, place long, turn long, ids binary, n int")
+
+
+def train(coded: DataFrame, corpus: Corpus) -> Model:
+    """The averaged model of a stored ``token_table``. Weights travel once a trainer and turn and are summed before they reach the driver."""
+    spark = coded.sparkSession
     model = initial()
     # Biases start at the words' and classes' frequencies.
     group = corpus.unigram.reshape(-1, CLASS)
     in_class = np.log(np.exp(group).sum(axis=1, keepdims=True))
     model.class_bias[:], model.word_bias[:] = in_class[:, 0], group - in_class
-    stretches = stored(stretch_table(docs, corpus), "stretches")
+    stretches = stored(stretch_table(coded), "stretches")
     n = stretches.count()
     if not n:
         return model
@@ -477,24 +511,17 @@ def likelihoods(docs: DataFrame, corpus: Corpus | None = None, model: Model | No
     columns, whatever their names, aren't read.
     """
     corpus = corpus or counts(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((corpus, model or train(docs, corpus)))
+    coded = stored(token_table(docs, corpus), "tokens")
+    shared = docs.sparkSession.sparkContext.broadcast(model or train(coded, corpus))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, m = shared.value
         for x in batches:
-            buf, offsets = K.text_buffer(x.column("text"))
-            for a, b in K.row_blocks(np.diff(offsets), _SCORED_BYTES):
-                part, ends = buf[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                w = K.words(part, ends)
-                token = tokens(part, w, c)
-                many = np.bincount(w.row, minlength=b - a)
-                total = score_block(m, token, many)
-                unknown = token == UNKNOWN
-                total += np.bincount(w.row[unknown], weights=spelled(part, w, unknown, c), minlength=b - a)
-                null = x.column("text").slice(a, b - a).is_null().to_numpy(zero_copy_only=False)
-                n = np.where(null, 0, many + 1)
-                fit = np.round(total, 4)
-                yield pa.RecordBatch.from_arrays([x.column("doc_id").slice(a, b - a), pa.array(n), pa.array(np.bincount(w.row[unknown], minlength=b - a)), pa.array(fit, mask=null), pa.array(np.exp(np.minimum(700, -total / np.maximum(1, n))), mask=null)], ["doc_id", "n_tokens", "n_unknown", "log_likelihood", "perplexity"])
-
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return mapped(slim, score, "doc_id long, n_tokens long, n_unknown long, log_likelihood double, perplexity double")
+            token, many = _flat(x.column("ids"))
+            ends = np.concatenate([[0], np.cumsum(many)])
+            parts = [score_block(shared.value, token[ends[a] : ends[b]].astype(np.int64), many[a:b]) for a, b in K.row_blocks(many, _SCORED_TOKENS, x.num_rows)]
+            if parts:
+                null = x.column("ids").is_null().to_numpy(zero_copy_only=False)
+                total, n = np.concatenate(parts) + x.column("spelled").to_numpy(), np.where(null, 0, many + 1)
+                yield pa.RecordBatch.from_arrays([x.column("doc_id"), pa.array(n), x.column("n_unknown"), pa.array(np.round(total, 4), mask=null), pa.array(np.exp(np.minimum(700, -total / np.maximum(1, n))), mask=null)], ["doc_id", "n_tokens", "n_unknown", "log_likelihood", "perplexity"])
+
+    return mapped(coded.select("doc_id", "ids", "n_unknown", "spelled"), score, "doc_id long, n_tokens long, n_unknown long, log_likelihood double, perplexity double")

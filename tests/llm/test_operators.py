@@ -298,7 +298,7 @@ def brute_lm(model, corpus, text):
 def test_lm_scores_whole_documents(spark, prose):
     table = docs(spark, [*prose, *[(100 + (i or 0), t) for i, t in ODD[3:]]])
     corpus = gru_lm.counts(table)
-    model = gru_lm.train(table, corpus)
+    model = gru_lm.train(gru_lm.token_table(table, corpus), corpus)
     got = {r["doc_id"]: r for r in gru_lm.likelihoods(table, corpus, model).collect()}
     for i, t in [*prose[:5], (106, LONG), (104, ""), (108, "¿qué? été ñ")]:
         assert got[i]["log_likelihood"] == pytest.approx(brute_lm(model, corpus, t), rel=1e-4, abs=1e-2)
@@ -322,6 +322,17 @@ def test_lm_gradients_are_right():
             assert grads[k].flat[at] == pytest.approx((losses[0] - losses[1]) / 2e-5 / live.sum(), rel=1e-3, abs=1e-6)
 
 
+def test_lm_counts_byte_pairs():
+    for texts in (["abc ab", "ab", "", "ab,b", "é"], ["", " ", "x"], [" .", ""], ["a" * 9, "b"]):
+        buf, offsets = kernels.text_buffer(pa.array(texts))
+        want = Counter()
+        for t in texts:
+            for word in re.findall(rb"[0-9a-z\x80-\xff]+", t.encode()):
+                want.update(zip([0, *word], [*word, 0]))
+        got = gru_lm._pair_counts(buf, kernels.words(buf, offsets))
+        assert {(int(k) >> 8, int(k) & 255): int(got[k]) for k in np.flatnonzero(got)} == want
+
+
 def test_lm_sums_by_token():
     rng = np.random.default_rng(1)
     tokens, rows = rng.choice([1, 5, 7, 8, 30], 300, p=[0.8, 0.05, 0.05, 0.05, 0.05]), rng.standard_normal((300, 6))
@@ -349,7 +360,7 @@ def test_lm_odd(spark):
 def test_lm_learns_order(spark):
     table = docs(spark, [(i, " ".join(["red green blue white black"] * 8)) for i in range(300)])
     corpus = gru_lm.counts(table)
-    got = gru_lm.likelihoods(docs(spark, [(1, "red green blue white black red green blue"), (2, "blue red black green white blue green red")]), corpus, gru_lm.train(table, corpus))
+    got = gru_lm.likelihoods(docs(spark, [(1, "red green blue white black red green blue"), (2, "blue red black green white blue green red")]), corpus, gru_lm.train(gru_lm.token_table(table, corpus), corpus))
     score = {r["doc_id"]: r["log_likelihood"] for r in got.collect()}
     assert score[1] > score[2] + 3
 
@@ -358,7 +369,7 @@ def test_lm_trains_on_every_word(spark, prose):
     table = [*prose, (500, LONG), (501, ""), (502, None), (503, " ".join(["word"] * (gru_lm.STRETCH - 1))), (504, " ".join(["word"] * gru_lm.STRETCH))]
     corpus = gru_lm.counts(docs(spark, table))
     got = defaultdict(list)
-    for r in sorted(gru_lm.stretch_table(docs(spark, table), corpus).collect(), key=lambda r: (r["id"], r["place"])):
+    for r in sorted(gru_lm.stretch_table(gru_lm.token_table(docs(spark, table), corpus)).collect(), key=lambda r: (r["id"], r["place"])):
         assert r["place"] == len(got[r["id"]])
         got[r["id"]] += np.frombuffer(r["ids"], np.uint16)[: r["n"]].tolist()
     assert 502 not in got

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from quarrymap.operators.delta import apply_delta
+from quarrymap.operators.delta import EDGES, apply_delta
 from quarrymap.sources import store
 
 
@@ -14,8 +14,11 @@ def follow(spark: SparkSession, removed_units: DataFrame, root: str, checkpoint:
 
     def apply(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            now = store.manifest(spark, root) or {}
-            tables = apply_delta(store.load_facts(spark, root), removed={"units": batch.select("id")})
-            store.write_snapshot(spark, root, tables, now.get("commit", "unknown"), fingerprint=now.get("fingerprint"))
+            now, old = store.manifest(spark, root) or {}, store.load_facts(spark, root)
+            ids = batch.select("id").distinct()
+            # Symbols go with their unit and edges with their symbols, so where no symbol goes these tables are taken over.
+            idle = old["symbols"].join(ids.withColumnRenamed("id", "unit_id"), "unit_id", "left_semi").isEmpty()
+            same = ("symbols", *EDGES) if idle else ()
+            store.write_snapshot(spark, root, apply_delta(old, removed={"units": ids}), now.get("commit", "unknown"), fingerprint=now.get("fingerprint"), same=same)
 
     return removed_units.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -5,7 +5,7 @@ import json
 import pytest
 
 from quarrymap.operators import fingerprint, insights
-from quarrymap.plans import adapters, jobs
+from quarrymap.plans import adapters, catalogue, jobs
 from quarrymap.schemas import INSIGHT_ROWS, json_schema
 from quarrymap.sources import files, golist, store
 from quarrymap.streaming.deltas import follow
@@ -69,6 +69,16 @@ def test_module_to_facts(spark, module):
     assert rows(got["deps"], "from_unit_id", "to_unit_id") == [("unit:go:.", "unit:go:pkg"), ("unit:go:pkg", "unit:go:."), ("unit:go:pkg", "unit:go:internal/db")]
 
 
+def test_listings_name_the_files_of_their_units(spark):
+    tables = {
+        "units": spark.createDataFrame([("unit:go:a", "a"), ("unit:go:b", "b")], "id string, path string"),
+        "files": spark.createDataFrame([("unit:go:a", "a/f12"), ("unit:go:a", "a/f3")], "unit_id string, path string"),
+        "deps": spark.createDataFrame([], "from_unit_id string, to_unit_id string"),
+    }
+    got = golist.parse_packages(catalogue._listing(tables))
+    assert rows(got, "ImportPath", "GoFiles") == [("example.com/m/a", ["f12", "f3"]), ("example.com/m/b", None), ("fmt", ["f.go"])]
+
+
 def snapshot(spark, cache):
     return {t: sorted(map(str, df.drop("metadata").collect())) for t, df in store.load_facts(spark, cache).items()}
 

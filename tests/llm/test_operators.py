@@ -554,6 +554,28 @@ def test_languages_against_brute_force(spark, monkeypatch):
         assert r["predicted"] in (max(cosines, key=cosines.get), langid.REJECTED) and r["cosine"] == pytest.approx(max(cosines.values()), abs=1e-4)
 
 
+def test_languages_learn_from_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_SAMPLES", 3)
+    monkeypatch.setattr(langid, "CENTROIDS", 1)
+    rng = random.Random(21)
+    # Ids repeat and are missing; one text has a run of bytes more than 255 times.
+    rows = [(None if i % 7 == 0 else i % 11, " ".join("".join(rng.choice(letters) for _ in range(3)) for _ in range(rng.randrange(5, 9) * 2 ** (i // 2 % 7))), lang) for i, (lang, letters) in enumerate([("aa", "abcdeilmno"), ("bb", "prstuvwxyz")] * 35)]
+    rows += [(90, "xyz " * 700, "bb"), (91, "abc", None), (92, " .. ", "aa"), (93, None, "bb")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    seen, n = langid.document_frequencies(table)
+    idf = np.log((1 + n) / (1 + seen)) + 0.1
+    own, vector = dense_languages([(lang, t) for _, t, lang in rows if lang and t and t.strip(" .")], idf)
+    centre = {lang: x.sum(axis=0) / np.linalg.norm(x.sum(axis=0)) for lang, x in own.items()}
+    want = sorted((i or 0, round(max(float(vector(t or "") @ c) for c in centre.values()), 4)) for i, t, _ in rows)
+    got = sorted((r["doc_id"] or 0, r["cosine"]) for r in langid.identify(table).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([c for _, c in got], [c for _, c in want], atol=2e-4)
+    least = langid.train(table, langid.bag_table(table)).least
+    for k, lang in enumerate(centre):
+        size = np.searchsorted(langid.LENGTHS, [4 * len(t.split()) - 1 for _, t, own_lang in rows if own_lang == lang and t and t.strip(" .")])
+        each = [langid.SLACK * np.quantile((own[lang] @ centre[lang])[size == c], langid.REJECT_SHARE) for c in range(len(langid.LENGTHS))]
+        assert min(each) > 0 and np.allclose(least[k], [min(each[c:]) for c in range(len(each))], atol=1e-5)
+
+
 def test_language_samples_are_the_smallest_hashes(spark, monkeypatch):
     from pyspark.sql import functions as F
 

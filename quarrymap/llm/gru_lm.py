@@ -70,17 +70,12 @@ def by_gate(weights: np.ndarray) -> np.ndarray:
     return np.stack([part * weights.dtype.type(k) for part, k in zip(parts, _SCALE)])
 
 
-def scaled(rec: np.ndarray) -> np.ndarray:
-    """H x 3H, scaled by _SCALE."""
-    return rec * np.repeat(np.array(_SCALE, rec.dtype), rec.shape[0])
-
-
 def step(rec: np.ndarray, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(next state, what the state adds to n, twice) after inputs x, by gate, from state h; z, r and n themselves are left in x.
+    """(next state, what the state adds to n, twice) after inputs x, by gate as rec is, from state h; z, r and n themselves are left in x.
 
     An exp that overflows gives a gate of 0 and an n of 1, as it should.
     """
-    u = (h @ rec).reshape(len(h), 3, -1).transpose(1, 0, 2)
+    u = np.matmul(h, rec)
     gates, n = x[:2], x[2]
     gates += u[:2]
     np.exp(gates, out=gates)
@@ -103,63 +98,77 @@ def _small(m: Model) -> bool:
     return max((np.abs(m.to_class).sum(axis=0) + np.abs(m.class_bias)).max(), (np.abs(m.to_word).sum(axis=1) + np.abs(m.word_bias)).max()) <= 60
 
 
-def _exps(logits: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(exp, sums of each row); logits that aren't small are shifted in place so that none overflows."""
+def _softmax(logits: np.ndarray, mine: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(exp, made in place, sums of each row, logit of each row's own column); logits that aren't small are shifted so that none overflows."""
     if not small:
         logits -= logits.max(axis=1, keepdims=True)
-    e = np.exp(logits)
-    return e, e @ np.ones(e.shape[1], e.dtype)
+    own = logits[np.arange(len(mine)), mine].astype(np.float64)
+    e = np.exp(logits, out=logits)
+    return e, e @ np.ones(e.shape[1], e.dtype), own
+
+
+def _with_ones(states: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Those rows of the states, and a column of ones, by which biases are a row of the weights."""
+    out = np.ones((len(at), states.shape[1] + 1), states.dtype)
+    out[:, :-1] = np.take(states, at, axis=0)
+    return out
+
+
+def _word_logits(m: Model, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits within the classes; runs: (first row, last row + 1, class)."""
+    weight, out = np.concatenate([m.to_word, m.word_bias[:, None]], axis=1), np.empty((len(h), CLASS), h.dtype)
+    for s, e, c in runs:
+        np.matmul(h[s:e], weight[c], out=out[s:e])
+    return out
+
+
+def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
+    starts, which = K.segments(group)
+    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(group)], which.tolist()))
 
 
 def log_probabilities(m: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Log probability of each target from its state."""
     small = _small(m)
     group, order = target // CLASS, np.argsort((target // CLASS).astype(np.uint16), kind="stable")
-    h, mine, group = np.take(h, order, axis=0), (target % CLASS)[order], group[order]
-    place = np.arange(len(h))
-    logits = h @ m.to_class
-    logits += m.class_bias
-    total = _exps(logits, small)[1]
-    got = logits[place, group].astype(np.float64)
-    got -= np.log(total)
-    starts, which = K.segments(group)
-    for s, e, c in zip(starts, [*starts[1:], len(order)], which):
-        logits = h[s:e] @ m.to_word[c]
-        logits += m.word_bias[c]
-        total = _exps(logits, small)[1]
-        got[s:e] += logits[place[: e - s], mine[s:e]]
-        got[s:e] -= np.log(total)
+    h, mine, group = _with_ones(h, order), (target % CLASS)[order], group[order]
+    got = np.zeros(len(h))
+    for logits, column in ((h @ np.vstack([m.to_class, m.class_bias]), group), (_word_logits(m, h, _runs(group)), mine)):
+        _, total, own = _softmax(logits, column, small)
+        got += own
+        got -= np.log(total)
     out = np.empty(len(h))
     out[order] = got
     return out
 
 
-def _output(states: np.ndarray, weight: np.ndarray, bias: np.ndarray, mine: np.ndarray, scale: np.floating, small: bool, lossy: bool) -> tuple[np.ndarray, float]:
-    """(scaled gradient by the logits, summed loss if ``lossy``) of a softmax."""
-    place = np.arange(len(mine))
-    logits = states @ weight
-    logits += bias
-    q, total = _exps(logits, small)
-    loss = float(np.log(total).sum(dtype=np.float64)) - float(logits[place, mine].sum(dtype=np.float64)) if lossy else 0.0
+def _output(logits: np.ndarray, mine: np.ndarray, scale: np.floating, small: bool, lossy: bool) -> tuple[np.ndarray, float]:
+    """(scaled gradient by the logits, made in place, summed loss if ``lossy``) of a softmax."""
+    q, total, own = _softmax(logits, mine, small)
+    loss = float(np.log(total).sum(dtype=np.float64)) - float(own.sum()) if lossy else 0.0
     q *= (scale / total)[:, None]
-    q[place, mine] -= scale
+    q[np.arange(len(mine)), mine] -= scale
     return q, loss
 
 
 def _by_token(tokens: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
-    """The rows summed by token, of which there are n; frequent ones each by one product, which is faster."""
+    """The rows summed by token, of which there are n; frequent ones each by one product, the others' first rows at once, then their second ones and so on."""
     out, ones = np.zeros((n, rows.shape[1]), rows.dtype), np.ones(len(tokens), rows.dtype)
     order = np.argsort(tokens.astype(np.uint16), kind="stable")  # short numbers are sorted by digits, which is faster
-    rows, tokens = np.take(rows, order, axis=0), tokens[order]
-    starts, which = K.segments(tokens)
-    ends = np.append(starts[1:], len(tokens))
-    often = ends - starts >= 24
-    for s, e, token in zip(starts[often].tolist(), ends[often].tolist(), which[often].tolist()):
-        out[token] = ones[: e - s] @ rows[s:e]
+    starts, which = K.segments(tokens[order])
+    size = np.diff(starts, append=len(tokens))
+    often = size >= 24
+    for s, k, token in zip(starts[often].tolist(), size[often].tolist(), which[often].tolist()):
+        out[token] = ones[:k] @ np.take(rows, order[s : s + k], axis=0)
     if not often.all():
-        seldom = np.repeat(~often, ends - starts)
-        rows, size = rows[seldom], (ends - starts)[~often]
-        out[which[~often]] = np.add.reduceat(rows, np.cumsum(size) - size, axis=0)
+        by_size = np.flatnonzero(~often)
+        by_size = by_size[np.argsort(-size[by_size], kind="stable")]
+        first, many = starts[by_size], size[by_size]
+        total = np.take(rows, order[first], axis=0)
+        for k in range(1, int(many[0])):
+            left = int(np.searchsorted(-many, -k, "left"))
+            total[:left] += np.take(rows, order[first[:left] + k], axis=0)
+        out[which[by_size]] = total
     return out
 
 
@@ -171,7 +180,7 @@ def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray,
     """
     steps, rows = tokens.shape
     size, small = h0.shape[1], _small(m)
-    x, rec = np.take(by_gate(m.emb + m.bias), tokens, axis=1), scaled(m.rec)
+    x, rec = np.take(by_gate(m.emb + m.bias), tokens, axis=1), by_gate(m.rec)
     hs, back = np.empty((steps + 1, rows, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype)
     hs[0] = h0
     with np.errstate(over="ignore"):
@@ -183,16 +192,15 @@ def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray,
     target = targets.ravel()[on]
     group, scale = target // CLASS, h0.dtype.type(1 / max(1, len(on)))
     order = np.argsort(group.astype(np.uint16), kind="stable")
-    states, group, mine = np.take(hs[1:].reshape(-1, size), on[order], axis=0), group[order], (target % CLASS)[order]
-    p, loss = _output(states, m.to_class, m.class_bias, group, scale, small, lossy)
-    g_class, g_class_bias, d_out = states.T @ p, p.sum(axis=0), p @ m.to_class.T
-    g_word, g_word_bias = np.zeros_like(m.to_word), np.zeros_like(m.word_bias)
-    starts, which = K.segments(group)
-    for s, e, c in zip(starts, [*starts[1:], len(order)], which):
-        q, more = _output(states[s:e], m.to_word[c], m.word_bias[c], mine[s:e], scale, small, lossy)
-        loss += more
-        g_word[c], g_word_bias[c] = states[s:e].T @ q, q.sum(axis=0)
-        d_out[s:e] += q @ m.to_word[c].T
+    states, group, mine = _with_ones(hs[1:].reshape(-1, size), on[order]), group[order], (target % CLASS)[order]
+    p, loss = _output(states @ np.vstack([m.to_class, m.class_bias]), group, scale, small, lossy)
+    g_class, d_out, runs = states.T @ p, p @ m.to_class.T, _runs(group)
+    q, more = _output(_word_logits(m, states, runs), mine, scale, small, lossy)
+    loss += more
+    g_word, to_states = np.zeros((len(m.to_word), size + 1, CLASS), h0.dtype), np.ascontiguousarray(m.to_word.transpose(0, 2, 1))
+    for s, e, c in runs:
+        np.matmul(states[s:e].T, q[s:e], out=g_word[c])
+        d_out[s:e] += q[s:e] @ to_states[c]
     d_states = np.zeros((steps * rows, size), h0.dtype)
     d_states[on[order]] = d_out
     d_states = d_states.reshape(steps, rows, size)
@@ -221,7 +229,7 @@ def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray,
     g_rec = hs[:-1].reshape(-1, size).T @ flat
     flat[:, 2 * size :] = d_n.reshape(-1, size)
     g_emb = _by_token(tokens.ravel(), flat, len(m.emb))
-    return [g_emb, g_rec, flat.sum(axis=0), g_class, g_class_bias, g_word, g_word_bias], hs[-1], loss
+    return [g_emb, g_rec, flat.sum(axis=0), g_class[:-1], g_class[-1], g_word[:, :-1], g_word[:, -1]], hs[-1], loss
 
 
 def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) -> Model:
@@ -229,6 +237,7 @@ def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) ->
     weights = np.concatenate([w.ravel() for w in m])
     now = _shaped(weights, m)
     first, second, grad, count = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), 0
+    parts = _shaped(grad, m)
     order = np.random.default_rng(seed).permutation(len(stretches))
     for at in np.array_split(order, min(BATCHES, len(order))):
         at = at[np.argsort(-lengths[at], kind="stable")]
@@ -241,7 +250,8 @@ def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) ->
             some = live[0]
             grads, h, _ = gradients(now, h[:some], before[w:to, :some], ids[w:to, :some], live, lossy=False)
             count += 1
-            np.concatenate([g.ravel() for g in grads], out=grad)
+            for part, g in zip(parts, grads):
+                part[...] = g
             clip = min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
             _adam(weights, grad, first, second, clip, RATE * np.sqrt(1 - 0.99**count) / (1 - 0.9**count))
     return now
@@ -334,7 +344,7 @@ def _pair_counts(buf: np.ndarray, w: K.Words) -> np.ndarray:
     byte = np.zeros(len(buf) + 2, np.int64)
     change = np.zeros(len(buf) + 1, np.int8)
     change[w.start] = 1
-    np.subtract.at(change, w.end, 1)
+    change[w.end] -= 1  # no two words end at the same place
     byte[1:-1] = buf * (np.cumsum(change[:-1], dtype=np.int8) > 0)
     pairs = np.bincount((byte[:-1] << 8) + byte[1:], minlength=65536)
     pairs[0] = 0
@@ -350,14 +360,21 @@ def _pair_counts(buf: np.ndarray, w: K.Words) -> np.ndarray:
 def tokens(buf: np.ndarray, w: K.Words, corpus: Corpus) -> np.ndarray:
     if not len(corpus.hashes):
         return np.full(len(w.hash), UNKNOWN, np.int32)
-    at = np.minimum(np.searchsorted(corpus.hashes, w.hash), len(corpus.hashes) - 1)
-    return np.where(corpus.hashes[at] == w.hash, corpus.ids[at], UNKNOWN).astype(np.int32)
+    # Hashes are spread evenly, so few begin with the same 16 bits: those are compared one after the other.
+    begin = np.searchsorted(corpus.hashes >> np.uint64(48), np.arange(65537, dtype=np.uint64)).astype(np.int32)
+    hashes, ids = np.append(corpus.hashes, corpus.hashes[-1]), np.append(corpus.ids, corpus.ids[-1])
+    at, out = begin[w.hash >> np.uint64(48)], np.full(len(w.hash), UNKNOWN, np.int32)
+    for k in range(int(np.diff(begin).max())):
+        near = np.minimum(at + k, len(corpus.hashes)) if k else at
+        np.copyto(out, ids[near], where=hashes[near] == w.hash)
+    return out
 
 
 def spelled(buf: np.ndarray, w: K.Words, unknown: np.ndarray, corpus: Corpus) -> np.ndarray:
     """Log probability of the bytes of each unknown word."""
     start, end = w.start[unknown], w.end[unknown]
-    inside = np.concatenate([[0.0], np.cumsum(corpus.spelling[buf[:-1], buf[1:]])]) if len(buf) > 1 else np.zeros(1)
+    inside = np.zeros(max(1, len(buf)))
+    np.cumsum(np.take(corpus.spelling, (buf[:-1].astype(np.uint16) << 8) + buf[1:]), out=inside[1:])
     return corpus.spelling[0, buf[start]] + inside[end - 1] - inside[start] + corpus.spelling[buf[end - 1], 0]
 
 
@@ -482,7 +499,7 @@ def score_block(m: Model, token: np.ndarray, many: np.ndarray) -> np.ndarray:
             owner[at : at + size[row], k] = row
             begins[at].append(k)
             at += int(size[row])
-    emb, rec = by_gate(m.emb + m.bias), scaled(m.rec)
+    emb, rec = by_gate(m.emb + m.bias), by_gate(m.rec)
     live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
     h, last = np.zeros((len(lanes), m.rec.shape[0]), m.rec.dtype), np.full(len(lanes), END, np.int64)
     held: list[np.ndarray] = []

@@ -341,6 +341,15 @@ def test_lm_sums_by_token():
     assert gru_lm._by_token(tokens, rows, 40) == pytest.approx(want)
 
 
+def test_lm_finds_words_whose_hashes_begin_alike():
+    known = np.array([3, 5, 6, 1 << 50, (1 << 50) + 1, (1 << 64) - 1], np.uint64)
+    asked = np.array([6, 4, 3, 0, 5, (1 << 50) + 1, 1 << 50, 1 << 51, (1 << 64) - 1, (1 << 64) - 2], np.uint64)
+    none = np.zeros(0, np.int64)
+    corpus = gru_lm.Corpus(known, np.arange(2, 8, dtype=np.int32), None, None)
+    got = gru_lm.tokens(None, kernels.Words(none, none, none, asked), corpus)
+    assert got.tolist() == [4, 0, 2, 0, 3, 6, 5, 0, 7, 0]
+
+
 def test_lm_lanes_hold_every_row_once():
     for sizes in ([5, 1, 1, 9, 2], [3], [1] * 700):
         lanes = gru_lm.lanes_of(np.array(sizes))

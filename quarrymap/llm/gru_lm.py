@@ -38,8 +38,9 @@ TURNS, RATE, SEED = 3, 0.01, 11
 SHARE, BATCHES = 8192, 32
 #: Rows that are scored at the same time, tokens whose rows share the lanes, and states whose words are scored at once.
 LANES, _SCORED_TOKENS, _OUTPUT_ROWS = 256, 3 << 19, 16384
-#: Weights that are moved at a time, and steps whose factors are made at a time.
-_PIECE, _STEPS = 1 << 14, 4
+#: Weights that are moved at a time, steps whose factors are made at a time, and rows that are taken through the softmaxes
+#: at a time. From _OFTEN rows on, a token's are summed by a product.
+_PIECE, _STEPS, _BLOCK, _OFTEN = 1 << 14, 4, 1024, 24
 
 
 class Model(NamedTuple):
@@ -98,15 +99,6 @@ def _small(m: Model) -> bool:
     return max((np.abs(m.to_class).sum(axis=0) + np.abs(m.class_bias)).max(), (np.abs(m.to_word).sum(axis=1) + np.abs(m.word_bias)).max()) <= 60
 
 
-def _softmax(logits: np.ndarray, mine: np.ndarray, small: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(exp, made in place, sums of each row, logit of each row's own column); logits that aren't small are shifted so that none overflows."""
-    if not small:
-        logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(mine)), mine].astype(np.float64)
-    e = np.exp(logits, out=logits)
-    return e, e @ np.ones(e.shape[1], e.dtype), own
-
-
 def _with_ones(states: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Those rows of the states, and a column of ones, by which biases are a row of the weights."""
     out = np.ones((len(at), states.shape[1] + 1), states.dtype)
@@ -114,104 +106,156 @@ def _with_ones(states: np.ndarray, at: np.ndarray) -> np.ndarray:
     return out
 
 
-def _word_logits(m: Model, h: np.ndarray, runs: list[tuple[int, int, int]]) -> np.ndarray:
-    """Logits within the classes; runs: (first row, last row + 1, class)."""
-    weight, out = np.concatenate([m.to_word, m.word_bias[:, None]], axis=1), np.empty((len(h), CLASS), h.dtype)
-    for s, e, c in runs:
-        np.matmul(h[s:e], weight[c], out=out[s:e])
+def joined(m: Model, out: np.ndarray | None = None) -> np.ndarray:
+    """For each class the weights of all classes' logits beside those of its own words' logits, so that one product gives both; biases are the last row."""
+    classes = len(m.class_bias)
+    out = np.empty((classes, len(m.rec) + 1, classes + CLASS), m.rec.dtype) if out is None else out
+    out[:, :-1, :classes], out[:, -1, :classes] = m.to_class, m.class_bias
+    out[:, :-1, classes:], out[:, -1, classes:] = m.to_word, m.word_bias
     return out
 
 
-def _runs(group: np.ndarray) -> list[tuple[int, int, int]]:
-    starts, which = K.segments(group)
-    return list(zip(starts.tolist(), [*starts[1:].tolist(), len(group)], which.tolist()))
-
-
-def log_probabilities(m: Model, h: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log probability of each target from its state."""
-    small = _small(m)
-    group, order = target // CLASS, np.argsort((target // CLASS).astype(np.uint16), kind="stable")
-    h, mine, group = _with_ones(h, order), (target % CLASS)[order], group[order]
-    got = np.zeros(len(h))
-    for logits, column in ((h @ np.vstack([m.to_class, m.class_bias]), group), (_word_logits(m, h, _runs(group)), mine)):
-        _, total, own = _softmax(logits, column, small)
-        got += own
-        got -= np.log(total)
+class Softmaxes(NamedTuple):
+    """Rows that fit into the processor's cache, through the softmaxes of their classes and of their words."""
+
+    rows: slice
+    runs: list[tuple[int, int, int]]  # first row of the block, last row + 1, class
+    exp: np.ndarray  # exp of the logits, as joined has them; its next block overwrites it
+    total: np.ndarray  # sum of exp by row and softmax
+    parts: np.ndarray  # which of the two softmaxes a column is of
+    own: np.ndarray  # where exp has each row's own class and word, in the flat array
+    logit: np.ndarray  # the logits there; logits that aren't small are shifted so that none overflows
+
+
+def softmaxes(weight: np.ndarray, states: np.ndarray, target: np.ndarray, small: bool) -> Iterator[Softmaxes]:
+    """All rows, which are sorted by class, in blocks of _BLOCK; states have a column of ones."""
+    classes, width = len(weight), weight.shape[2]
+    halves = (slice(classes), slice(classes, width))
+    group = target // CLASS
+    own = np.arange(len(target))[:, None] % _BLOCK * width + np.stack([group, classes + target % CLASS], axis=1)
+    room, parts = np.empty((min(_BLOCK, len(target)), width), states.dtype), np.zeros((width, 2), states.dtype)
+    parts[halves[0], 0] = parts[halves[1], 1] = 1
+    for lo in range(0, len(target), _BLOCK):
+        rows = slice(lo, min(lo + _BLOCK, len(target)))
+        starts, which = K.segments(group[rows])
+        logits, at = room[: rows.stop - lo], own[rows]
+        runs = list(zip(starts.tolist(), [*starts[1:].tolist(), len(logits)], which.tolist()))
+        for s, e, c in runs:
+            np.matmul(states[lo + s : lo + e], weight[c], out=logits[s:e])
+        if not small:
+            for half in halves:
+                logits[:, half] -= logits[:, half].max(axis=1, keepdims=True)
+        logit = logits.reshape(-1)[at]
+        np.exp(logits, out=logits)
+        yield Softmaxes(rows, runs, logits, logits @ parts, parts, at, logit)
+
+
+def log_probabilities(m: Model, h: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None) -> np.ndarray:
+    """Log probability of each target from its state; weight: as joined gives it, where that is known."""
+    order = np.argsort((target // CLASS).astype(np.uint16), kind="stable")
+    got = np.empty(len(h))
+    for x in softmaxes(joined(m) if weight is None else weight, _with_ones(h, order), target[order], _small(m)):
+        got[x.rows] = x.logit.sum(axis=1, dtype=np.float64) - np.log(x.total).sum(axis=1, dtype=np.float64)
     out = np.empty(len(h))
     out[order] = got
     return out
 
 
-def _output(logits: np.ndarray, mine: np.ndarray, scale: np.floating, small: bool, lossy: bool) -> tuple[np.ndarray, float]:
-    """(scaled gradient by the logits, made in place, summed loss if ``lossy``) of a softmax."""
-    q, total, own = _softmax(logits, mine, small)
-    loss = float(np.log(total).sum(dtype=np.float64)) - float(own.sum()) if lossy else 0.0
-    q *= (scale / total)[:, None]
-    q[np.arange(len(mine)), mine] -= scale
-    return q, loss
-
-
-def _by_token(tokens: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+def _by_token(tokens: np.ndarray, rows: np.ndarray, n: int, out: np.ndarray | None = None) -> np.ndarray:
     """The rows summed by token, of which there are n; frequent ones each by one product, the others' first rows at once, then their second ones and so on."""
-    out, ones = np.zeros((n, rows.shape[1]), rows.dtype), np.ones(len(tokens), rows.dtype)
+    out = np.empty((n, rows.shape[1]), rows.dtype) if out is None else out
+    out[...] = 0
     order = np.argsort(tokens.astype(np.uint16), kind="stable")  # short numbers are sorted by digits, which is faster
     starts, which = K.segments(tokens[order])
     size = np.diff(starts, append=len(tokens))
-    often = size >= 24
-    for s, k, token in zip(starts[often].tolist(), size[often].tolist(), which[often].tolist()):
-        out[token] = ones[:k] @ np.take(rows, order[s : s + k], axis=0)
-    if not often.all():
-        by_size = np.flatnonzero(~often)
-        by_size = by_size[np.argsort(-size[by_size], kind="stable")]
-        first, many = starts[by_size], size[by_size]
+    by_size = np.argsort(-size, kind="stable")
+    first, many, token = starts[by_size], size[by_size], which[by_size]
+    often = int(np.searchsorted(-many, -_OFTEN, "right"))
+    ones = np.ones(int(many[0]) if len(many) else 0, rows.dtype)
+    for s, k, t in zip(first[:often].tolist(), many[:often].tolist(), token[:often].tolist()):
+        np.matmul(ones[:k], np.take(rows, order[s : s + k], axis=0), out=out[t])
+    first, many = first[often:], many[often:]
+    if len(many):
         total = np.take(rows, order[first], axis=0)
-        for k in range(1, int(many[0])):
-            left = int(np.searchsorted(-many, -k, "left"))
+        for k, left in enumerate(np.searchsorted(-many, -np.arange(1, int(many[0])), "left").tolist(), 1):
             total[:left] += np.take(rows, order[first[:left] + k], axis=0)
-        out[which[by_size]] = total
+        out[token[often:]] = total
     return out
 
 
-def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray, live: np.ndarray, lossy: bool = True) -> tuple[list[np.ndarray], np.ndarray, float]:
+class Room:
+    """Arrays that one window after the other works in, as new memory costs as much as what is done in it. What is in them is left over."""
+
+    def __init__(self) -> None:
+        self.held: dict[str, np.ndarray] = {}
+
+    def __call__(self, name: str, dtype: np.dtype, *shape: int) -> np.ndarray:
+        n = math.prod(shape)
+        if name not in self.held or len(self.held[name]) < n:
+            self.held[name] = np.empty(n, dtype)
+        return self.held[name][:n].reshape(shape)
+
+
+def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray, live: np.ndarray, lossy: bool = True, into: Model | None = None, room: Room | None = None) -> tuple[list[np.ndarray], np.ndarray, float]:
     """(gradient of each array, last state, summed loss if ``lossy``) of one window: tokens and targets are steps x rows.
 
     live: how many rows, counted from the first, each step has; it never grows. Backpropagation stops at h0, the state
-    that the window before left.
+    that the window before left. The gradient is written into the arrays of ``into``, where that is given; a ``room`` is
+    for windows of one kind of number.
     """
     steps, rows = tokens.shape
-    size, small = h0.shape[1], _small(m)
-    x, rec = np.take(by_gate(m.emb + m.bias), tokens, axis=1), by_gate(m.rec)
-    hs, back = np.empty((steps + 1, rows, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype)
+    size, small, kind, room = h0.shape[1], _small(m), h0.dtype, room or Room()
+    emb = room("emb", kind, 3, len(m.emb), size)
+    for k, by in enumerate(_SCALE):
+        part = slice(k * size, (k + 1) * size)
+        np.add(m.emb[:, part], m.bias[part], out=emb[k])
+        emb[k] *= kind.type(by)
+    x, rec = room("x", kind, 3, steps, rows, size), by_gate(m.rec)
+    np.take(emb, tokens, axis=1, out=x, mode="clip")
+    hs, back = room("hs", kind, steps + 1, rows, size), room("back", kind, steps, rows, size)
     hs[0] = h0
     with np.errstate(over="ignore"):
         for t in range(steps):
             k = live[t]
             hs[t + 1, :k], back[t, :k] = step(rec, hs[t, :k], x[:, t, :k])
-            hs[t + 1, k:] = hs[t, k:]
+            hs[t + 1, k:], back[t, k:] = hs[t, k:], 0
     on = np.concatenate([np.arange(k) + t * rows for t, k in enumerate(live)])
     target = targets.ravel()[on]
-    group, scale = target // CLASS, h0.dtype.type(1 / max(1, len(on)))
-    order = np.argsort(group.astype(np.uint16), kind="stable")
-    states, group, mine = _with_ones(hs[1:].reshape(-1, size), on[order]), group[order], (target % CLASS)[order]
-    p, loss = _output(states @ np.vstack([m.to_class, m.class_bias]), group, scale, small, lossy)
-    g_class, d_out, runs = states.T @ p, p @ m.to_class.T, _runs(group)
-    q, more = _output(_word_logits(m, states, runs), mine, scale, small, lossy)
-    loss += more
-    g_word, to_states = np.zeros((len(m.to_word), size + 1, CLASS), h0.dtype), np.ascontiguousarray(m.to_word.transpose(0, 2, 1))
-    for s, e, c in runs:
-        np.matmul(states[s:e].T, q[s:e], out=g_word[c])
-        d_out[s:e] += q[s:e] @ to_states[c]
-    d_states = np.zeros((steps * rows, size), h0.dtype)
-    d_states[on[order]] = d_out
+    scale, classes = kind.type(1 / max(1, len(on))), len(m.class_bias)
+    order = np.argsort((target // CLASS).astype(np.uint16), kind="stable")
+    at, target = on[order], target[order]
+    states = room("states", kind, len(on), size + 1)
+    states[:, :-1], states[:, -1] = np.take(hs[1:].reshape(-1, size), at, axis=0), 1
+    weight = joined(m, room("weight", kind, classes, size + 1, classes + CLASS))
+    g_out, d_out, seen, loss = room("g_out", kind, *weight.shape), room("d_out", kind, len(on), size), -1, 0.0
+    g_out[...] = 0
+    for block in softmaxes(weight, states, target, small):
+        lo, q = block.rows.start, block.exp
+        if lossy:
+            loss += float(np.log(block.total).sum(dtype=np.float64)) - float(block.logit.sum(dtype=np.float64))
+        q.reshape(-1)[block.own] -= block.total
+        q *= (scale / block.total) @ block.parts.T
+        for s, e, c in block.runs:
+            if c == seen:  # the block before ended within this class
+                g_out[c] += states[lo + s : lo + e].T @ q[s:e]
+            else:
+                np.matmul(states[lo + s : lo + e].T, q[s:e], out=g_out[c])
+            np.matmul(q[s:e], weight[c, :-1].T, out=d_out[lo + s : lo + e])
+            seen = c
+    d_states = room("d_states", kind, steps * rows, size)
+    if len(on) < len(d_states):
+        d_states[...] = 0
+    d_states[at] = d_out
     d_states = d_states.reshape(steps, rows, size)
-    d_u, d_n, d, to_state = np.zeros((steps, rows, 3, size), h0.dtype), np.zeros((steps, rows, size), h0.dtype), np.zeros((rows, size), h0.dtype), np.ascontiguousarray(m.rec.T)
-    half = h0.dtype.type(0.5)
+    d_u, d_n = room("d_u", kind, steps, rows, 3, size), room("d_n", kind, steps, rows, size)
+    d, to_state = np.zeros((rows, size), kind), np.ascontiguousarray(m.rec.T)
+    half = kind.type(0.5)
     # All that comes of a step's gradient d is a factor of the forward pass by d; factors are made of several steps at once.
     for hi in range(steps, 0, -_STEPS):
         part = slice(max(0, hi - _STEPS), hi)
         z, r, n = x[:, part]
         by_n = (1 - n * n) * (1 - z)
-        factor = np.empty((len(z), rows, 3, size), h0.dtype)
+        factor = room("factor", kind, len(z), rows, 3, size)
         np.multiply((hs[part] - n) * z, 1 - z, out=factor[:, :, 0])
         by_r = by_n * r
         factor[:, :, 2] = by_r
@@ -221,15 +265,21 @@ def gradients(m: Model, h0: np.ndarray, tokens: np.ndarray, targets: np.ndarray,
             mine, out = d[:k], d_u[t, :k]
             mine += d_states[t, :k]
             d_n[t, :k] = mine
+            d_u[t, k:], d_n[t, k:] = 0, 0
             np.multiply(factor[t - part.start, :k], mine[:, None], out=out)
             mine *= z[t - part.start, :k]
             mine += out.reshape(k, -1) @ to_state
         d_n[part] *= by_n
     flat = d_u.reshape(-1, 3 * size)
-    g_rec = hs[:-1].reshape(-1, size).T @ flat
+    out = Model(*map(np.empty_like, m)) if into is None else into
+    np.matmul(hs[:-1].reshape(-1, size).T, flat, out=out.rec)
     flat[:, 2 * size :] = d_n.reshape(-1, size)
-    g_emb = _by_token(tokens.ravel(), flat, len(m.emb))
-    return [g_emb, g_rec, flat.sum(axis=0), g_class[:-1], g_class[-1], g_word[:, :-1], g_word[:, -1]], hs[-1], loss
+    _by_token(tokens.ravel(), flat, len(m.emb), out.emb)
+    np.matmul(np.ones(len(flat), kind), flat, out=out.bias)
+    g_class = g_out[:, :, :classes].sum(axis=0)
+    out.to_class[...], out.class_bias[...] = g_class[:-1], g_class[-1]
+    out.to_word[...], out.word_bias[...] = g_out[:, :-1, classes:], g_out[:, -1, classes:]
+    return list(out), hs[-1].copy(), loss
 
 
 def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) -> Model:
@@ -237,7 +287,7 @@ def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) ->
     weights = np.concatenate([w.ravel() for w in m])
     now = _shaped(weights, m)
     first, second, grad, count = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights), 0
-    parts = _shaped(grad, m)
+    parts, room = _shaped(grad, m), Room()
     order = np.random.default_rng(seed).permutation(len(stretches))
     for at in np.array_split(order, min(BATCHES, len(order))):
         at = at[np.argsort(-lengths[at], kind="stable")]
@@ -248,10 +298,8 @@ def train_on(m: Model, stretches: np.ndarray, lengths: np.ndarray, seed: int) ->
             to = min(w + WINDOW, int(many.max()))
             live = np.searchsorted(-many, -np.arange(w, to), "left")  # the longest come first
             some = live[0]
-            grads, h, _ = gradients(now, h[:some], before[w:to, :some], ids[w:to, :some], live, lossy=False)
+            _, h, _ = gradients(now, h[:some], before[w:to, :some], ids[w:to, :some], live, lossy=False, into=parts, room=room)
             count += 1
-            for part, g in zip(parts, grads):
-                part[...] = g
             clip = min(1.0, 1.0 / max(float(np.sqrt(grad @ grad)), 1e-9))
             _adam(weights, grad, first, second, clip, RATE * np.sqrt(1 - 0.99**count) / (1 - 0.9**count))
     return now
@@ -263,23 +311,24 @@ def _shaped(flat: np.ndarray, like: Model) -> Model:
 
 
 def _adam(weights: np.ndarray, grad: np.ndarray, first: np.ndarray, second: np.ndarray, clip: float, rate: float) -> None:
-    """One step in place, a piece that fits into the processor's cache at a time; what is in grad is lost."""
-    room = np.empty(_PIECE, weights.dtype)
+    """One step in place, a piece that fits into the processor's cache at a time; what is in grad is lost.
+
+    first and second are 10 and 100 times Adam's running means, so that a gradient is added to them as it is.
+    """
+    of = weights.dtype.type
     for lo in range(0, len(weights), _PIECE):
         w, g, a, b = (x[lo : lo + _PIECE] for x in (weights, grad, first, second))
-        move = room[: len(g)]
-        g *= weights.dtype.type(clip)
-        np.subtract(g, a, out=move)
-        move *= weights.dtype.type(0.1)
-        a += move
+        if clip < 1:
+            g *= of(clip)
+        a *= of(0.9)
+        a += g
         g *= g
-        g -= b
-        g *= weights.dtype.type(0.01)
+        b *= of(0.99)
         b += g
         np.sqrt(b, out=g)
-        g += weights.dtype.type(1e-6)
+        g += of(1e-5)
         np.divide(a, g, out=g)
-        g *= weights.dtype.type(rate)
+        g *= of(rate)
         w -= g
 
 
@@ -499,7 +548,7 @@ def score_block(m: Model, token: np.ndarray, many: np.ndarray) -> np.ndarray:
             owner[at : at + size[row], k] = row
             begins[at].append(k)
             at += int(size[row])
-    emb, rec = by_gate(m.emb + m.bias), by_gate(m.rec)
+    emb, rec, weight = by_gate(m.emb + m.bias), by_gate(m.rec), joined(m)
     live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
     h, last = np.zeros((len(lanes), m.rec.shape[0]), m.rec.dtype), np.full(len(lanes), END, np.int64)
     held: list[np.ndarray] = []
@@ -514,7 +563,7 @@ def score_block(m: Model, token: np.ndarray, many: np.ndarray) -> np.ndarray:
             waiting += k
             if waiting >= _OUTPUT_ROWS or t + 1 == len(live):
                 on = np.arange(len(lanes)) < live[since : t + 1, None]
-                np.add.at(out, owner[since : t + 1][on], log_probabilities(m, np.concatenate(held), target[since : t + 1][on]))
+                np.add.at(out, owner[since : t + 1][on], log_probabilities(m, np.concatenate(held), target[since : t + 1][on], weight))
                 held, waiting, since = [], 0, t + 1
     return out
 

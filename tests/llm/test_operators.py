@@ -341,6 +341,27 @@ def test_lm_sums_by_token():
     assert gru_lm._by_token(tokens, rows, 40) == pytest.approx(want)
 
 
+def test_lm_blocks_and_rooms_change_no_gradient(monkeypatch):
+    rng = np.random.default_rng(4)
+    m = gru_lm.Model(*(rng.standard_normal(w.shape) * 0.3 for w in gru_lm.initial(192, 4)))
+    ids, before, h0, room = rng.integers(0, 192, (6, 9)), rng.integers(0, 192, (6, 9)), rng.standard_normal((9, 4)) * 0.3, gru_lm.Room()
+    for live in ([9] * 6, [9, 7, 7, 4, 1, 1], [5, 5, 5, 2, 2, 1]):  # what one window left in the room isn't in the next
+        some, live = live[0], np.array(live)
+        monkeypatch.setattr(gru_lm, "_BLOCK", 1024)
+        want = gru_lm.gradients(m, h0[:some], before[:, :some], ids[:, :some], live)
+        monkeypatch.setattr(gru_lm, "_BLOCK", 3)  # classes go on from block to block
+        into = gru_lm.Model(*(np.full_like(w, np.nan) for w in m))
+        got = gru_lm.gradients(m, h0[:some], before[:, :some], ids[:, :some], live, into=into, room=room)
+        assert all(g == pytest.approx(w) for g, w in zip(into, want[0]))
+        assert got[1] == pytest.approx(want[1]) and got[2] == pytest.approx(want[2])
+    h, target = rng.standard_normal((50, 4)), rng.integers(0, 192, 50)
+    c, w = h @ m.to_class + m.class_bias, np.einsum("ij,ijk->ik", h, m.to_word[target // gru_lm.CLASS]) + m.word_bias[target // gru_lm.CLASS]
+    at = np.arange(50)
+    want = c[at, target // gru_lm.CLASS] - np.log(np.exp(c).sum(axis=1)) + w[at, target % gru_lm.CLASS] - np.log(np.exp(w).sum(axis=1))
+    assert gru_lm.log_probabilities(m, h, target) == pytest.approx(want)
+    assert gru_lm.log_probabilities(m._replace(class_bias=m.class_bias + 1000), h, target) == pytest.approx(want)  # large logits
+
+
 def test_lm_finds_words_whose_hashes_begin_alike():
     known = np.array([3, 5, 6, 1 << 50, (1 << 50) + 1, (1 << 64) - 1], np.uint64)
     asked = np.array([6, 4, 3, 0, 5, (1 << 50) + 1, 1 << 50, 1 << 51, (1 << 64) - 1, (1 << 64) - 2], np.uint64)
